@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegraph.functions import tidy
-from changegraph.llm import components, set_join, term_frequency
+from changegraph.llm import components, consensus, packing, set_join, term_frequency, tokens
 from changegraph.session import Stash
 from changegraph.sources.tables import load, load_steps, once
 
@@ -19,6 +19,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(spark, matched(spark, d), "left_step", "right_step").select(F.col("vertex").alias("step_no"), F.col("component").alias("group_no"))
 
 
+def placements(spark: SparkSession, d: str) -> DataFrame:
+    """repo, area, endpoint, run_id, flow_id: who places which entry point where; an alias is its inventory endpoint."""
+    steps = load_steps(spark, d, "endpoints").select("repo", "area", "run_id", "flow_id", F.explode(tidy.entries("endpoints")).alias("cited"))
+    cited = steps.dropna().distinct()
+    listed = load(spark, d, "inventory", "repo string, endpoint string, aliases array<string>")
+    names = listed.select("repo", F.explode(tidy.entries("aliases")).alias("cited"), tidy.entry("endpoint").alias("named"))
+    # a name that is itself an entry point stands for itself; of several owners of an alias the first counts
+    own = listed.select("repo", tidy.entry("endpoint").alias("cited"), F.lit(None).cast("string").alias("named"))
+    alias = names.unionByName(own).groupBy("repo", "cited").agg(F.min("named").alias("named"), F.max(F.col("named").isNull()).alias("itself")).filter("not itself").drop("itself")
+    return cited.join(alias, ["repo", "cited"], "left").select("repo", "area", F.coalesce("named", "cited").alias("endpoint"), "run_id", "flow_id").distinct()
+
+
+def annotated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.consensus(spark, placements(spark, d), ["repo", "endpoint"], "run_id", "flow_id", ["repo", "area"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    items, _ = annotated(spark, d)
+    return items.filter("votes >= 3 and labels >= 2").select("repo", "endpoint", F.col("label").alias("flow_id"))
+
+
+def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
+    items, _ = annotated(spark, d)
+    return items.withColumnRenamed("label", "flow_id")
+
+
+def p4_annotators(spark: SparkSession, d: str) -> DataFrame:
+    _, annotators = annotated(spark, d)
+    return annotators.withColumnRenamed("annotator", "run_id")
+
+
 def step_classes(spark: SparkSession, stash: Stash, d: str) -> tuple[DataFrame, DataFrame]:
     steps = load_steps(spark, d, "ui", "code_path")
     return set_join.set_classes(spark, stash, steps, "step_no", F.array_union(tidy.nodes("code_path"), tidy.nodes("ui")))
@@ -27,7 +58,7 @@ def step_classes(spark: SparkSession, stash: Stash, d: str) -> tuple[DataFrame,
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     stash = Stash(spark)
     members, classes = step_classes(spark, stash, d)
-    pairs = set_join.similar_classes(spark, stash, classes, 3, 5)
+    pairs = set_join.similar_classes(spark, classes, 3, 5)
     return set_join.similar_records(members, pairs).select(F.col("record_a").alias("step_a"), F.col("record_b").alias("step_b"))
 
 
@@ -35,7 +66,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     """Each step with the class of steps that have the same set, and the number of steps it is similar to."""
     stash = Stash(spark)
     members, classes = step_classes(spark, stash, d)
-    pairs = stash.put(set_join.similar_classes(spark, stash, classes, 3, 5))
+    pairs = stash.put(set_join.similar_classes(spark, classes, 3, 5))
     return set_join.class_links(members, pairs).withColumnRenamed("record", "step_no")
 
 
@@ -62,7 +93,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_frequency(spark, d).filter("mark is not null").select("node", "mark")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_frequency": p6_frequency}
+#: Tokens a container holds.
+CAPACITY = 4096
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, piece_no, start, length, container, position: every text, or the pieces of one that is too long, in its container; start and length in tokens."""
+    docs = load(spark, d, "documents", "doc_id bigint, text string")
+    sizes = Stash(spark).put(tokens.count_tokens(docs, "doc_id", "text"))
+    return packing.pack(spark, sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose packing has a second piece."""
+    return p7_pack(spark, d).filter("piece_no = 1").select("doc_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_annotators": p4_annotators, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_frequency": p6_frequency, "p7_found": p7_found, "p7_pack": p7_pack}
 TIDY_NODE = "nullif(regexp_replace(replace(trim({0}), '\\', '/'), '^\\./', ''), '')"
 STEPS_SQL = """runs AS (SELECT DISTINCT ON (pass_no) * FROM map_runs),
  fl AS (SELECT pass_no, repo, area, run_id, written_at, unnest(flows) AS flow FROM runs),
