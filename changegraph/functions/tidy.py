@@ -5,35 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = r"^\s+|\s+$"
+BLANKS = " \t\r\n"
 
 
-def _none_if_blank(c: Column) -> Column:
-    return F.when(F.length(c) > 0, c)
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _node(c: Column) -> Column:
+    return F.regexp_replace(F.translate(F.btrim(c, F.lit(BLANKS)), "\\", "/"), r"^\./", "")
+
+
+def _words(c: Column) -> Column:
+    return F.regexp_replace(F.btrim(c, F.lit(BLANKS)), r"\s+", " ")
+
+
+def _upper_first(c: Column) -> Column:
+    return F.concat(F.upper(F.substring_index(c, " ", 1)), F.substr(c, F.length(F.substring_index(c, " ", 1)) + 1))
 
 
 def node(c: Column | str) -> Column:
     """`path:Name`: trimmed, `/` for `\\`, without a leading `./`; null if nothing is left."""
-    c = F.col(c) if isinstance(c, str) else c
-    t = F.translate(F.regexp_replace(c, BLANKS, ""), "\\", "/")
-    return _none_if_blank(F.when(F.startswith(t, F.lit("./")), F.substr(t, F.lit(3))).otherwise(t))
+    return F.nullif(_node(_col(c)), F.lit(""))
 
 
 def entry(c: Column | str) -> Column:
     """`KIND rest`: trimmed, single blanks, first word in upper case; null if nothing is left."""
-    c = F.col(c) if isinstance(c, str) else c
-    t = F.regexp_replace(F.regexp_replace(c, BLANKS, ""), r"\s+", " ")
-    head = F.substring_index(t, " ", 1)
-    return _none_if_blank(F.concat(F.upper(head), F.substr(t, F.length(head) + 1)))
+    return F.nullif(_upper_first(_words(_col(c))), F.lit(""))
+
+
+def _distinct(c: Column) -> Column:
+    return F.coalesce(F.array_remove(F.array_distinct(F.array_compact(c)), ""), F.array().cast("array<string>"))
 
 
 def nodes(c: Column | str) -> Column:
     """Distinct tidied node ids of an array; a null array is an empty one."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.array_distinct(F.array_compact(F.transform(c, node))), F.array().cast("array<string>"))
+    return _distinct(F.transform(_col(c), _node))
 
 
 def entries(c: Column | str) -> Column:
-    """Distinct tidied entry points of an array; a null array is an empty one."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.array_distinct(F.array_compact(F.transform(c, entry))), F.array().cast("array<string>"))
+    """Distinct tidied entry points of an array; a null array is an empty one.
+
+    Each step is a pass of its own over the array: within a lambda nothing that is used twice is computed once."""
+    return _distinct(F.transform(F.transform(_col(c), _words), _upper_first))
