@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegraph.functions import tidy
-from changegraph.llm import components, consensus, packing, set_join, term_frequency, tokens
+from changegraph.llm import components, consensus, language, leakage, packing, set_join, term_frequency, tokens
 from changegraph.session import Stash
 from changegraph.sources.tables import load, load_steps, once
 
@@ -58,7 +58,7 @@ def step_classes(spark: SparkSession, stash: Stash, d: str) -> tuple[DataFrame,
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     stash = Stash(spark)
     members, classes = step_classes(spark, stash, d)
-    pairs = set_join.similar_classes(spark, classes, 3, 5)
+    pairs = set_join.similar_classes(spark, stash, classes, 3, 5)
     return set_join.similar_records(members, pairs).select(F.col("record_a").alias("step_a"), F.col("record_b").alias("step_b"))
 
 
@@ -66,7 +66,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     """Each step with the class of steps that have the same set, and the number of steps it is similar to."""
     stash = Stash(spark)
     members, classes = step_classes(spark, stash, d)
-    pairs = stash.put(set_join.similar_classes(spark, classes, 3, 5))
+    pairs = stash.put(set_join.similar_classes(spark, stash, classes, 3, 5))
     return set_join.class_links(members, pairs).withColumnRenamed("record", "step_no")
 
 
@@ -109,7 +109,50 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_pack(spark, d).filter("piece_no = 1").select("doc_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_annotators": p4_annotators, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_frequency": p6_frequency, "p7_found": p7_found, "p7_pack": p7_pack}
+DOCUMENTS = "doc_id bigint, text string, lang string"
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, item, first_word, last_word, common, coverage: where in a document which item stands, and how much of it."""
+    items = load(spark, d, "eval_items", "item_id bigint, text string")
+    return leakage.find_leaks(load(spark, d, "documents", DOCUMENTS), "doc_id", "text", items, "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", F.col("item").alias("item_id")).distinct()
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold items, without the spans that give them away."""
+    found = Stash(spark).put(p8_spans(spark, d))
+    return leakage.remove_leaks(load(spark, d, "documents", DOCUMENTS), "doc_id", "text", found)
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of every document: doc_id, seg_no, seg_lang, confidence, begin, end, n_segs."""
+    docs = load(spark, d, "documents", DOCUMENTS)
+    filters = language.learn(language.sample(docs, "doc_id", "text", "lang"))
+    return language.find_languages(docs, "doc_id", "text", filters)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents", DOCUMENTS)
+    filters = language.learn(language.sample(docs, "doc_id", "text", "lang"))
+    keyed = docs.select(F.struct("doc_id", language.label_code("lang").alias("code")).alias("doc"), "text")
+    found = language.find_languages(keyed, "doc", "text", filters)
+    wrong = (F.col("n_segs") > 1) | F.col("doc.code").isNull() | (F.col("doc.code") != F.col("seg_lang"))
+    return found.filter(wrong).select("doc.doc_id", "seg_no", "seg_lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's language: the one of most of its text, with the confidence over its stretches in that language, weighted by length."""
+    segments = p9_segments(spark, d).withColumn("size", F.col("end") - F.col("begin"))
+    per_lang = segments.groupBy("doc_id", "seg_lang").agg(F.sum("size").alias("size"), (F.sum(F.col("size") * F.col("confidence")) / F.sum("size")).alias("confidence"))
+    top = per_lang.groupBy("doc_id").agg(F.max(F.struct("size", F.col("seg_lang").alias("lang"), "confidence")).alias("top"), F.sum("size").alias("all"))
+    return top.select("doc_id", "top.lang", "top.confidence", (F.col("top.size") / F.col("all")).alias("share"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_annotators": p4_annotators, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_frequency": p6_frequency, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
 TIDY_NODE = "nullif(regexp_replace(replace(trim({0}), '\\', '/'), '^\\./', ''), '')"
 STEPS_SQL = """runs AS (SELECT DISTINCT ON (pass_no) * FROM map_runs),
  fl AS (SELECT pass_no, repo, area, run_id, written_at, unnest(flows) AS flow FROM runs),
