@@ -1,7 +1,7 @@
 """All pairs of records whose sets overlap above a Jaccard threshold, by T-occurrence merging of inverted lists.
 
 1. Records with equal sets form one class; the join runs on classes and its result is expanded at the end.
-2. Values get numbers in order of rarity (one dictionary over all records, written, never collected).
+2. The values of a class are put in order of rarity: the number of classes that hold them, counted over all classes.
 3. Two sets that reach the threshold share one of their `n - ceil(t n) + 1` rarest values, so each class goes to the
    partitions of these values. A partition of more than BLOCK classes is cut into blocks, and every pair of
    blocks becomes a partition of its own: no task holds more than two blocks, however hot the value.
@@ -85,7 +85,7 @@ def _pairs_of(value: int, crossing: bool, members: list[tuple[int, bool, list[in
             for j, overlap in occurring([lists[t] for t in ids if t in lists], -(-n * num // den)):
                 other, _, theirs, m = members[j]
                 if overlap * den >= num * (n + m - overlap):
-                    rarer = ids[: bisect_left(ids, value)]
+                    rarer = ids[: ids.index(value)]
                     if not rarer or set(rarer).isdisjoint(theirs):
                         yield min(cls, other), max(cls, other), overlap
         if not crossing:
@@ -95,29 +95,40 @@ def _pairs_of(value: int, crossing: bool, members: list[tuple[int, bool, list[in
 def set_classes(spark: SparkSession, stash: Stash, records: DataFrame, record: str, values: Column | str) -> tuple[DataFrame, DataFrame]:
     """members(record, class_no), classes(class_no, values): class_no is the smallest record with exactly these values.
 
-    Null values, null and empty sets belong to no class. Sets are told apart by two 64-bit hashes of their sorted values."""
-    sets = records.select(F.col(record).alias("record"), F.array_sort(F.array_distinct(F.array_compact(values))).alias("v")).filter("record is not null and size(v) > 0")
-    keyed = sets.select("record", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    classes = stash.put(keyed.groupBy("h1", "h2").agg(F.min("record").alias("class_no"), F.first("v").alias("v")))
-    members = keyed.select("record", "h1", "h2").join(classes.select("h1", "h2", "class_no"), ["h1", "h2"]).select("record", "class_no").distinct()
-    return stash.put(members), classes.select("class_no", F.col("v").alias("values"))
+    Null values, null and empty sets belong to no class. Values become 64-bit hashes, and sets are told apart by a 64-bit hash of
+    those, sorted, and their number: what is shuffled from here on are numbers."""
+    hashed = F.transform(F.array_distinct(F.array_compact(values)), lambda x: F.xxhash64(x))
+    sets = stash.put(records.select(F.col(record).alias("record"), F.sort_array(hashed).alias("v")))
+    keyed = sets.filter("record is not null and size(v) > 0").select("record", "v", F.xxhash64("v").alias("h"), F.size("v").alias("n"))
+    classes = stash.put(keyed.groupBy("h", "n").agg(F.min("record").alias("class_no"), F.first("v").alias("v")).select("class_no", "v"))
+    named = classes.select("class_no", F.xxhash64("v").alias("h"), F.size("v").alias("n"))
+    members = stash.put(keyed.select("record", "h", "n").join(named, ["h", "n"]).select("record", "class_no").distinct())
+    stash.drop(sets)
+    return members, classes.select("class_no", F.col("v").alias("values"))
 
 
 def similar_classes(spark: SparkSession, stash: Stash, classes: DataFrame, num: int, den: int) -> DataFrame:
     """class_a, class_b, overlap: pairs of classes with a Jaccard index of at least num / den, class_a < class_b."""
     held = classes.select("class_no", F.size("values").alias("n"), F.explode("values").alias("value"))
-    # ids in order of rarity, unique and ordered; a value of one class alone is shared with none and needs no id
-    ranked = held.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").orderBy("m", "value").select("value", F.monotonically_increasing_id().alias("id"))
-    ranked = stash.put(ranked)
-    coded = held.join(ranked, "value").groupBy("class_no", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    # ids in order of rarity, unique and ordered; a value of one class alone is shared with none and only counts towards the size
+    shared = held.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").orderBy("m", "value")
+    shared = stash.put(shared.select("value", "m", F.monotonically_increasing_id().alias("id")))
+    hot_from = shared.filter(F.col("m") > BLOCK).agg(F.min("id")).first()[0]
+    coded = held.join(shared.select("value", "id"), "value").groupBy("class_no", "n").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     least = F.floor((F.col("n") * num + (den - 1)) / den).cast("int")
     # of the rarest n - least + 1 values those without id come first and need no partition
     prefix = F.greatest(F.size("ids") - least + 1, F.lit(0))
-    spread = stash.put(coded.select("class_no", "ids", "n", F.explode(F.slice("ids", F.lit(1), prefix)).alias("value")))
-    counts = spread.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("class_no"), F.col("blocks")).cast("int")
-    placed = spread.join(counts, "value").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    parts = placed.select("value", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "class_no", (F.col("mine") > F.col("other")).alias("second"), "ids", "n")
+    spread = coded.select("class_no", "n", "ids", F.explode(F.slice("ids", F.lit(1), prefix)).alias("value"))
+    whole = [F.lit(0).alias("b1"), F.lit(0).alias("b2"), "class_no", F.lit(False).alias("second"), "ids", "n"]
+    if hot_from is None:  # no value has more classes than a block holds
+        parts = spread.select("value", *whole)
+    else:
+        hot = spread.filter(F.col("value") >= hot_from)
+        counts = hot.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        mine = F.pmod(F.xxhash64("class_no"), F.col("blocks")).cast("int")
+        placed = hot.join(counts, "value").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cut = placed.select("value", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "class_no", (F.col("mine") > F.col("other")).alias("second"), "ids", "n")
+        parts = spread.filter(F.col("value") < hot_from).select("value", *whole).unionByName(cut)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = parts.repartition(width, "value", "b1", "b2").sortWithinPartitions("value", "b1", "b2")
 
