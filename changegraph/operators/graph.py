@@ -150,9 +150,8 @@ def layers(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame
 
 def ubiquitous(reached: DataFrame, share: float) -> DataFrame:
     """node: those reached from more than the share of all distinct origins."""
-    total = reached.select("origin").distinct().agg(F.count(F.lit(1)).alias("total"))
-    counts = reached.groupBy("node").agg(F.countDistinct("origin").alias("n"))
-    return counts.join(F.broadcast(total)).filter(F.col("n") > F.col("total") * share).select("node")
+    total = reached.select("origin").distinct().count()
+    return reached.groupBy("node").agg(F.countDistinct("origin").alias("n")).filter(F.col("n") > total * share).select("node")
 
 
 def merges(spark: SparkSession, edges: DataFrame, steps: DataFrame, noise: DataFrame) -> DataFrame:
