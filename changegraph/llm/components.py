@@ -58,7 +58,7 @@ def _chains(stash: Stash, edges: DataFrame, degrees: DataFrame) -> tuple[DataFra
     A directed link (u, v) into a chain's vertex v goes on to (v, w), w being v's other neighbour; a link into a vertex
     outside of chains ends there. After k jumps a link knows where it is 2^k links on, and the smallest vertex on the way."""
     inner = stash.put(degrees.filter("degree = 2").select("v", "lo", "hi"))
-    if inner.isEmpty():
+    if not stash.rows(inner):
         stash.drop(inner)
         return None
     # links that leave an inner vertex, and what follows them if they lead to another one
@@ -97,11 +97,13 @@ def _hook(stash: Stash, edges: DataFrame, turn: int) -> DataFrame:
     tree = stash.put(lowest.select("v", F.col("w.x").alias("to")))
     for _ in range(MAX_ROUNDS):
         up = tree.select(F.col("v").alias("to"), F.col("to").alias("root"))
-        jumped = stash.put(tree.join(up, "to", "left").select("v", F.coalesce("root", "to").alias("to"), F.col("root").isNotNull().alias("moved")))
+        jumped, moved = stash.put_with(tree.join(up, "to", "left").select("v", F.coalesce("root", "to").alias("to"), "root"), F.count("root").alias("moved"))
         stash.drop(tree)
         tree = jumped
-        if tree.filter("moved").isEmpty():
+        if not moved:
             break
+        tree = jumped.select("v", "to")
+        tree._stash_path = jumped._stash_path
     return tree.select("v", "to")
 
 
@@ -118,20 +120,20 @@ def components(spark: SparkSession, pairs: DataFrame, left: str, right: str) ->
     vertices = stash.put(_both(edges).select("v").unionByName(loops).distinct())
     taken: list[DataFrame] = []
     for turn in range(MAX_ROUNDS):
-        if edges.isEmpty():
+        if not stash.rows(edges):
             break
         while True:  # strip leaves as long as they are many
             degrees = stash.put(_degrees(edges))
             leaves = stash.put(_leaves(degrees))
-            n_leaves, n = leaves.count(), degrees.count()
+            n_leaves, n = stash.rows(leaves), stash.rows(degrees)
             if n_leaves:
                 taken.append(leaves)
                 before, edges = edges, stash.put(_without(edges, leaves))
                 stash.drop(before)
-            if n_leaves < 0.05 * n or edges.isEmpty():
+            if n_leaves < 0.05 * n or not stash.rows(edges):
                 break
             stash.drop(degrees)
-        if edges.isEmpty():
+        if not stash.rows(edges):
             stash.drop(degrees)
             break
         if n_leaves:
@@ -147,7 +149,7 @@ def components(spark: SparkSession, pairs: DataFrame, left: str, right: str) ->
             rest = edges.join(inner.select(F.col("v").alias("a")), "a", "left_anti").join(inner.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b")
             before, edges = edges, stash.put(rest.unionByName(between).distinct())
             stash.drop(before, between)
-            if edges.isEmpty():
+            if not stash.rows(edges):
                 break
         roots = _hook(stash, edges, turn)
         roots = stash.put(roots)
