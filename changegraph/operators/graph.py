@@ -8,18 +8,12 @@ never add a pair.
 
 from __future__ import annotations
 
-from functools import reduce as fold
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changegraph.session import Stash
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return fold(DataFrame.unionByName, frames)
-
-
 def reach(spark: SparkSession, edges: DataFrame, origins: DataFrame, within: int | None = None, paths: bool = False) -> DataFrame:
     """origin, node, depth (1, 2, ...): every node that a chain of edges leads to from each origin, the origin left out even on a cycle.
 
@@ -36,17 +30,14 @@ def reach(spark: SparkSession, edges: DataFrame, origins: DataFrame, within: int
         step = frontier.join(links, frontier["node"] == links["src"]).filter(F.col("dst") != F.col("origin"))
         found = step.groupBy("origin", F.col("dst").alias("node")).agg(F.min("src").alias("via"), *([F.min_by("path", "src").alias("path")] if paths else []))
         if rounds:
-            found = found.join(_union([r.select("origin", "node") for r in rounds]), ["origin", "node"], "left_anti")
+            found = found.join(stash.union(rounds).select("origin", "node"), ["origin", "node"], "left_anti")
         columns = ["origin", "node", F.lit(depth).alias("depth")] + ([F.concat("path", F.array("node")).alias("path")] if paths else [])
         new = stash.put(found.select(*columns))
-        if new.isEmpty():
-            stash.drop(new)
-            break
         rounds.append(new)
+        if not stash.rows(new):
+            break
         frontier = new if paths else new.withColumn("path", F.array())
-    if not rounds:
-        rounds.append(stash.put(frontier.select("origin", "node", F.lit(0).alias("depth"), *(["path"] if paths else [])).limit(0)))
-    return _union(rounds)
+    return stash.union(rounds)
 
 
 def callers(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,12 +131,13 @@ def layers(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame
     while True:
         entered = links.select(F.col("dst").alias("node")).distinct()
         ready = stash.put(left.join(entered, "node", "left_anti").select("node", F.lit(len(done)).alias("depth")))
-        if ready.isEmpty():
+        if not stash.rows(ready):
             break
         done.append(ready)
         left = stash.put(left.join(ready, "node", "left_anti").select("node"))
         links = stash.put(links.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
-    return _union([*done, left.select("node", F.lit(len(done)).alias("depth"))])
+    rest = left.select("node", F.lit(len(done)).alias("depth"))
+    return stash.union(done).unionByName(rest) if done else rest
 
 
 def ubiquitous(reached: DataFrame, share: float) -> DataFrame:
@@ -172,19 +164,22 @@ def merges(spark: SparkSession, edges: DataFrame, steps: DataFrame, noise: DataF
 def connected(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component: the smallest node that each of nodes(node) is linked with, whatever the direction; alone, its own.
 
-    Labels travel along links and then along themselves (a label's own label), so the rounds grow with the logarithm of the
-    longest chain. Each round's minimum per node is combined before it is shuffled."""
+    Each round every node hooks onto its smallest neighbour if that is smaller, the trees so made are folded to their roots
+    by pointer jumping, and the links between roots go into the next round. At the end each node follows its hooks."""
     stash = Stash(spark)
     pairs = edges.select("src", "dst").dropna().filter("src <> dst")
     links = stash.put(pairs.union(pairs.select("dst", "src")).distinct())
-    every = nodes.select("node").dropna().union(links.select("src")).distinct()
-    labels = stash.put(every.select("node", F.col("node").alias("component")))
-    while True:
-        told = links.join(labels, links["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("c"))
-        nearer = stash.put(labels.join(told, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("was")))
-        up = nearer.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        jumped = stash.put(nearer.join(up, "component").select("node", F.col("top").alias("component"), (F.col("top") != F.col("was")).alias("moved")))
-        stash.drop(labels, nearer)
-        labels = jumped
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", "component")
+    labels = nodes.select("node").dropna().union(links.select("src")).distinct().select("node", F.col("node").alias("component"))
+    while stash.rows(links):
+        hooks = stash.put(links.groupBy("src").agg(F.min("dst").alias("root")).filter("root < src"))
+        while True:
+            up = hooks.select(F.col("src").alias("root"), F.col("root").alias("top"))
+            jumped, moved = stash.put_with(hooks.join(up, "root", "left").select("src", F.coalesce("top", "root").alias("root"), "top"), F.count("top").alias("moved"))
+            hooks = jumped.select("src", "root")
+            if not moved:
+                break
+        to_a, to_b = hooks.select("src", F.col("root").alias("ra")), hooks.select(F.col("src").alias("dst"), F.col("root").alias("rb"))
+        folded = links.join(to_a, "src", "left").join(to_b, "dst", "left").select(F.coalesce("ra", "src").alias("src"), F.coalesce("rb", "dst").alias("dst"))
+        links = stash.put(folded.filter("src <> dst").distinct())
+        labels = stash.put(labels.join(hooks.select(F.col("src").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+    return labels

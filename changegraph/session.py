@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
 
@@ -45,22 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
 class Stash:
     """Tables written to the shared folder to cut lineage; `drop` removes those no longer needed.
 
-    A written table outlives the executors that wrote it, and its size is known from its files."""
+    A written table outlives the executors that wrote it. Its rows are counted while it is written (`rows`), so a loop
+    needs no job of its own to see whether it is done, and several tables of one schema are read as one (`union`)."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
+        return self.put_with(df)[0]
+
+    def put_with(self, df: DataFrame, *measures: Column):
+        """The table, and the values of aggregates taken while it was written."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        path, seen = f"{self.root}/{self.n}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("_rows"), *measures).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
-        back._stash_path = path
-        return back
+        got = seen.get
+        back._stash_path, back._stash_rows = path, got.pop("_rows")
+        return back, *got.values()
+
+    @staticmethod
+    def rows(df: DataFrame) -> int:
+        return df._stash_rows
+
+    def union(self, frames: list[DataFrame]) -> DataFrame:
+        return self.spark.read.schema(frames[0].schema).parquet(*[f._stash_path for f in frames])
 
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
