@@ -13,7 +13,7 @@ def _col(c: Column | str) -> Column:
 
 
 def _node(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.btrim(c, F.lit(BLANKS)), "\\", "/"), r"^\./", "")
+    return F.regexp_replace(F.replace(F.btrim(c, F.lit(BLANKS)), F.lit("\\"), F.lit("/")), r"^\./", "")
 
 
 def _words(c: Column) -> Column:

@@ -2,7 +2,8 @@
 
 One semi-naive loop serves them all: a round joins the frontier with the edges, keeps the pairs not seen before and
 writes them to the shared folder. A round costs one join and one anti-join of the frontier; earlier rounds are read as
-they were written and never computed again. Edges are expected to be distinct; null ends are ignored, self-loops
+they were written and never computed again. Where no path is asked for, a round goes over links of up to 2, 4, 8, ...
+edges at once, as far as these stay few. Edges are expected to be distinct; null ends are ignored, self-loops
 never add a pair.
 """
 
@@ -14,6 +15,46 @@ from pyspark.sql import functions as F
 from changegraph.session import Stash
 
 
+#: Links over several edges may be so many times the edges themselves.
+FAR = 30
+
+
+def far_links(stash: Stash, links: DataFrame) -> tuple[DataFrame, int | None]:
+    """src, dst, w: the shortest distance of every pair that lies at most a span apart, and the span; None if that is all pairs.
+
+    The span doubles as long as the number of chains to be joined, known beforehand from the degrees, stays within FAR
+    times the edges: graphs with hubs on both sides are left as they are."""
+    far, span, most = stash.put(links.select("src", "dst", F.lit(1).alias("w"))), 1, FAR * stash.rows(links)
+    while True:
+        into = far.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("i"))
+        out = far.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("o"))
+        if (into.join(out, "v").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) > most:
+            return far, span
+        on = far.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("w").alias("w2"))
+        chains = far.join(on, "dst").filter("src <> to").select("src", F.col("to").alias("dst"), (F.col("w") + F.col("w2")).alias("w"))
+        twice = stash.put(far.unionByName(chains).groupBy("src", "dst").agg(F.min("w").alias("w")))
+        if stash.rows(twice) == stash.rows(far):
+            return far, None
+        stash.drop(far)
+        far, span = twice, 2 * span
+
+
+def _leap(stash: Stash, links: DataFrame, start: DataFrame) -> DataFrame:
+    """origin, node, depth by rounds that go a whole span of edges at once."""
+    far, span = far_links(stash, links)
+    frontier = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"))
+    rounds: list[DataFrame] = []
+    while True:
+        step = frontier.join(far, frontier["node"] == far["src"]).filter(F.col("dst") != F.col("origin"))
+        found = step.groupBy("origin", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
+        if rounds:
+            found = found.join(stash.union(rounds).select("origin", "node"), ["origin", "node"], "left_anti")
+        rounds.append(stash.put(found.select("origin", "node", "depth")))
+        if span is None or not stash.rows(rounds[-1]):
+            return stash.union(rounds)
+        frontier = rounds[-1]
+
+
 def reach(spark: SparkSession, edges: DataFrame, origins: DataFrame, within: int | None = None, paths: bool = False) -> DataFrame:
     """origin, node, depth (1, 2, ...): every node that a chain of edges leads to from each origin, the origin left out even on a cycle.
 
@@ -22,6 +63,8 @@ def reach(spark: SparkSession, edges: DataFrame, origins: DataFrame, within: int
     stash = Stash(spark)
     links = stash.put(edges.select("src", "dst").dropna().filter("src <> dst").distinct())
     start = origins.select("origin").dropna().distinct()
+    if within is None and not paths:
+        return _leap(stash, links, start)
     frontier = start.select("origin", F.col("origin").alias("node"), F.array("origin").alias("path"))
     rounds: list[DataFrame] = []
     depth = 0
@@ -36,7 +79,7 @@ def reach(spark: SparkSession, edges: DataFrame, origins: DataFrame, within: int
         rounds.append(new)
         if not stash.rows(new):
             break
-        frontier = new if paths else new.withColumn("path", F.array())
+        frontier = new if paths else new.withColumn("path", F.array("origin"))
     return stash.union(rounds)
 
 

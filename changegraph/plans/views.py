@@ -22,8 +22,8 @@ def revised(spark: SparkSession, d: str) -> DataFrame:
     """repo, area, side ('base' or 'head'), src, dst: the edges of each area's first and last revision; dst may be null."""
     e = load(spark, d, "graph_edges", "repo string, ref_sha string, src string, dst string, seen_at timestamp_ntz")
     e = e.select("repo", "ref_sha", "seen_at", tidy.node("src").alias("s"), tidy.node("dst").alias("t")).withColumn("area", paths.area_of("s"))
-    when = F.struct("seen_at", "ref_sha")
-    ends = e.groupBy("repo", "area").agg(F.min(when).alias("b"), F.max(when).alias("h"))
+    seen = e.groupBy("repo", "area", "ref_sha").agg(F.min("seen_at").alias("first"), F.max("seen_at").alias("last"))
+    ends = seen.groupBy("repo", "area").agg(F.min(F.struct("first", "ref_sha")).alias("b"), F.max(F.struct("last", "ref_sha")).alias("h"))
     sides = ends.select("repo", "area", F.explode(F.array(F.struct(F.lit("base").alias("side"), F.col("b.ref_sha").alias("ref_sha")), F.struct(F.lit("head").alias("side"), F.col("h.ref_sha").alias("ref_sha")))).alias("x"))
     sides = sides.select("repo", "area", "x.side", "x.ref_sha")
     return e.join(sides, ["repo", "area", "ref_sha"]).select("repo", "area", "side", _in_repo(F.col("s")).alias("src"), _in_repo(F.col("t")).alias("dst")).distinct()
