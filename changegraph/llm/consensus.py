@@ -82,9 +82,9 @@ def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h1, h2 = (batch.column(i).to_numpy() for i in (0, 1))
+        h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
         starts = _starts(h1, h2)
-        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (h1[0], h2[0]):
+        if held and (held[-1].column("h1")[-1].as_py(), held[-1].column("h2")[-1].as_py()) != (h1[0], h2[0]):
             yield pa.Table.from_batches(held)
             held = []
         cut = starts[-1]
@@ -153,8 +153,8 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
     def with_ability(of: DataFrame, columns: list[str]) -> DataFrame:
         df = table.select(*columns)
         if few:  # a join with a broadcast table leaves rows where they are
-            return df.join(F.broadcast(of), "code")
-        return df.join(of, "code").repartition(width, "h1", "h2").sortWithinPartitions(*order)
+            return df.join(F.broadcast(of), "code").select(*columns, "ability")
+        return df.join(of, "code").repartition(width, "h1", "h2").sortWithinPartitions(*order).select(*columns, "ability")
 
     ability = stash.put(codes.select("code", F.lit(ABILITY_MEAN).alias("ability")))
     for _ in range(PASSES):
