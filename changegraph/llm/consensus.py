@@ -1,8 +1,8 @@
 """Consensus from several annotators' labels by latent ability and difficulty, learned by gradient expectation-maximisation.
 
-Annotator j labels item i rightly with probability s(a_j b_i), s the logistic function, a_j the annotator's ability and
-b_i > 0 the item's ease; a wrong label is any of the K_i - 1 others alike. So a vote adds a_j b_i + log(K_i - 1) to the log
-posterior of its label. Each pass over the votes, sorted by item, takes the posterior of each item's labels (E), moves the
+Annotator j labels item i rightly with probability s(a_j b_i - log(K_i - 1)), s the logistic function, a_j the annotator's
+ability and b_i > 0 the item's ease; a wrong label is any of the K_i - 1 others alike. Ability 0 is guessing, and a vote adds
+a_j b_i to the log posterior of its label, whose prior is the label's share of the votes in the item's context. Each pass over the votes, sorted by item, takes the posterior of each item's labels (E), moves the
 item's ease along its gradient until it settles (that needs the item's votes alone, so no state per item is kept
 between passes), and sums gradient and curvature of the abilities per annotator, combined per batch before the shuffle (M).
 Abilities are a table of one row per annotator; below a checked number of annotators it is broadcast, beyond that
@@ -22,8 +22,8 @@ from changegraph.session import Stash
 
 BROADCAST_ANNOTATORS = 100_000
 PASSES, SETTLED = 25, 0.01
-#: Priors: abilities are normal around 1, logarithms of ease around 0.
-ABILITY_MEAN, ABILITY_VAR, EASE_VAR = 1.0, 4.0, 0.5
+#: Priors: abilities are normal around 3, logarithms of ease around 0.
+ABILITY_MEAN, ABILITY_VAR, EASE_VAR = 3.0, 4.0, 0.1
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -42,7 +42,7 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 class Items:
     """The votes of whole items, sorted by item and label, and what follows from them given the abilities."""
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, label: np.ndarray, ability: np.ndarray, choices: np.ndarray):
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, label: np.ndarray, ability: np.ndarray, choices: np.ndarray, share: np.ndarray):
         n = len(h1)
         self.item_at = _starts(h1, h2)
         self.label_at = _starts(h1, h2, label)
@@ -51,11 +51,13 @@ class Items:
         self.label_item = self.item[self.label_at]
         self.ability = ability
         self.support = np.diff(np.append(self.label_at, n))
+        self.share = share[self.label_at]
         self.sums = np.add.reduceat(ability, self.label_at)
         voted = np.bincount(self.label_item)
         self.k = np.maximum(np.maximum(choices[self.item_at], voted), 2)
-        self.unvoted = self.k - voted
         self.first_label = _starts(self.label_item)
+        self.unvoted = np.maximum(1 - np.add.reduceat(self.share, self.first_label), 0)
+        self.chance = np.log(self.k - 1)[self.item]
         self.log_ease = np.zeros(len(self.item_at))
         for _ in range(8):
             p, s = self.posterior(), self.right()
@@ -66,11 +68,11 @@ class Items:
 
     def right(self) -> np.ndarray:
         """Probability that each vote is right, before looking at the other votes."""
-        return _sigmoid(self.ability * np.exp(self.log_ease)[self.item])
+        return _sigmoid(self.ability * np.exp(self.log_ease)[self.item] - self.chance)
 
     def posterior(self) -> np.ndarray:
         """Of each voted label."""
-        z = np.exp(self.log_ease)[self.label_item] * self.sums + self.support * np.log(self.k - 1)[self.label_item]
+        z = np.exp(self.log_ease)[self.label_item] * self.sums + np.log(self.share)
         top = np.maximum(np.maximum.reduceat(z, self.first_label), 0)
         e = np.exp(z - top[self.label_item])
         return e / (np.add.reduceat(e, self.first_label) + self.unvoted * np.exp(-top))[self.label_item]
@@ -97,8 +99,7 @@ def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _items(t: pa.Table) -> Items:
-    h1, h2, label, ability, choices = (t.column(c).to_numpy() for c in ("h1", "h2", "label_hash", "ability", "choices"))
-    return Items(h1, h2, label, ability, choices)
+    return Items(*(t.column(c).to_numpy() for c in ("h1", "h2", "label_hash", "ability", "choices", "share")))
 
 
 def _gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +133,7 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
     items: the item's columns, label (of the highest posterior), confidence (that posterior), votes, labels (distinct
     ones voted), difficulty, agreement: of the pairs of votes the share that agree, corrected for chance by the shares of labels over all votes,
     null for a single vote. annotators: annotator, votes, ability, reliability (probability of a right label on an item
-    of average ease). The number of labels to choose from is that of the distinct ones voted in the item's context.
+    of average ease among as many labels as contexts have on average). The labels to choose from are those voted in the item's context.
     Rows with a null in any of these columns are no votes; of an annotator's several labels of one item the
     smallest counts; repeats count once. No votes give empty tables."""
     stash = Stash(spark)
@@ -140,10 +141,12 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
     for c in item:
         v = v.filter(F.col(f"item.{c}").isNotNull())
     single = stash.put(v.groupBy("item", "annotator").agg(F.min("label").alias("label"), F.min("context").alias("context")))
-    choices = single.groupBy("context").agg(F.countDistinct("label").alias("choices"))
+    in_context = single.groupBy("context", "label").agg(F.count(F.lit(1)).alias("n"))
+    contexts = in_context.groupBy("context").agg(F.count(F.lit(1)).alias("choices"), F.sum("n").alias("all"))
+    shares = in_context.join(contexts, "context").select("context", "label", "choices", (F.col("n") / F.col("all")).alias("share"))
     codes = stash.put(single.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes")).withColumn("code", F.monotonically_increasing_id()))
-    coded = single.join(choices, "context").join(codes.select("annotator", "code"), "annotator")
-    coded = coded.select(F.xxhash64("item").alias("h1"), F.xxhash64(F.lit(1), "item").alias("h2"), F.xxhash64("label").alias("label_hash"), "code", "choices", "item", "label")
+    coded = single.join(shares, ["context", "label"]).join(codes.select("annotator", "code"), "annotator")
+    coded = coded.select(F.xxhash64("item").alias("h1"), F.xxhash64(F.lit(1), "item").alias("h2"), F.xxhash64("label").alias("label_hash"), "code", "choices", "share", "item", "label")
     order = ("h1", "h2", "label_hash")
     few = codes.count() <= BROADCAST_ANNOTATORS
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -158,7 +161,7 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
 
     ability = stash.put(codes.select("code", F.lit(ABILITY_MEAN).alias("ability")))
     for _ in range(PASSES):
-        sums = with_ability(ability, ["h1", "h2", "label_hash", "code", "choices"]).mapInArrow(_gradients, "code bigint, up double, bend double").groupBy("code").agg(F.sum("up").alias("up"), F.sum("bend").alias("bend"))
+        sums = with_ability(ability, ["h1", "h2", "label_hash", "code", "choices", "share"]).mapInArrow(_gradients, "code bigint, up double, bend double").groupBy("code").agg(F.sum("up").alias("up"), F.sum("bend").alias("bend"))
         up = F.col("up") - (F.col("ability") - ABILITY_MEAN) / ABILITY_VAR
         step = F.greatest(F.least(up / (F.col("bend") + 1 / ABILITY_VAR), F.lit(1.0)), F.lit(-1.0))
         moved = stash.put(ability.join(sums, "code").select("code", (F.col("ability") + step).alias("ability"), F.abs(step).alias("by")))
@@ -176,5 +179,6 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
     decided = stash.put(decided)
     table.unpersist()
     items = decided.select("item.*", "label", "confidence", "votes", "labels", "difficulty", agreement.alias("agreement"))
-    annotators = codes.join(ability, "code").select("annotator", "votes", "ability", (1 / (1 + F.exp(-F.col("ability")))).alias("reliability"))
+    guess = contexts.agg(F.sum(F.log(F.greatest(F.col("choices"), F.lit(2)) - 1) * F.col("all")) / F.sum("all")).first()[0] or 0.0
+    annotators = codes.join(ability, "code").select("annotator", "votes", "ability", (1 / (1 + F.exp(guess - F.col("ability")))).alias("reliability"))
     return items, annotators
