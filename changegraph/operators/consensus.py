@@ -17,19 +17,6 @@ def threshold(n: Column) -> Column:
     return F.greatest(F.lit(2), F.ceil(n * 3 / 4)).cast("int")
 
 
-def plurality(votes: DataFrame, item: str, choice: str, order: str, need: Column | int) -> DataFrame:
-    """item, choice, votes, voters, tied, status: of equally many votes the choice that was voted first.
-
-    status: 'single-source' for one voter, 'agreed' from `need` votes on, else 'contested'. Counts are combined before the shuffle;
-    a choice's rank is decided by an aggregate, so a hot item is not sorted in one task."""
-    counts = votes.groupBy(item, choice).agg(F.count(F.lit(1)).alias("v"), F.min(order).alias("o"))
-    best = F.min_by(F.col(choice), F.struct(-F.col("v"), F.col("o"), F.col(choice)))
-    top = counts.groupBy(item).agg(best.alias(choice), F.max("v").alias("votes"), F.sum("v").alias("voters"))
-    ties = counts.join(top.select(item, F.col("votes").alias("m")), item).filter("v = m").groupBy(item).agg((F.count(F.lit(1)) > 1).alias("tied"))
-    status = F.when(F.col("voters") == 1, "single-source").when(F.col("votes") >= need, "agreed").otherwise("contested")
-    return top.join(ties, item).select(item, choice, "votes", "voters", "tied", status.alias("status"))
-
-
 def mode_first(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """by, value: the most frequent value of each group, of equal ones the first seen."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))

@@ -93,10 +93,10 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def placements(spark: SparkSession, d: str) -> DataFrame:
-    """endpoint, run_id, flow_id, step_no, pos: each mapper's first placement of each entry point, in the order of pass, flow and step."""
-    p = load_steps(spark, d, "endpoints").select("repo", "run_id", "flow_id", "step_no", F.struct("pass_no", "flow_pos", "step_pos").alias("pos"), F.explode(tidy.entries("endpoints")).alias("e"))
-    p = p.select(_in_repo(F.col("e")).alias("endpoint"), "run_id", "flow_id", "step_no", "pos")
-    return p.groupBy("endpoint", "run_id").agg(F.min(F.struct("pos", "flow_id", "step_no")).alias("first")).select("endpoint", "run_id", "first.flow_id", "first.step_no", "first.pos")
+    """scope (repo area), endpoint, run_id, flow_id, step_no, pos: each mapper's first placement of each entry point, in the order of pass, flow and step."""
+    p = load_steps(spark, d, "endpoints").select("repo", "area", "run_id", "flow_id", "step_no", F.struct("pass_no", "flow_pos", "step_pos").alias("pos"), F.explode(tidy.entries("endpoints")).alias("e"))
+    p = p.select(F.concat_ws(" ", "repo", "area").alias("scope"), _in_repo(F.col("e")).alias("endpoint"), "run_id", "flow_id", "step_no", "pos")
+    return p.groupBy("scope", "endpoint", "run_id").agg(F.min(F.struct("pos", "flow_id", "step_no")).alias("first")).select("scope", "endpoint", "run_id", "first.flow_id", "first.step_no", "first.pos")
 
 
 def changed_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ SQL: dict[str, str] = {
     "rflows": "SELECT pass_no, repo, area, run_id, written_at, unnest(flows) AS flow, generate_subscripts(flows, 1) - 1 AS flow_pos FROM runs0",
     "rsteps": "SELECT pass_no, repo, area, run_id, written_at, flow_pos, flow.id AS flow_id, unnest(flow.steps) AS s, generate_subscripts(flow.steps, 1) - 1 AS step_pos FROM rflows",
     "places0": "SELECT *, unnest(s.endpoints) AS v FROM rsteps",
-    "placements": f"SELECT endpoint, run_id, arg_min(flow_id, (pass_no, flow_pos, step_pos)) AS flow_id, arg_min(s.step_no, (pass_no, flow_pos, step_pos)) AS step_no, min((pass_no, flow_pos, step_pos)) AS pos FROM (SELECT *, repo || ' ' || {e_('v')} AS endpoint FROM places0 WHERE {e_('v')} IS NOT NULL) GROUP BY endpoint, run_id",
+    "placements": f"SELECT repo || ' ' || area AS scope, endpoint, run_id, arg_min(flow_id, (pass_no, flow_pos, step_pos)) AS flow_id, arg_min(s.step_no, (pass_no, flow_pos, step_pos)) AS step_no, min((pass_no, flow_pos, step_pos)) AS pos FROM (SELECT *, repo || ' ' || {e_('v')} AS endpoint FROM places0 WHERE {e_('v')} IS NOT NULL) GROUP BY repo, area, endpoint, run_id",
     "lines": f"SELECT entry_no, {f_('handler')} AS file, {l_('handler')} AS leaf, line FROM listings WHERE handler IS NOT NULL AND line IS NOT NULL",
 }
 NAMED = {k: re.compile(rf"\b{k}\b(?!\s*\.?\()") for k in SQL}

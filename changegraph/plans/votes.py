@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changegraph.functions import paths, tidy
-from changegraph.operators import consensus, graph
+from changegraph.operators import consensus, graph, reconcile
 from changegraph.plans import views as V
 from changegraph.session import Stash
 from changegraph.sources.tables import load
@@ -24,22 +24,55 @@ def query(oracle: str | None = None, recursive: str = "", **more: str):
     return add
 
 
-#: A mapper's votes come in the order of the passes.
-COUNTS = "SELECT endpoint, flow_id, count(*) AS v, min(pos) AS o FROM placements WHERE flow_id IS NOT NULL GROUP BY ALL"
-TOP = "SELECT endpoint, arg_min(flow_id, (-v, o, flow_id)) AS flow_id, max(v) AS votes, sum(v)::BIGINT AS voters FROM counts GROUP BY endpoint"
-NEED = "greatest(2, ceil(voters * 3 / 4))"
-STATUS = f"SELECT endpoint, flow_id, votes, voters, (SELECT count(*) FROM counts WHERE counts.endpoint = top.endpoint AND v = votes) > 1 AS tied, CASE WHEN voters = 1 THEN 'single-source' WHEN votes >= {NEED} THEN 'agreed' ELSE 'contested' END AS status FROM top"
-VOTES = {"counts": COUNTS, "top": TOP, "status_of": STATUS}
+#: How many must agree follows from the number of mappers of the area; votes come in the order of passes, flows and steps.
+MAPPERS = "SELECT repo, area, count(DISTINCT run_id) AS runs, CAST(greatest(2, ceil(count(DISTINCT run_id) * 3 / 4)) AS INTEGER) AS need FROM runs0 GROUP BY repo, area"
+COUNTS = "SELECT scope, endpoint, flow_id, count(*) AS v, min(pos) AS o FROM placements WHERE flow_id IS NOT NULL GROUP BY ALL"
+TOP = "SELECT scope, endpoint, arg_min(flow_id, (-v, o, flow_id)) AS flow_id, max(v) AS votes, sum(v)::BIGINT AS voters FROM counts GROUP BY scope, endpoint"
+STATUS = "SELECT scope, endpoint, flow_id, votes, voters, (SELECT count(*) FROM counts WHERE counts.endpoint = top.endpoint AND counts.scope = top.scope AND v = votes) > 1 AS tied, CASE WHEN votes >= need THEN 'agreed' WHEN votes >= 2 THEN 'contested' ELSE 'single-source' END AS status FROM top JOIN mappers ON scope = mappers.repo || ' ' || mappers.area"
+VOTES = {"mappers": MAPPERS, "counts": COUNTS, "top": TOP, "status_of": STATUS}
+
+
+def scoped_need(spark: SparkSession, d: str) -> DataFrame:
+    m = load(spark, d, "map_runs", "repo string, area string, run_id string")
+    return reconcile.needs(m.select(F.concat_ws(" ", "repo", "area").alias("scope"), "run_id"))
 
 
 def voted(spark: SparkSession, d: str) -> DataFrame:
+    """scope, endpoint, flow_id, votes, voters, tied, status: before ties are broken."""
     p = V.placements(spark, d).filter("flow_id is not null")
-    return consensus.plurality(p, "endpoint", "flow_id", "pos", consensus.threshold(F.col("voters")))
+    counts = p.groupBy("scope", "endpoint", "flow_id").agg(F.count(F.lit(1)).alias("v"), F.min("pos").alias("o"))
+    top = counts.groupBy("scope", "endpoint").agg(F.min_by("flow_id", F.struct(-F.col("v"), F.col("o"), F.col("flow_id"))).alias("flow_id"), F.max("v").alias("votes"), F.sum("v").alias("voters"))
+    ties = counts.join(top.select("scope", "endpoint", F.col("votes").alias("m")), ["scope", "endpoint"]).filter("v = m").groupBy("scope", "endpoint").agg((F.count(F.lit(1)) > 1).alias("tied"))
+    met = top.join(ties, ["scope", "endpoint"]).join(scoped_need(spark, d), "scope")
+    return met.select("scope", "endpoint", "flow_id", "votes", "voters", "tied", reconcile.status(F.col("votes"), F.col("need")).alias("status"))
+
+
+def reconciled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The passes of every area made into one map."""
+    r = V.runs(spark, d)
+    ends = F.transform(tidy.entries("endpoints"), lambda e: F.concat_ws(" ", F.col("repo"), e))
+    pos = F.struct("pass_no", "flow_pos", "step_pos")
+    n = F.count(F.lit(1)).over(Window.partitionBy("pass_no", "flow_pos"))
+    steps = Stash(spark).put(r.select(F.concat_ws(" ", "repo", "area").alias("scope"), "run_id", "flow_id", pos.alias("pos"), (F.col("step_pos") / F.greatest(n, F.lit(1))).alias("at"), "step_no", "id", "step_name", "actor", "ui", "code_path", "writes", ends.alias("endpoint_list")))
+    files = V.entries(spark, d).filter("handler is not null").select("endpoint", paths.file_of("handler").alias("file"))
+    return reconcile.reconcile(spark, steps, files)
+
+
+@query()
+def reconcile_flows(spark, d):
+    return reconciled(spark, d)[0]
+
+
+@query()
+def reconcile_map(spark, d):
+    """Steps of the reconciled maps, arrays joined."""
+    flat = lambda c: F.array_join(c, ", ").alias(c)
+    return reconciled(spark, d)[1].select("scope", "flow", "grp", "id", "step_name", "actor", flat("endpoints"), flat("hops"), flat("disputed"), "files", "exact", flat("runs"), "evidence", "position")
 
 
 @query("SELECT endpoint, flow_id, votes, voters, tied, status FROM status_of", **VOTES)
 def plurality_vote(spark, d):
-    return voted(spark, d)
+    return voted(spark, d).drop("scope")
 
 
 @query("SELECT DISTINCT n, CAST(greatest(2, ceil(n * 3 / 4)) AS INTEGER) AS need FROM (SELECT count(DISTINCT run_id) AS n FROM runs0 GROUP BY repo, area)")
@@ -60,22 +93,17 @@ def first_placement(spark, d):
 
 
 @query(
-    f"SELECT endpoint, arg_min(flow_id, (-coalesce(n, 0), o, flow_id)) AS flow_id FROM tied_choices LEFT JOIN affinity USING (file, flow_id) GROUP BY endpoint",
+    "SELECT endpoint, arg_min(flow_id, (-coalesce(n, 0), CASE WHEN flow_id = top_flow THEN 0 ELSE 1 END, o, flow_id)) AS flow_id FROM tied_choices LEFT JOIN affinity USING (file, flow_id) GROUP BY endpoint",
     **VOTES,
     handled="SELECT endpoint, regexp_extract(handler, '^(.*):[^:]*$', 1) AS file FROM entries WHERE handler IS NOT NULL",
     affinity="SELECT file, flow_id, count(*) AS n FROM status_of JOIN handled USING (endpoint) WHERE status = 'agreed' GROUP BY ALL",
-    tied_choices="SELECT counts.endpoint, counts.flow_id, o, file FROM counts JOIN status_of ON status_of.endpoint = counts.endpoint JOIN handled ON handled.endpoint = counts.endpoint WHERE tied AND v = votes",
+    tied_choices="SELECT counts.endpoint, counts.flow_id, o, file, status_of.flow_id AS top_flow FROM counts JOIN status_of ON status_of.endpoint = counts.endpoint LEFT JOIN handled ON handled.endpoint = counts.endpoint WHERE tied AND v = votes",
 )
 def affinity_tiebreak(spark, d):
     """Of tied flows the one that the agreed entry points of the handler's file are in most, else the one voted first."""
-    p = V.placements(spark, d).filter("flow_id is not null")
-    top = Stash(spark).put(consensus.plurality(p, "endpoint", "flow_id", "pos", consensus.threshold(F.col("voters"))))
     files = V.entries(spark, d).filter("handler is not null").select("endpoint", paths.file_of("handler").alias("file"))
-    affinity = top.filter("status = 'agreed'").join(files, "endpoint").groupBy("file", "flow_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = p.groupBy("endpoint", "flow_id").agg(F.count(F.lit(1)).alias("v"), F.min("pos").alias("o"))
-    tied = counts.join(top.filter("tied").select("endpoint", "votes"), "endpoint").filter("v = votes").join(files, "endpoint")
-    key = F.struct(-F.coalesce("n", F.lit(0)), F.col("o"), F.col("flow_id"))
-    return tied.join(affinity, ["file", "flow_id"], "left").groupBy("endpoint").agg(F.min_by("flow_id", key).alias("flow_id"))
+    got = reconcile.flows_of(V.placements(spark, d), scoped_need(spark, d), files)
+    return got.filter("tied").select("endpoint", F.col("flow").alias("flow_id"))
 
 
 @query("SELECT a, b, count(*) AS n FROM (SELECT x.endpoint AS a, y.endpoint AS b FROM placements x JOIN placements y ON x.step_no = y.step_no AND x.endpoint < y.endpoint) GROUP BY ALL")

@@ -11,7 +11,7 @@ QUICK = ("plurality_vote", "range_join_innermost", "impact", "symbol_status", "p
 
 def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) > 120
+    assert len(entry.queries()) > 100
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="test data not there")
