@@ -39,9 +39,25 @@ def far_links(stash: Stash, links: DataFrame) -> tuple[DataFrame, int | None]:
         far, span = twice, 2 * span
 
 
-def _leap(stash: Stash, links: DataFrame, start: DataFrame) -> DataFrame:
+class Links:
+    """Edges made ready for several questions: distinct, and with links over as many edges as stay few. `turned` is the same for the other direction."""
+
+    def __init__(self, spark: SparkSession, edges: DataFrame):
+        self.stash = Stash(spark)
+        self.edges = self.stash.put(edges.select("src", "dst").dropna().filter("src <> dst").distinct())
+        self.far, self.span = far_links(self.stash, self.edges)
+
+    def turned(self) -> Links:
+        other = object.__new__(Links)
+        swap = [F.col("dst").alias("src"), F.col("src").alias("dst")]
+        other.stash, other.span = self.stash, self.span
+        other.edges, other.far = self.edges.select(*swap), self.far.select(*swap, "w")
+        return other
+
+
+def _leap(links: Links, start: DataFrame) -> DataFrame:
     """origin, node, depth by rounds that go a whole span of edges at once."""
-    far, span = far_links(stash, links)
+    stash, far = links.stash, links.far
     frontier = start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"))
     rounds: list[DataFrame] = []
     while True:
@@ -50,21 +66,21 @@ def _leap(stash: Stash, links: DataFrame, start: DataFrame) -> DataFrame:
         if rounds:
             found = found.join(stash.union(rounds).select("origin", "node"), ["origin", "node"], "left_anti")
         rounds.append(stash.put(found.select("origin", "node", "depth")))
-        if span is None or not stash.rows(rounds[-1]):
+        if links.span is None or not stash.rows(rounds[-1]):
             return stash.union(rounds)
         frontier = rounds[-1]
 
 
-def reach(spark: SparkSession, edges: DataFrame, origins: DataFrame, within: int | None = None, paths: bool = False) -> DataFrame:
+def reach(spark: SparkSession, edges: DataFrame | Links, origins: DataFrame, within: int | None = None, paths: bool = False) -> DataFrame:
     """origin, node, depth (1, 2, ...): every node that a chain of edges leads to from each origin, the origin left out even on a cycle.
 
     depth is that of the shortest chain. With paths, `path` is the array of nodes of a shortest chain, of those the one whose
     last but one node is smallest, and so on back. origins: a column `origin`; repeats and nulls don't count."""
-    stash = Stash(spark)
-    links = stash.put(edges.select("src", "dst").dropna().filter("src <> dst").distinct())
     start = origins.select("origin").dropna().distinct()
     if within is None and not paths:
-        return _leap(stash, links, start)
+        return _leap(edges if isinstance(edges, Links) else Links(spark, edges), start)
+    stash = Stash(spark)
+    links = edges.edges if isinstance(edges, Links) else stash.put(edges.select("src", "dst").dropna().filter("src <> dst").distinct())
     frontier = start.select("origin", F.col("origin").alias("node"), F.array("origin").alias("path"))
     rounds: list[DataFrame] = []
     depth = 0
@@ -83,8 +99,10 @@ def reach(spark: SparkSession, edges: DataFrame, origins: DataFrame, within: int
     return stash.union(rounds)
 
 
-def callers(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def callers(spark: SparkSession, edges: DataFrame | Links, nodes: DataFrame) -> DataFrame:
     """origin, node, depth: who reaches each of nodes (column `origin`)."""
+    if isinstance(edges, Links):
+        return reach(spark, edges.turned(), nodes)
     return reach(spark, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes)
 
 
@@ -113,14 +131,14 @@ def reach_diff(spark: SparkSession, base: DataFrame, head: DataFrame, base_entri
     Entry points are those of both sides; only the ones above a changed edge on either side are followed at all, as
     no other reach can have moved. entries(endpoint, handler), nodes(node)."""
     stash = Stash(spark)
-    b, h = stash.put(base.select("src", "dst").dropna().distinct()), stash.put(head.select("src", "dst").dropna().distinct())
-    changed = stash.put(b.exceptAll(h).unionByName(h.exceptAll(b)))
+    b, h = Links(spark, base), Links(spark, head)
+    changed = stash.put(b.edges.exceptAll(h.edges).unionByName(h.edges.exceptAll(b.edges)))
     seeds = changed.select(F.col("src").alias("origin")).distinct()
     above = with_origin(callers(spark, b, seeds), seeds).unionByName(with_origin(callers(spark, h, seeds), seeds)).select(F.col("node").alias("handler")).distinct()
     both = base_entries.select("endpoint", F.col("handler").alias("hb")).join(head_entries.select("endpoint", F.col("handler").alias("hh")), "endpoint")
     moved = stash.put(both.join(above.select(F.col("handler").alias("hb"), F.lit(True).alias("up_b")), "hb", "left").join(above.select(F.col("handler").alias("hh"), F.lit(True).alias("up_h")), "hh", "left").filter("up_b or up_h or hb <> hh").select("endpoint", "hb", "hh"))
 
-    def side(edges: DataFrame, handler: str) -> DataFrame:
+    def side(edges: Links, handler: str) -> DataFrame:
         starts = moved.select(F.col(handler).alias("origin"))
         got = with_origin(reach(spark, edges, starts), starts)
         pairs = moved.join(got.withColumnRenamed("origin", handler), handler).select("endpoint", "node").distinct()
@@ -136,7 +154,7 @@ def nearest_causes(spark: SparkSession, edges: DataFrame, changed: DataFrame, mo
 
     changed(src, dst) are edges of edges; moved(node)."""
     stash = Stash(spark)
-    links = stash.put(edges.select("src", "dst").dropna().distinct())
+    links = Links(spark, edges)
     ch = stash.put(changed.select("src", "dst").distinct())
     starts = ch.select(F.col("dst").alias("origin")).distinct()
     below = stash.put(with_origin(reach(spark, links, starts), starts))  # from a changed edge's end on
@@ -189,13 +207,15 @@ def ubiquitous(reached: DataFrame, share: float) -> DataFrame:
     return reached.groupBy("node").agg(F.countDistinct("origin").alias("n")).filter(F.col("n") > total * share).select("node")
 
 
-def merges(spark: SparkSession, edges: DataFrame, steps: DataFrame, noise: DataFrame) -> DataFrame:
+def merges(spark: SparkSession, edges: DataFrame, steps: DataFrame, noise: DataFrame, got: DataFrame | None = None) -> DataFrame:
     """node, steps, flows: where the code of two or more flows first meets.
 
     steps(step, flow, handler). The set of steps that run a node is compared along edges: a node is kept if no caller has the
-    identical set. Sets are compared by count and hash sum of their steps, so none is ever collected. noise(node) is skipped."""
-    starts = steps.select(F.col("handler").alias("origin"))
-    got = with_origin(reach(spark, edges, starts), starts)
+    identical set. Sets are compared by count and hash sum of their steps, so none is ever collected. noise(node) is skipped.
+    got: origin, node, the reach of the handlers with themselves, where it is known already."""
+    if got is None:
+        starts = steps.select(F.col("handler").alias("origin"))
+        got = with_origin(reach(spark, edges, starts), starts)
     ran = steps.join(got, steps["handler"] == got["origin"]).join(noise, "node", "left_anti").select("node", "step", "flow").distinct()
     sets = ran.groupBy("node").agg(F.countDistinct("step").alias("steps"), F.countDistinct("flow").alias("flows"), F.sum(F.xxhash64("step").cast("decimal(38,0)")).alias("h"))
     sets = Stash(spark).put(sets.filter("flows >= 2"))

@@ -126,8 +126,8 @@ def handled_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merges(spark: SparkSession, d: str) -> DataFrame:
-    noise = graph.ubiquitous(reach_incl(spark, d), 0.5)
-    return graph.merges(spark, V.edges(spark, d), handled_steps(spark, d), noise)
+    got = Stash(spark).put(reach_incl(spark, d))
+    return graph.merges(spark, V.edges(spark, d), handled_steps(spark, d), graph.ubiquitous(got, 0.5), got)
 
 
 def merges(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +235,7 @@ def kept_calls(spark: SparkSession, d: str) -> DataFrame:
 def hub_folding(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that a handler reaches only through its repository's hub."""
     e = Stash(spark).put(V.edges(spark, d))
-    h = handlers(spark, d)
+    h = Stash(spark).put(handlers(spark, d))
     every = graph.reach(spark, e, h).select("origin", "node")
     hub = Stash(spark).put(hubs(e))
     free = graph.reach(spark, graph.avoiding(e, hub), h).select("origin", "node")

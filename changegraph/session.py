@@ -43,6 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+STASHES: list[Stash] = []
+
+
+@atexit.register
+def _clear_all() -> None:
+    """What is left in the shared folder goes when the driver ends in order."""
+    for s in STASHES:
+        try:
+            s.clear()
+        except Exception:  # the session may be gone
+            return
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage; `drop` removes those no longer needed.
 
@@ -51,6 +64,7 @@ class Stash:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        STASHES.append(self)
         self.root = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
         self.n = 0
 
