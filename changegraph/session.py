@@ -108,11 +108,3 @@ class Stash:
     def _delete(self, path: str) -> None:
         hadoop, fs = self._path(path)
         fs.delete(hadoop, True)
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the files go when nothing refers to them, if the cluster cleans checkpoints."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
