@@ -2,8 +2,8 @@
 
 Items and documents are brought to the same words (markup, entities, letter look-alikes, case, accents and layout don't count).
 The automaton of all items reads a document word by word and always knows the longest run of words that ends here and stands
-in some item. Each run of at least RUN words that can't be continued is a piece of evidence: where in the document, and
-where in which items. Evidence for one item is gathered on its diagonal (place in the document less place in the item), and where
+in some item; the states linked to its state name all items that the last RUN words stand in. Each run of at least RUN words
+of a document and an item that can't be continued is a piece of evidence, whatever other items hold. Evidence for one item is gathered on its diagonal (place in the document less place in the item), and where
 it covers enough of the item, the item's words are aligned with the words around, now with tolerance for misspelt and exchanged words.
 A document is reported with an item if at least the share COVERAGE of the item's words stands there in order.
 
@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,30 +107,53 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def runs(self, ids: list[int | None], least: int) -> list[tuple[int, int, int]]:
-        """(end in the document, length, state) of each longest run of at least `least` words that the next word doesn't continue."""
+    def walk(self, ids: list[int | None]) -> Iterator[tuple[int, int | None, int, int]]:
+        """(place, word, state, length) for each word and for the end of the document: the longest run that ends before this place."""
         nexts, link, length = self.next, self.link, self.length
-        out, state, n = [], 0, 0
+        state, n = 0, 0
         for at, w in enumerate(ids):
-            to = nexts[state].get(w)
-            if to is not None:
-                state, n = to, n + 1
-                continue
-            if n >= least:
-                out.append((at - 1, n, state))
+            yield at, w, state, n
             if w is None:
                 state = n = 0
                 continue
-            while state and w not in nexts[state]:
+            if w not in nexts[state]:
+                while state and w not in nexts[state]:
+                    state = link[state]
+                n = length[state]
+            to = nexts[state].get(w)
+            state, n = (0, 0) if to is None else (to, n + 1)
+        yield len(ids), None, state, n
+
+    def runs(self, ids: list[int | None], least: int) -> list[tuple[int, int, int]]:
+        """(end in the document, length, state) of each longest run of at least `least` words that the next word doesn't continue."""
+        return [(at - 1, n, state) for at, w, state, n in self.walk(ids) if n >= least and w not in self.next[state]]
+
+    def pieces(self, ids: list[int | None], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(item, place in the document less place in the item, first word of the item, words) of each run of at least `least`
+        words that the document and the item have in common and that neither its next nor its previous word continues.
+
+        What an item gets doesn't depend on the other items: a shorter run of it inside a longer one of another item counts too."""
+        nexts, link, length, ends, items = self.next, self.link, self.length, self.ends, self.items
+        for at, w, state, n in self.walk(ids):
+            if n < least:
+                continue
+            while length[link[state]] >= least:  # to the state of the last `least` words: every place where they stand
                 state = link[state]
-            if w in nexts[state]:
-                n = (length[state] if state else 0) + 1
-                state = nexts[state][w]
-            else:
-                state = n = 0
-        if n >= least:
-            out.append((len(ids) - 1, n, state))
-        return out
+            to = nexts[state].get(w)
+            if to is not None and len(ends[to]) == len(ends[state]):  # the next word continues them all
+                continue
+            last = at - 1
+            before = ids[last - least] if last >= least else None
+            for i, end in ends[state]:
+                item = items[i]
+                if to is not None and end + 1 < len(item) and item[end + 1] == w:
+                    continue
+                k = least
+                if end >= k and before is not None and item[end - k] == before:
+                    k += 1
+                    while k <= end and k <= last and item[end - k] == ids[last - k]:
+                        k += 1
+                yield i, last - end, end - k + 1, k
 
 
 def alike(a: str, b: str) -> bool:
@@ -183,21 +207,26 @@ def _common(masks: list[int], size: int) -> list[int]:
     return out
 
 
-def aligned(item: list[str], text: list[str], spelling: Spelling) -> tuple[int, int, int]:
-    """(words in common in order, first and last place in text) of a longest alignment that ends earliest, and of those begins latest."""
+def aligned(item: list[str], text: list[str], spelling: Spelling, least: float = 1) -> tuple[int, int, int]:
+    """(words in common in order, first and last place in text) of a longest alignment that ends earliest, and of those begins latest.
+
+    (0, -1, -1) if there are fewer than `least` words in common."""
     places: dict[str, int] = defaultdict(int)
     for k, w in enumerate(item):
         places[w] |= 1 << k
-    masks = []
+    masks, every = [], 0
     for t in text:
         m = 0
         for w in spelling.of(t):
             m |= places.get(w, 0)
         masks.append(m)
+        every |= m
     size = len(item)
+    if every.bit_count() < least:
+        return 0, -1, -1
     forth = _common(masks, size)
     n = forth[-1] if forth else 0
-    if not n:
+    if n < max(1, least):
         return 0, -1, -1
     last = forth.index(n)
     back = [int(f"{m:0{size}b}"[::-1], 2) for m in reversed(masks[: last + 1])]
@@ -206,33 +235,35 @@ def aligned(item: list[str], text: list[str], spelling: Spelling) -> tuple[int,
 
 def leaks(automaton: Automaton, ws: list[str]) -> list[tuple[int, int, int, int, float]]:
     """(item key, first word, last word, words in common, coverage) for every item that the words hold."""
-    runs = automaton.runs([automaton.vocabulary.get(w) for w in ws], RUN)
-    if not runs:
-        return []
     evidence: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for end, n, state in runs:
-        for i, at in automaton.ends[state]:
-            evidence[i].append((end - at, at - n + 1, n))  # diagonal, first word of the item, words
+    total: dict[int, int] = defaultdict(int)
+    for i, d, first, n in automaton.pieces([automaton.vocabulary.get(w) for w in ws], RUN):
+        evidence[i].append((d, first, n))  # diagonal, first word of the item, words
+        total[i] += n
     found = []
-    for i, pieces in evidence.items():
+    for i, n in total.items():
         size = len(automaton.items[i])
-        if sum(n for _, _, n in pieces) < EVIDENCE * size:
+        if n < EVIDENCE * size:
             continue
-        pieces.sort()
+        pieces = sorted(evidence[i])
         diagonals = [d for d, _, _ in pieces]
+        upto = [0, *accumulate(n for _, _, n in pieces)]
         reach = max(4, int(SLACK * size))
         best: tuple[int, int] = (0, 0)
         for k, d in enumerate(diagonals):  # the window of diagonals that covers most of the item
+            beyond = bisect_left(diagonals, d + reach + 1)
+            if upto[beyond] - upto[k] < max(EVIDENCE * size, best[0]):
+                continue
             covered = set()
-            for _, first, n in pieces[k : bisect_left(diagonals, d + reach + 1)]:
+            for _, first, n in pieces[k:beyond]:
                 covered.update(range(first, first + n))
             best = max(best, (len(covered), -d))
         covered, d = best[0], -best[1]
         if covered < EVIDENCE * size:
             continue
         low, high = max(0, d - reach), min(len(ws), d + size + 2 * reach)
-        common, first, last = aligned(automaton.words[i], ws[low:high], automaton.spelling)
-        if common >= COVERAGE * size and last - first + 1 <= size + 2 * reach:
+        common, first, last = aligned(automaton.words[i], ws[low:high], automaton.spelling, COVERAGE * size)
+        if common and last - first + 1 <= size + 2 * reach:
             found.append((automaton.keys[i], low + first, low + last, common, common / size))
     return found
 

@@ -99,3 +99,34 @@ def test_empty_sides(spark):
     one = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     assert L.find_leaks(none, "doc_id", "text", items, "item_id", "text").count() == 0
     assert L.find_leaks(one, "doc_id", "text", items, "item_id", "text").count() == 0
+
+
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=9), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=30), st.integers(1, 3))
+def test_pieces_are_each_items_own(items, doc, least):
+    a = L.Automaton([(i, ws) for i, ws in enumerate(items)])
+    same = lambda ws, p, t: 0 <= p < len(ws) and 0 <= t < len(doc) and ws[p] == doc[t]
+    want = []
+    for i, ws in enumerate(items):
+        for p in range(len(ws)):
+            for t in range(len(doc)):
+                n = next(k for k in range(len(ws) + 1) if not same(ws, p + k, t + k))
+                if n >= least and not same(ws, p - 1, t - 1):
+                    want.append((i, t - p, p, n))
+    assert sorted(a.pieces([a.vocabulary.get(w) for w in doc], least)) == sorted(want)
+
+
+def nested():
+    rnd = random.Random(8)
+    a = [f"{w}{k}" for k, w in enumerate(text(rnd, 30))]
+    items = [(0, " ".join(a)), (1, " ".join(a[5:15])), (2, " ".join(a[:12])), (3, " ".join(a[20:])), (4, " ".join([*a[:3], *text(rnd, 30)]))]
+    return items, [(0, "before it " + " ".join(a) + " and after"), (1, "only " + " ".join(a[5:15]) + " here")]
+
+
+def test_items_inside_items(spark, monkeypatch):
+    items, docs = nested()
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, 0, 2, 31), (0, 1, 7, 16), (0, 2, 2, 13), (0, 3, 22, 31), (1, 1, 1, 10), (1, 2, 1, 7)}
+    for most in (L.BLOCK_WORDS, 40, 8):
+        monkeypatch.setattr(L, "BLOCK_WORDS", most)
+        got = L.find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()
+        assert {(r["doc_id"], r["item"], r["first_word"], r["last_word"]) for r in got} == want and len(got) == len(want)
