@@ -5,7 +5,8 @@ The automaton of all items reads a document word by word and always knows the lo
 in some item; the states linked to its state name all items that the last RUN words stand in. Each run of at least RUN words
 of a document and an item that can't be continued is a piece of evidence, whatever other items hold. Evidence for one item is gathered on its diagonal (place in the document less place in the item), and where
 it covers enough of the item, the item's words are aligned with the words around, now with tolerance for misspelt and exchanged words.
-A document is reported with an item if at least the share COVERAGE of the item's words stands there in order.
+A document is reported with an item if at least the share COVERAGE of the item's words stands there in order, once for each
+place: all windows of diagonals with enough evidence are aligned, those with most first.
 
 The items are data the caller states to be bounded; beyond BLOCK_WORDS words they are read in blocks, each an automaton
 of its own over all documents, so no broadcast grows with them.
@@ -20,6 +21,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
@@ -234,7 +236,7 @@ def aligned(item: list[str], text: list[str], spelling: Spelling, least: float =
 
 
 def leaks(automaton: Automaton, ws: list[str]) -> list[tuple[int, int, int, int, float]]:
-    """(item key, first word, last word, words in common, coverage) for every item that the words hold."""
+    """(item key, first word, last word, words in common, coverage) for every place where the words hold an item."""
     evidence: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     total: dict[int, int] = defaultdict(int)
     for i, d, first, n in automaton.pieces([automaton.vocabulary.get(w) for w in ws], RUN):
@@ -243,29 +245,85 @@ def leaks(automaton: Automaton, ws: list[str]) -> list[tuple[int, int, int, int,
     found = []
     for i, n in total.items():
         size = len(automaton.items[i])
-        if n < EVIDENCE * size:
+        if n >= EVIDENCE * size:
+            found.extend((automaton.keys[i], first, last, common, common / size) for first, last, common in _spans(automaton.words[i], ws, evidence[i], automaton.spelling))
+    return found
+
+
+def _spans(item: list[str], ws: list[str], pieces: list[tuple[int, int, int]], spelling: Spelling) -> Iterator[tuple[int, int, int]]:
+    """(first word, last word, words in common) of each place where the words hold the item, the one with most evidence first.
+
+    Words of one span count for no other one. pieces: (diagonal, first word of the item, words)."""
+    size = len(item)
+    reach = max(4, int(SLACK * size))
+    pieces = sorted(pieces)
+    diagonals = [d for d, _, _ in pieces]
+    upto = [0, *accumulate(n for _, _, n in pieces)]
+    tried = [False] * len(pieces)
+    taken: set[int] = set()
+
+    def covered(k: int, beyond: int) -> int:
+        """Words of the item that stand in the window's pieces."""
+        places: set[int] = set()
+        for j in range(k, beyond):
+            if not tried[j]:
+                d, first, n = pieces[j]
+                places.update(range(first, first + n) if not taken else (p for p in range(first, first + n) if d + p not in taken))
+        return len(places)
+
+    windows = []
+    for k, d in enumerate(diagonals):
+        if k and diagonals[k - 1] == d:
             continue
-        pieces = sorted(evidence[i])
-        diagonals = [d for d, _, _ in pieces]
-        upto = [0, *accumulate(n for _, _, n in pieces)]
-        reach = max(4, int(SLACK * size))
-        best: tuple[int, int] = (0, 0)
-        for k, d in enumerate(diagonals):  # the window of diagonals that covers most of the item
-            beyond = bisect_left(diagonals, d + reach + 1)
-            if upto[beyond] - upto[k] < max(EVIDENCE * size, best[0]):
-                continue
-            covered = set()
-            for _, first, n in pieces[k:beyond]:
-                covered.update(range(first, first + n))
-            best = max(best, (len(covered), -d))
-        covered, d = best[0], -best[1]
-        if covered < EVIDENCE * size:
+        beyond = bisect_left(diagonals, d + reach + 1)
+        if upto[beyond] - upto[k] >= EVIDENCE * size and (n := covered(k, beyond)) >= EVIDENCE * size:
+            windows.append((-n, d, k, beyond))
+    heapify(windows)
+    while windows:
+        n, d, k, beyond = heappop(windows)
+        now = covered(k, beyond)
+        if now < EVIDENCE * size:
             continue
-        low, high = max(0, d - reach), min(len(ws), d + size + 2 * reach)
-        common, first, last = aligned(automaton.words[i], ws[low:high], automaton.spelling, COVERAGE * size)
-        if common and last - first + 1 <= size + 2 * reach:
-            found.append((automaton.keys[i], low + first, low + last, common, common / size))
-    return found
+        if now < -n:  # others have taken of it
+            heappush(windows, (-now, d, k, beyond))
+            continue
+        span = _span(item, ws, d - reach, d + size + 2 * reach, reach, taken, spelling)
+        if span:
+            yield span
+            taken.update(range(span[0], span[1] + 1))
+            heappush(windows, (n, d, k, beyond))
+        else:  # the text read holds all that a place on one of these diagonals can hold
+            tried[k:beyond] = [True] * (beyond - k)
+
+
+def _span(item: list[str], ws: list[str], low: int, high: int, reach: int, taken: set[int], spelling: Spelling) -> tuple[int, int, int] | None:
+    """(first word, last word, words in common) of the item in ws[low:high], less the words taken; None if too little of it stands there, or too loosely."""
+    size = len(item)
+    longest = size + 2 * reach
+
+    def read(low: int, high: int) -> tuple[int, int, int]:
+        low = max(0, low)
+        text = ws[low : max(low, high)]
+        if taken:
+            text = ["" if at in taken else w for at, w in enumerate(text, low)]
+        common, first, last = aligned(item, text, spelling, COVERAGE * size)
+        return common, low + first, low + last
+
+    def close(got: tuple[int, int, int]) -> bool:
+        return got[0] > 0 and got[2] - got[1] < longest
+
+    best = read(low, high)
+    if not best[0]:
+        return None
+    if not close(best):  # single words far off may have joined in: without either end
+        best = max((x for x in (read(low, low + longest), read(high - longest, high)) if close(x)), default=None)
+        if best is None:
+            return None
+    if best[0] < size:  # the text may have been cut within the item
+        _, first, last = best
+        best = max((x for x in (best, read(first, first + longest), read(last + 1 - longest, last + 1)) if close(x)), key=lambda x: x[0])
+    common, first, last = best
+    return first, last, common
 
 
 @lru_cache(maxsize=2)
@@ -277,7 +335,7 @@ COLUMNS = [("item", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.in
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """key, item, first_word, last_word, common, coverage: each item that a document holds, where, and how much of it.
+    """key, item, first_word, last_word, common, coverage: each item that a document holds, how much of it, and where; a row for each place.
 
     item_key must be an integer. Null and empty texts on either side hold nothing and are held by nothing; items without words
     never leak; repeated documents and items are each reported. Texts are read whole."""

@@ -130,3 +130,46 @@ def test_items_inside_items(spark, monkeypatch):
         monkeypatch.setattr(L, "BLOCK_WORDS", most)
         got = L.find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()
         assert {(r["doc_id"], r["item"], r["first_word"], r["last_word"]) for r in got} == want and len(got) == len(want)
+
+
+def copies():
+    rnd = random.Random(9)
+    item = [f"{w}{k}" for k, w in enumerate(text(rnd, 40))]
+    fill = lambda n: [f"{w}x" for w in text(rnd, n)]
+    slips = [w if k % 4 < 3 or k > 36 else w[1] + w[0] + w[2:] for k, w in enumerate(item)]
+    rare = [w if k % 7 < 3 else f"{w}q{k}" if k % 7 == 6 else w[1:] for k, w in enumerate(item)]
+    other = [*item[:20], *fill(2), *item[22:]]
+    docs = [
+        (0, [*item, *fill(500), *item]),  # two copies far apart
+        (1, [*item, *item, *slips]),  # next to each other
+        (2, [*fill(9), *item[:19], *fill(300), *rare]),  # the opening quoted, the copy later
+        (3, [*item[:24], *fill(12), *item]),  # part of it just before the whole
+        (4, [*fill(5), *other, *fill(60), *slips, *fill(3), *item[:18]]),
+    ]
+    want = {
+        (0, 0, 39), (0, 540, 579),
+        (1, 0, 39), (1, 40, 79), (1, 80, 119),
+        (2, 328, 367),
+        (3, 0, 23), (3, 36, 75),
+        (4, 5, 44), (4, 105, 144),
+    }
+    return item, docs, want
+
+
+def test_every_copy_is_found_and_removed(spark):
+    item, docs, want = copies()
+    d = spark.createDataFrame([(k, " ".join(ws)) for k, ws in docs], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = L.find_leaks(d, "doc_id", "text", i, "item_id", "text").cache()
+    rows = got.collect()
+    assert {(r["doc_id"], r["first_word"], r["last_word"]) for r in rows} == want and len(rows) == len(want)
+    clean = L.remove_leaks(d, "doc_id", "text", got)
+    assert clean.count() == len(docs) and L.find_leaks(clean, "doc_id", "text", i, "item_id", "text").count() == 0
+
+
+def test_single_words_far_off_do_not_lose_a_copy():
+    item = [f"w{k}word" for k in range(40)]
+    a = L.Automaton([(0, item)])
+    doc = [item[0], *["other"] * 13, *["gone"] * 3, *item[3:36], *["gone"] * 3, *["other"] * 19, item[39], *["other"] * 9]
+    ((key, first, last, common, _),) = L.leaks(a, doc)
+    assert key == 0 and first <= 17 and last >= 49 and common >= 33
