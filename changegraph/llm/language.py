@@ -51,8 +51,11 @@ def label_code(label: Column | str) -> Column:
     return F.get(F.transform(F.array(F.lower(F.regexp_extract(label, r"^\s*([^\s_\-]*)", 1))), lambda x: names[x]), 0)
 
 
-_FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
-_MARKUP = re.compile(r"<[^<>\n]{1,80}>|\S*[/_\\{}@#=|]\S*|https?:\S+")
+#: A fence that isn't closed goes to the end of its paragraph if it begins a line; else its marks alone are blanked.
+_FENCE = re.compile(r"```.*?```|^```(?:(?!\n[ \t]*\n).)*|```|`[^`\n]*`", re.S | re.M)
+#: In scripts written without blanks (Thai to Khmer, Chinese and Japanese with their punctuation and wide forms) a path ends where they begin.
+_PATH = r"[^\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]"
+_MARKUP = re.compile(rf"<[^<>\n]{{1,80}}>|{_PATH}*[/_\\{{}}@#=|]{_PATH}*|https?:{_PATH}+")
 _ACCENT = re.compile("[̀-ͯ]")
 _SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 

@@ -91,3 +91,12 @@ def test_in_spark(spark):
     assert not {900, 901} & {r["k"] for r in rows} and 902 in {r["k"] for r in rows}
     assert L.find_languages(df.limit(0), "k", "text", filters).count() == 0
     assert L.sample(df.limit(0), "k", "text", "lang") == []
+
+
+def test_blanked_without_the_text_around():
+    letters = lambda t: ["".join(x.split()) for _, _, x in L.sentences(t)]
+    assert letters("この手順はsrc/app.pyを呼ひ出す。次にhttps://a.example/b?c=dて結果を確認して保存する。") == ["この手順はを呼ひ出す。", "次にて結果を確認して保存する。"]
+    assert letters("See große/prüfung.py and a_b now.") == ["seeandnow."]
+    assert letters("First one. ``` Second one.\nThird one.") == ["firstone.", "secondone.", "thirdone."]
+    assert letters("First one.\n```sh\nrun it\n\nLast one.") == ["firstone.", "lastone."]
+    assert letters("First one.\n```sh\nrun it\n\nmore\n``` Last `x y` one.") == ["firstone.", "lastone."]
