@@ -200,9 +200,10 @@ def sessionize_hunks(spark, d):
 
 @query()
 def pack_fragment(spark, d):
-    """Each change's facts as a link's fragment, raw-deflated and in URL-safe base64; null where it is beyond the size of a link."""
+    """Each change's facts as a link's fragment, raw-deflated and in URL-safe base64; beyond the size of a link without diff
+    text, that of files that aren't code first; null where even that doesn't fit."""
     f = load(spark, d, "change_facts", "change_no bigint, facts string").dropDuplicates(["change_no"]).filter("facts is not null")
-    return f.select("change_no", codec.fitted(codec.pack("facts")).alias("fragment"))
+    return f.select("change_no", codec.fitted_facts("facts").alias("fragment"))
 
 
 @query("SELECT change_no, (r ->> 'flow_entropy')::DOUBLE AS said, coalesce(round(-sum(p * log2(p)), 2), 0) AS derived FROM (SELECT change_no, r, n / sum(n) OVER (PARTITION BY change_no) AS p FROM (SELECT change_no, r, e.value::INT AS n FROM rec, json_each(r -> 'flow_share') e)) GROUP BY ALL", with_facts=True)

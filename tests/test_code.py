@@ -149,3 +149,22 @@ def test_fragments(spark):
     df = spark.createDataFrame([("é" * 500,), (None,), ("",)], "t string")
     packed = [r[0] for r in df.select(codec.fitted(codec.pack("t"))).collect()]
     assert codec.unpack(packed[0]) == "é" * 500 and packed[1] is None and codec.unpack(packed[2]) == ""
+
+
+def test_large_facts_lose_diff_text_first(spark, tmp_path):
+    import json
+    import random
+
+    from __spark_entry__ import queries
+
+    rnd = random.Random(3)
+    diff = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    files = [{"path": "a.py", "kind": "code"}, {"path": "b.md", "kind": "docs"}]
+    facts = lambda code, docs, name="x": json.dumps({"name": name, "files": files, "hunks": [{"file": "a.py", "text": diff(code)}, {"file": "b.md", "text": diff(docs)}]})
+    rows = [(1, facts(10, 10)), (2, facts(10, 90_000)), (3, facts(90_000, 10)), (4, facts(10, 10, diff(90_000))), (5, "no json " + diff(90_000))]
+    spark.createDataFrame(rows, "change_no long, facts string").write.parquet(f"{tmp_path}/change_facts.parquet")
+    got = {r["change_no"]: r["fragment"] for r in queries()["pack_fragment"](spark, str(tmp_path)).collect()}
+    assert codec.unpack(got[1]) == rows[0][1] and got[4] is None and got[5] is None
+    two, three = (json.loads(codec.unpack(got[k])) for k in (2, 3))
+    assert [h["file"] for h in two["hunks"]] == ["a.py"] and two["trimmed"] == ["diff text of non-code files"]
+    assert three["hunks"] == [] and three["trimmed"] == ["diff text of non-code files", "all diff text"] and three["files"] == files
