@@ -131,13 +131,13 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     """The stretches of every document: doc_id, seg_no, seg_lang, confidence, begin, end, n_segs."""
     docs = load(spark, d, "documents", DOCUMENTS)
-    filters = language.learn(language.sample(docs, "doc_id", "text", "lang"))
+    filters = language.learn(docs, "doc_id", "text", "lang")
     return language.find_languages(docs, "doc_id", "text", filters)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents", DOCUMENTS)
-    filters = language.learn(language.sample(docs, "doc_id", "text", "lang"))
+    filters = language.learn(docs, "doc_id", "text", "lang")
     keyed = docs.select(F.struct("doc_id", language.label_code("lang").alias("code")).alias("doc"), "text")
     found = language.find_languages(keyed, "doc", "text", filters)
     wrong = (F.col("n_segs") > 1) | F.col("doc.code").isNull() | (F.col("doc.code") != F.col("seg_lang"))
