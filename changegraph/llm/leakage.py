@@ -1,15 +1,17 @@
 """Held-out test items that turn up in training text: a generalised suffix automaton over the items' words.
 
-Items and documents are brought to the same words (markup, entities, letter look-alikes, case, accents and layout don't count).
-The automaton of all items reads a document word by word and always knows the longest run of words that ends here and stands
-in some item; the states linked to its state name all items that the last RUN words stand in. Each run of at least RUN words
-of a document and an item that can't be continued is a piece of evidence, whatever other items hold. Evidence for one item is gathered on its diagonal (place in the document less place in the item), and where
-it covers enough of the item, the item's words are aligned with the words around, now with tolerance for misspelt and exchanged words.
-A document is reported with an item if at least the share COVERAGE of the item's words stands there in order, once for each
-place: all windows of diagonals with enough evidence are aligned, those with most first.
-
-The items are data the caller states to be bounded; beyond BLOCK_WORDS words they are read in blocks, each an automaton
-of its own over all documents, so no broadcast grows with them.
+Items and documents are brought to the same words (markup, entities, letter look-alikes, case, accents and layout don't count;
+in scripts written without blanks every character is a word). The automaton of all items reads a document word by word and
+always knows the longest run of words that ends here and stands in some item; the states linked to its state name all items
+that the last RUN words stand in. Each run of at least RUN words of a document and an item that can't be continued is a piece
+of evidence, whatever other items hold. Evidence for one item is gathered on its diagonal (place in the document less place in
+the item), and where it covers enough of the item, the item's words are aligned with the words around, now with tolerance for
+misspelt and exchanged words. A document is reported with an item if at least the share COVERAGE of the item's words stands
+there in order, or LONG words of it stand there letter by letter, once for each place: all windows of diagonals with enough
+evidence are aligned, those with most first.
+
+The items are data the caller states to be bounded, and MOST_WORDS is checked; beyond BLOCK_WORDS words they are read in
+blocks, each an automaton of its own over all documents, so no broadcast grows with them.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,30 +35,33 @@ RUN = 3  # words in a piece of evidence
 EVIDENCE = 0.12  # share of an item's words that evidence must cover before the alignment
 COVERAGE = 0.5
 SLACK = 0.35  # of an item's length: how far words may be moved, and the text be longer than the item
+LONG = 50  # words letter by letter that give an item away, however long it is
 BLOCK_WORDS = 300_000
+MOST_WORDS = 30_000_000
 
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухівкмнтѕјԁһԛԝαεοριυνκτβ", "aeopcyxibkmhtsjdhqwaeopiuvktb")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,80}>", re.I)
-_INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
-_WORD = re.compile(r"[a-z0-9]+")
-_LATIN = re.compile(r"[A-Za-z]")
+_INVISIBLE = re.compile("[­​-‏⁠-⁤︀-️﻿]")
+_ACCENT = re.compile("[̀-ͯ]")
+#: Thai to Khmer, Chinese and Japanese: every character is a word.
+_SINGLE = r"฀-໿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_WORD = regex.compile(rf"[[\p{{L}}\p{{N}}\p{{M}}]&&[{_SINGLE}]]|[[\p{{L}}\p{{N}}\p{{M}}]--[{_SINGLE}]]+", regex.V1)
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text as they are compared."""
+    """The words of a text as they are compared, in any script."""
     if not text:
         return []
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if "<" in text:
         text = _TAG.sub("", text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-        text = text.lower().translate(LOOKALIKES).encode("ascii", "ignore" if _LATIN.search(text) else "replace").decode()
-    else:
-        text = text.lower()
-    return _WORD.findall(text)
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    text = _ACCENT.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
+    return _WORD.findall(unicodedata.normalize("NFC", text).casefold().translate(LOOKALIKES))
 
 
 class Automaton:
@@ -74,10 +80,10 @@ class Automaton:
             for at, w in enumerate(ids):
                 last = self._extend(last, w)
                 self.ends[last].append((i, at))
-        # a state's runs also end where those of the states linked to it end
-        for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            if self.link[s] > 0:
-                self.ends[self.link[s]].extend(self.ends[s])
+        self.linked: list[list[int]] = [[] for _ in self.link]
+        for s in range(1, len(self.link)):
+            self.linked[self.link[s]].append(s)
+        self.following: dict[int, dict[int, list[tuple[int, int]]]] = {}
         self.spelling = Spelling(self.vocabulary)
 
     def _state(self, length: int, after: dict[int, int], link: int) -> int:
@@ -109,59 +115,78 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def walk(self, ids: list[int | None]) -> Iterator[tuple[int, int | None, int, int]]:
-        """(place, word, state, length) for each word and for the end of the document: the longest run that ends before this place."""
+    def places(self, state: int) -> Iterator[tuple[int, int]]:
+        """(item, place of the last word) wherever a state's runs stand: its own ends and those of all states linked to it."""
+        todo = [state]
+        while todo:
+            s = todo.pop()
+            yield from self.ends[s]
+            todo.extend(self.linked[s])
+
+    def after(self, state: int) -> dict[int, list[tuple[int, int]]]:
+        """The places of a state's runs by the word that follows them in the item, -1 at the item's end; kept once looked up."""
+        found = self.following.get(state)
+        if found is None:
+            found = self.following[state] = {}
+            for i, end in self.places(state):
+                item = self.items[i]
+                found.setdefault(item[end + 1] if end + 1 < len(item) else -1, []).append((i, end))
+        return found
+
+    def longest(self, ids: list[int | None]) -> list[tuple[int, int]]:
+        """(state, length) for each word: the longest run of words that ends there and stands in some item."""
         nexts, link, length = self.next, self.link, self.length
-        state, n = 0, 0
-        for at, w in enumerate(ids):
-            yield at, w, state, n
+        state, n, out = 0, 0, []
+        for w in ids:
             if w is None:
                 state = n = 0
-                continue
-            if w not in nexts[state]:
-                while state and w not in nexts[state]:
-                    state = link[state]
-                n = length[state]
-            to = nexts[state].get(w)
-            state, n = (0, 0) if to is None else (to, n + 1)
-        yield len(ids), None, state, n
-
-    def runs(self, ids: list[int | None], least: int) -> list[tuple[int, int, int]]:
-        """(end in the document, length, state) of each longest run of at least `least` words that the next word doesn't continue."""
-        return [(at - 1, n, state) for at, w, state, n in self.walk(ids) if n >= least and w not in self.next[state]]
+            else:
+                to = nexts[state].get(w)
+                if to is None:
+                    while state and to is None:
+                        state = link[state]
+                        to = nexts[state].get(w)
+                    n = length[state]
+                state, n = (0, 0) if to is None else (to, n + 1)
+            out.append((state, n))
+        return out
 
     def pieces(self, ids: list[int | None], least: int) -> Iterator[tuple[int, int, int, int]]:
         """(item, place in the document less place in the item, first word of the item, words) of each run of at least `least`
         words that the document and the item have in common and that neither its next nor its previous word continues.
 
         What an item gets doesn't depend on the other items: a shorter run of it inside a longer one of another item counts too."""
-        nexts, link, length, ends, items = self.next, self.link, self.length, self.ends, self.items
-        for at, w, state, n in self.walk(ids):
+        link, length, items = self.link, self.length, self.items
+        for last, (state, n) in enumerate(self.longest(ids)):
             if n < least:
                 continue
             while length[link[state]] >= least:  # to the state of the last `least` words: every place where they stand
                 state = link[state]
-            to = nexts[state].get(w)
-            if to is not None and len(ends[to]) == len(ends[state]):  # the next word continues them all
-                continue
-            last = at - 1
-            before = ids[last - least] if last >= least else None
-            for i, end in ends[state]:
-                item = items[i]
-                if to is not None and end + 1 < len(item) and item[end + 1] == w:
+            w = ids[last + 1] if last + 1 < len(ids) else None
+            for following, places in self.after(state).items():
+                if following == w:  # the next word continues them
                     continue
-                k = least
-                if end >= k and before is not None and item[end - k] == before:
-                    k += 1
-                    while k <= end and k <= last and item[end - k] == ids[last - k]:
+                for i, end in places:
+                    item = items[i]
+                    most, k = min(n, end + 1), least  # no run that ends here is longer than n
+                    while k < most and item[end - k] == ids[last - k]:
                         k += 1
-                yield i, last - end, end - k + 1, k
+                    yield i, last - end, end - k + 1, k
+
+
+_DIGITS = re.compile(r"\d+")
+#: Words of so many letters or more are compared as they are.
+PLAIN = 40
 
 
 def alike(a: str, b: str) -> bool:
-    """The same word but for a slip: one letter more, less or other, or two neighbours exchanged, in a word of four letters or more."""
+    """The same word but for a slip: one letter more, less or other, or two neighbours exchanged, in a word of four letters or more.
+
+    Two words that both hold digits must hold the same ones: another number is another word."""
     if a == b:
         return True
+    if not (a.isalpha() or b.isalpha()) and _DIGITS.findall(a) != _DIGITS.findall(b):
+        return False
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1 or len(a) < 4 and len(b) < 5:
@@ -183,9 +208,11 @@ class Spelling:
 
     def __init__(self, vocabulary: dict[str, int], most: int = 200_000):
         self.near: dict[str, list[str]] = defaultdict(list)
+        self.vocabulary = vocabulary
         for w in vocabulary:
-            for x in _without_one(w):
-                self.near[x].append(w)
+            if len(w) < PLAIN:
+                for x in _without_one(w):
+                    self.near[x].append(w)
         self.known: dict[str, frozenset[str]] = {}
         self.most = most
 
@@ -194,7 +221,11 @@ class Spelling:
         if found is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            found = self.known[w] = frozenset(v for x in _without_one(w) for v in self.near.get(x, ()) if alike(w, v)) if len(w) < 40 else frozenset()
+            if len(w) < PLAIN:
+                found = frozenset(v for x in _without_one(w) for v in self.near.get(x, ()) if alike(w, v))
+            else:
+                found = frozenset([w] if w in self.vocabulary else ())
+            self.known[w] = found
         return found
 
 
@@ -236,7 +267,7 @@ def aligned(item: list[str], text: list[str], spelling: Spelling, least: float =
 
 
 def leaks(automaton: Automaton, ws: list[str]) -> list[tuple[int, int, int, int, float]]:
-    """(item key, first word, last word, words in common, coverage) for every place where the words hold an item."""
+    """(item key, first word, last word, words in common, coverage) for every place where the words hold an item, or LONG words of it letter by letter."""
     evidence: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     total: dict[int, int] = defaultdict(int)
     for i, d, first, n in automaton.pieces([automaton.vocabulary.get(w) for w in ws], RUN):
@@ -244,12 +275,25 @@ def leaks(automaton: Automaton, ws: list[str]) -> list[tuple[int, int, int, int,
         total[i] += n
     found = []
     for i, n in total.items():
-        size = len(automaton.items[i])
-        if n >= EVIDENCE * size:
-            found.extend((automaton.keys[i], first, last, common, common / size) for first, last, common in _spans(automaton.words[i], ws, evidence[i], automaton.spelling))
+        size, pieces = len(automaton.items[i]), evidence[i]
+        enough = n >= EVIDENCE * size and _words_of((d + first, n) for d, first, n in pieces) >= EVIDENCE * size
+        spans = list(_spans(automaton.words[i], ws, pieces, automaton.spelling)) if enough else []
+        for d, first, n in sorted((p for p in pieces if p[2] >= LONG), key=lambda p: -p[2]):
+            if all(d + first + n <= a or b < d + first for a, b, _ in spans):
+                spans.append((d + first, d + first + n - 1, n))
+        found.extend((automaton.keys[i], first, last, common, common / size) for first, last, common in spans)
     return found
 
 
+def _words_of(runs: Iterable[tuple[int, int]]) -> int:
+    """How many words lie in at least one of the runs, (first word, words)."""
+    n = beyond = 0
+    for first, k in sorted(runs):
+        n += max(0, first + k - max(first, beyond))
+        beyond = max(beyond, first + k)
+    return n
+
+
 def _spans(item: list[str], ws: list[str], pieces: list[tuple[int, int, int]], spelling: Spelling) -> Iterator[tuple[int, int, int]]:
     """(first word, last word, words in common) of each place where the words hold the item, the one with most evidence first.
 
@@ -337,22 +381,25 @@ COLUMNS = [("item", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.in
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """key, item, first_word, last_word, common, coverage: each item that a document holds, how much of it, and where; a row for each place.
 
-    item_key must be an integer. Null and empty texts on either side hold nothing and are held by nothing; items without words
-    never leak; repeated documents and items are each reported. Texts are read whole."""
+    A place holds the share COVERAGE of an item or LONG words of it letter by letter. item_key must be an integer. Null and empty
+    texts on either side hold nothing and are held by nothing; items without words never leak; repeated documents and items are
+    each reported. Texts are read whole. More than MOST_WORDS words of items are refused: such a set is no test set."""
     known = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).dropna()
     total = known.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
+    if total > MOST_WORDS:
+        raise ValueError(f"{total} words of items; at most {MOST_WORDS} can be looked for")
     blocks = max(1, -(-total // BLOCK_WORDS))
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item bigint, first_word int, last_word int, common int, coverage double"
-    parts = []
+    context, parts = docs.sparkSession.sparkContext, []
     for b in range(blocks):
         mine = tuple(sorted((r["k"], r["t"]) for r in known.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()))
-        parts.append(docs.select(key, text).mapInArrow(_reader(key, mine), schema))
+        parts.append(docs.select(key, text).mapInArrow(_reader(key, context.broadcast(mine)), schema))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _reader(key: str, items: tuple[tuple[int, str], ...]):
+def _reader(key: str, items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items)
+        automaton = _automaton(items.value)
         for batch in batches:
             rows, source = [], []
             for i, t in enumerate(batch.column(1)):
@@ -366,12 +413,14 @@ def _reader(key: str, items: tuple[tuple[int, str], ...]):
 
 
 _CHUNK = re.compile(r"\S+")
+#: Blanks in what may be a tag don't part its chunk; for the words it makes no difference.
+_MAYBE_TAG = re.compile(r"(?:<|&(?:amp;)*lt;)/?[a-z][^\n]{0,120}?(?:>|&(?:amp;)*gt;)", re.I)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less the chunks (text between blanks) whose words lie in one of the spans of words."""
     out, at, n = [], 0, 0
-    for m in _CHUNK.finditer(text):
+    for m in _CHUNK.finditer(_MAYBE_TAG.sub(lambda m: re.sub(r"\s", "_", m.group()), text)):
         k = len(words(m.group()))
         if any(a < n + max(k, 1) and n <= b for a, b in spans):
             out.append(text[at : m.start()])
@@ -380,11 +429,11 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def remove_leaks(docs: DataFrame, key: str, text: str, found: DataFrame, coverage: float = COVERAGE, words_at_least: int = 0) -> DataFrame:
-    """key, text: documents with leaks, less the spans that exceed the limits; other documents are not returned.
+def remove_leaks(docs: DataFrame, key: str, text: str, found: DataFrame, coverage: float = COVERAGE, length: int = LONG) -> DataFrame:
+    """key, text: documents with leaks, less the spans that exceed a limit, of coverage or of words in common; other documents are not returned.
 
     Spans are counted in words as compared; markup between two words of a span goes with it."""
-    spans = found.filter((F.col("coverage") >= coverage) & (F.col("common") >= words_at_least)).groupBy(key).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+    spans = found.filter((F.col("coverage") >= coverage) | (F.col("common") >= length)).groupBy(key).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -113,13 +113,13 @@ DOCUMENTS = "doc_id bigint, text string, lang string"
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, item, first_word, last_word, common, coverage: where in a document which item stands, and how much of it."""
+    """doc_id, item, first_word, last_word, common, coverage: where in a document which item stands, or a long part of it, and how much."""
     items = load(spark, d, "eval_items", "item_id bigint, text string")
     return leakage.find_leaks(load(spark, d, "documents", DOCUMENTS), "doc_id", "text", items, "item_id", "text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_spans(spark, d).select("doc_id", F.col("item").alias("item_id")).distinct()
+    return p8_spans(spark, d).filter(F.col("coverage") >= leakage.COVERAGE).select("doc_id", F.col("item").alias("item_id")).distinct()
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -22,15 +23,16 @@ def test_normalised_words():
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=9), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=30))
 def test_automaton_finds_longest_runs(items, doc):
     a = L.Automaton([(i, ws) for i, ws in enumerate(items)])
-    got = a.runs([a.vocabulary.get(w) for w in doc], 1)
+    got = a.longest([a.vocabulary.get(w) for w in doc])
     known = {tuple(ws[i:j]) for ws in items for i in range(len(ws)) for j in range(i + 1, len(ws) + 1)}
     longest = [max((n for n in range(at + 2) if n == 0 or tuple(doc[at + 1 - n : at + 1]) in known)) for at in range(len(doc))]
-    want = [(at, n) for at, n in enumerate(longest) if n and (at + 1 == len(doc) or longest[at + 1] != n + 1)]
-    assert [(e, n) for e, n, _ in got] == want
-    for end, n, state in got:
+    assert [n for _, n in got] == longest
+    for end, (state, n) in enumerate(got):
         run = doc[end - n + 1 : end + 1]
-        ends = {(i, at) for i, ws in enumerate(items) for at in range(n - 1, len(ws)) if ws[at - n + 1 : at + 1] == run}
-        assert set(a.ends[state]) == ends and len(a.ends[state]) == len(ends)
+        places = {(i, at) for i, ws in enumerate(items) for at in range(n - 1, len(ws)) if ws[at - n + 1 : at + 1] == run}
+        if n:
+            assert sorted(a.places(state)) == sorted(places)
+            assert sorted(x for xs in a.after(state).values() for x in xs) == sorted(places)
 
 
 @given(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), max_size=16))
@@ -50,6 +52,60 @@ def test_alike():
     assert not L.alike("no", "on") and not L.alike("screen", "scare") and not L.alike("the", "then") and not L.alike("abcd", "badc")
 
 
+def test_numbers_are_no_slips():
+    assert not L.alike("2018", "2019") and not L.alike("12345", "12346") and not L.alike("step12", "step13")
+    assert L.alike("scr3en", "screen") and L.alike("step12", "setp12")
+
+
+def test_long_words():
+    w = "x" * 39 + "yz" * 30
+    s = L.Spelling({w: 0, "short": 1})
+    assert s.of(w) == {w} and s.of(w + "a") == frozenset() and s.of("shrt") == {"short"}
+
+
+def test_other_scripts(spark):
+    items = ["次の手順では変更の前にすべての記録を確認してから保存します", "Каждый шаг проверяет запись до того, как изменение будет сохранено в журнале, и сообщает об ошибке", "प्रत्येक चरण परिवर्तन से पहले अभिलेख की जाँच करता है और त्रुटि की सूचना देता है", "각 단계는 변경 전에 기록을 확인하고 오류를 보고한 다음 저장합니다"]
+    assert len(L.words(items[0])) == len(items[0]) and len(L.words(items[1])) == 16 and len(L.words(items[2])) == 16
+    docs = [(k, f"before {t[: 2 * len(t) // 3]} after") for k, t in enumerate(items)] + [(9, "手順を読む。Запись и журнал.")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = L.find_leaks(d, "doc_id", "text", i, "item_id", "text")
+    assert {(r["doc_id"], r["item"]) for r in got.collect()} == {(k, k) for k in range(4)}
+
+
+def test_a_long_part_of_a_longer_item(spark):
+    item = [f"w{k}word" for k in range(1000)]
+    docs = [(0, " ".join(["a", "b", *item[300:360], "c"])), (1, " ".join(["a", *item[300:340], "c"]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = L.find_leaks(d, "doc_id", "text", i, "item_id", "text")
+    assert [(r["doc_id"], r["first_word"], r["last_word"], r["common"]) for r in got.collect()] == [(0, 2, 61, 60)]
+    assert [r["text"].split() for r in L.remove_leaks(d, "doc_id", "text", got).collect()] == [["a", "b", "c"]]
+    assert L.remove_leaks(d, "doc_id", "text", got, length=61).count() == 0
+
+
+def test_tags_with_blanks_do_not_shift_what_is_removed():
+    item = [f"w{k}" for k in range(30)]
+    text = 'keep <em class="a b">this</em> &lt;i id="c d"&gt;too ' + " ".join(item) + " and the end"
+    (span,) = [(f, l) for _, f, l, _, _ in L.leaks(L.Automaton([(0, item)]), L.words(text))]
+    assert L._without(text, [span]).split() == ["keep", "<em", 'class="a', 'b">this</em>', "&lt;i", 'id="c', 'd"&gt;too', "and", "the", "end"]
+
+
+def test_one_word_repeated():
+    import time
+
+    begun = time.time()
+    a = L.Automaton([(0, ["same"] * 100_000), (1, ["same"] * 5 + ["other"] * 5)])
+    assert len(a.link) < 200_100 and time.time() - begun < 30
+    found = L.leaks(a, ["before", *["same"] * 5, *["other"] * 5, "after"])
+    assert [f[:4] for f in found] == [(1, 1, 10, 10)]
+
+
+def test_too_many_items(spark, monkeypatch):
+    d, i, _ = frames(spark)
+    monkeypatch.setattr(L, "MOST_WORDS", 10)
+    with pytest.raises(ValueError, match="words of items"):
+        L.find_leaks(d, "doc_id", "text", i, "item_id", "text")
+
+
 def cases():
     rnd = random.Random(5)
     opening = text(rnd, 8)
@@ -90,7 +146,7 @@ def test_spans_are_removed(spark):
     assert set(clean) == {k for k, _ in want}
     again = L.find_leaks(spark.createDataFrame(list(clean.items()), "doc_id long, text string"), "doc_id", "text", i, "item_id", "text")
     assert again.count() == 0
-    assert L.remove_leaks(d, "doc_id", "text", got, coverage=1.1).count() == 0
+    assert L.remove_leaks(d, "doc_id", "text", got, coverage=1.1, length=1000).count() == 0
 
 
 def test_empty_sides(spark):
