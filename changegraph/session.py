@@ -101,6 +101,13 @@ class Stash:
     def clear(self) -> None:
         self._delete(self.root)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Removes all tables but these."""
+        kept = {f._stash_path for f in frames}
+        for n in range(1, self.n + 1):
+            if f"{self.root}/{n}" not in kept:
+                self._delete(f"{self.root}/{n}")
+
     def _path(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
