@@ -10,21 +10,28 @@ Each round takes vertices away that have an obvious representative and remembers
    that changes with the round) if that is lower than its own, the trees so made are folded to their roots by pointer
    jumping, and the graph of the roots goes into the next round. Three quarters of the vertices go in expectation.
 
-At the end the vertices taken away get the label of the one they follow, last round first. All steps are aggregates with
-partial combination and joins on vertices or pairs; nothing but counts reaches the driver. Each round's tables are
-written to the shared folder, and those no longer needed are deleted.
+Rounds go on until no link is left; the last FINISH links or fewer, where a round's jobs cost more than their work, are solved in
+one task. At the end the vertices taken away get the label of the one they follow, last round first. All steps are aggregates
+with partial combination and joins on vertices or pairs; nothing but counts reaches the driver, and these are taken while
+tables are written. Each round's tables are written to the shared folder, and those no longer needed are deleted.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegraph.session import Stash
 
+#: Every loop at least halves what is left in expectation; one that isn't done by then is an error.
 MAX_ROUNDS = 200
+#: Leaves are stripped as long as they are this share of the links.
+MANY_LEAVES = 0.2
+#: Links that one task may solve.
+FINISH = 4096
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -52,42 +59,42 @@ def _leaves(degrees: DataFrame) -> DataFrame:
     return one.join(other, ["v", "to"], "left").filter("lone is null or v > to").select("v", "to")
 
 
-def _chains(stash: Stash, edges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(v, to) for the vertices of chains and rings, and the links (a, b) between the ends of chains; None if there is no chain.
+def _unsettled(what: str) -> RuntimeError:
+    return RuntimeError(f"{what} didn't come to an end in {MAX_ROUNDS} rounds")
+
+
+def _chains(stash: Stash, degrees: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(v, to) for the vertices of chains and rings, the links (a, b) between the ends of chains, and the table both are read from.
 
     A directed link (u, v) into a chain's vertex v goes on to (v, w), w being v's other neighbour; a link into a vertex
     outside of chains ends there. After k jumps a link knows where it is 2^k links on, and the smallest vertex on the way."""
-    inner = stash.put(degrees.filter("degree = 2").select("v", "lo", "hi"))
-    if not stash.rows(inner):
-        stash.drop(inner)
-        return None
+    inner = degrees.filter("degree = 2").select("v", "lo", "hi")
     # links that leave an inner vertex, and what follows them if they lead to another one
     out = inner.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("lo").alias("v")), F.struct(F.col("v").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.u", "e.v")
     nxt = inner.select(F.col("v").alias("m"), "lo", "hi")
     links = out.join(nxt, out["v"] == nxt["m"], "left").select(
         "u", "v", F.when(F.col("m").isNotNull(), F.col("v")).alias("nu"), F.when(F.col("m").isNotNull(), F.when(F.col("lo") == F.col("u"), F.col("hi")).otherwise(F.col("lo"))).alias("nv"), F.col("v").alias("end"), F.least("u", "v").alias("low")
     )
-    links, seen = stash.put(links), None
+    under_way = F.col("nu").isNotNull()
+    measures = F.count(F.when(under_way, 1)).alias("n"), F.sum(F.when(under_way, F.xxhash64("low").cast("decimal(38,0)"))).alias("lows")
+    links, *now = stash.put_with(links, *measures)
+    seen: list | None = None
     for _ in range(MAX_ROUNDS):
-        going = links.filter("nu is not null")
-        n, lows = going.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()
-        if n == 0 or (n, lows) == seen:
+        if not now[0] or now == seen:
             break  # no link is under way, or those that are go round in rings and have seen all of them
-        seen = (n, lows)
         ahead = links.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("mu"), F.col("nv").alias("mv"), F.col("end").alias("far"), F.col("low").alias("lower"))
-        jumped = going.join(ahead, ["nu", "nv"]).select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), F.col("far").alias("end"), F.least("low", "lower").alias("low"))
-        before, links = links, stash.put(links.filter("nu is null").unionByName(jumped))
+        jumped = links.filter("nu is not null").join(ahead, ["nu", "nv"]).select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), F.col("far").alias("end"), F.least("low", "lower").alias("low"))
+        before, seen = links, now
+        links, *now = stash.put_with(links.filter("nu is null").unionByName(jumped), *measures)
         stash.drop(before)
+    else:
+        raise _unsettled("the ranking of chains")
     # the two directions of an inner vertex
     ends = links.groupBy("u").agg(F.min("end").alias("e1"), F.max("end").alias("e2"), F.min("low").alias("low"), F.max(F.col("nu").isNotNull()).alias("ring"))
     ends = stash.put(ends)
-    rings = ends.filter("ring").select(F.col("u").alias("v"), F.col("low").alias("to")).filter("v <> to")
-    follow = ends.filter("not ring").select(F.col("u").alias("v"), F.col("e1").alias("to"))
-    between = _pairs(F.col("e1"), F.col("e2"), ends.filter("not ring"))
-    gone = stash.put(follow.unionByName(rings))
-    links_between = stash.put(between)
-    stash.drop(links, inner, ends)
-    return gone, links_between
+    stash.drop(links)
+    gone = ends.filter("not ring or u <> low").select(F.col("u").alias("v"), F.when(F.col("ring"), F.col("low")).otherwise(F.col("e1")).alias("to"))
+    return gone, _pairs(F.col("e1"), F.col("e2"), ends.filter("not ring")), ends
 
 
 def _hook(stash: Stash, edges: DataFrame, turn: int) -> DataFrame:
@@ -97,14 +104,37 @@ def _hook(stash: Stash, edges: DataFrame, turn: int) -> DataFrame:
     tree = stash.put(lowest.select("v", F.col("w.x").alias("to")))
     for _ in range(MAX_ROUNDS):
         up = tree.select(F.col("v").alias("to"), F.col("to").alias("root"))
-        jumped, moved = stash.put_with(tree.join(up, "to", "left").select("v", F.coalesce("root", "to").alias("to"), "root"), F.count("root").alias("moved"))
+        jumped, moved = stash.put_with(tree.select("v", "to").join(up, "to", "left").select("v", F.coalesce("root", "to").alias("to"), "root"), F.count("root").alias("moved"))
         stash.drop(tree)
         tree = jumped
         if not moved:
-            break
-        tree = jumped.select("v", "to")
-        tree._stash_path = jumped._stash_path
-    return tree.select("v", "to")
+            return tree
+    raise _unsettled("the folding of trees")
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """v, to: the vertices of few links and the smallest vertex of each one's component, in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        arrow = pa.int64()
+        for batch in batches:
+            arrow = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        follow = [(v, root(v)) for v in parent if parent[v] != v]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in follow], arrow) for k in (0, 1)], names=["v", "to"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, f"v {kind}, to {kind}")
 
 
 def components(spark: SparkSession, pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -120,69 +150,57 @@ def components(spark: SparkSession, pairs: DataFrame, left: str, right: str) ->
     vertices = stash.put(_both(edges).select("v").unionByName(loops).distinct())
     taken: list[DataFrame] = []
     for turn in range(MAX_ROUNDS):
-        if not stash.rows(edges):
-            break
-        while True:  # strip leaves as long as they are many
-            degrees = stash.put(_degrees(edges))
-            leaves = stash.put(_leaves(degrees))
-            n_leaves, n = stash.rows(leaves), stash.rows(degrees)
+        while stash.rows(edges) > FINISH:  # strip leaves as long as they are many
+            leaves = stash.put(_leaves(_degrees(edges)))
+            n_leaves, n = stash.rows(leaves), stash.rows(edges)
             if n_leaves:
                 taken.append(leaves)
                 before, edges = edges, stash.put(_without(edges, leaves))
                 stash.drop(before)
-            if n_leaves < 0.05 * n or not stash.rows(edges):
+            if n_leaves < MANY_LEAVES * n:
                 break
-            stash.drop(degrees)
-        if not stash.rows(edges):
-            stash.drop(degrees)
+        if stash.rows(edges) <= FINISH:
+            if stash.rows(edges):
+                taken.append(stash.put(_finished(edges)))
             break
-        if n_leaves:
-            stash.drop(degrees)
-            degrees = stash.put(_degrees(edges))
-        chains = _chains(stash, edges, degrees)
-        stash.drop(degrees)
-        if chains:
-            gone, between = chains
+        degrees, inner = stash.put_with(_degrees(edges), F.count(F.when(F.col("degree") == 2, 1)).alias("inner"))
+        if inner:
+            gone, between, ends = _chains(stash, degrees)
             taken.append(gone)
-            inner = gone.select("v")
+            inside = ends.select("u")
             # rings keep one vertex that has no link any more
-            rest = edges.join(inner.select(F.col("v").alias("a")), "a", "left_anti").join(inner.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b")
+            rest = edges.join(inside.select(F.col("u").alias("a")), "a", "left_anti").join(inside.select(F.col("u").alias("b")), "b", "left_anti").select("a", "b")
             before, edges = edges, stash.put(rest.unionByName(between).distinct())
-            stash.drop(before, between)
-            if not stash.rows(edges):
-                break
+            stash.drop(before)
+        stash.drop(degrees)
+        if stash.rows(edges) <= FINISH:
+            continue
         roots = _hook(stash, edges, turn)
-        roots = stash.put(roots)
         taken.append(roots)
         to_a, to_b = roots.select(F.col("v").alias("a"), F.col("to").alias("ra")), roots.select(F.col("v").alias("b"), F.col("to").alias("rb"))
         folded = edges.join(to_a, "a", "left").join(to_b, "b", "left")
         before, edges = edges, stash.put(_pairs(F.coalesce("ra", "a"), F.coalesce("rb", "b"), folded))
         stash.drop(before)
     else:
-        raise RuntimeError(f"the graph didn't shrink to nothing in {MAX_ROUNDS} rounds")
-    return _restored(stash, vertices, taken)
+        raise _unsettled("the shrinking of the graph")
+    result = _restored(stash, vertices, taken)
+    stash.keep(result)
+    return result
 
 
 def _restored(stash: Stash, vertices: DataFrame, taken: list[DataFrame]) -> DataFrame:
     """Labels from the last round back to the first, then the smallest vertex of each label.
 
     A vertex is taken in one round only, and whom it follows is taken later or never, so the labels of later rounds suffice."""
-    labels = None  # of those taken so far: v, label
+    labels: list[DataFrame] = []  # of those taken so far: v, label
     for gone in reversed(taken):
-        if labels is None:
-            labels = stash.put(gone.select("v", F.col("to").alias("label")))
+        if not labels:
+            labels.append(stash.put(gone.select("v", F.col("to").alias("label"))))
             continue
-        up = labels.select(F.col("v").alias("to"), "label")
-        now = gone.join(up, "to", "left").select("v", F.coalesce("label", "to").alias("label"))
-        labels_before, labels = labels, stash.put(labels.unionByName(now))
-        stash.drop(labels_before)
-    if labels is None:
-        out = vertices.select(F.col("v").alias("vertex"), F.col("v").alias("component"))
-    else:
-        full = vertices.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
-        full = stash.put(full)
-        least = full.groupBy("label").agg(F.min("v").alias("component"))
-        out = full.join(least, "label").select(F.col("v").alias("vertex"), "component")
-    result = stash.put(out)
-    stash.drop(vertices, labels, *taken)
-    return result
+        up = stash.union(labels).select(F.col("v").alias("to"), "label")
+        labels.append(stash.put(gone.select("v", "to").join(up, "to", "left").select("v", F.coalesce("label", "to").alias("label"))))
+    if not labels:
+        return stash.put(vertices.select(F.col("v").alias("vertex"), F.col("v").alias("component")))
+    full = stash.put(vertices.join(stash.union(labels), "v", "left").select("v", F.coalesce("label", "v").alias("label")))
+    least = full.groupBy("label").agg(F.min("v").alias("component"))
+    return stash.put(full.join(least, "label").select(F.col("v").alias("vertex"), "component"))

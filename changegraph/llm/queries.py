@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
 
 def node_records(spark: SparkSession, d: str) -> DataFrame:
     """terms: the node ids of each step and each edge, repeats of a record once. A step's or edge's null ids are no values."""
-    steps = load_steps(spark, d, "code_path").select("step_no", "code_path").dropDuplicates(["step_no"])
+    steps = load_steps(spark, d, "code_path").select("step_no", "code_path").distinct()
     edges = once(load(spark, d, "graph_edges", "edge_no bigint, src string, dst string"), "edge_no", "src", "dst")
     of_steps = steps.select(F.transform("code_path", tidy.node).alias("terms"))
     return of_steps.unionByName(edges.select(F.array(tidy.node("src"), tidy.node("dst")).alias("terms")))
@@ -93,14 +95,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_frequency(spark, d).filter("mark is not null").select("node", "mark")
 
 
-#: Tokens a container holds.
+#: Tokens a container holds, and the rank file of the public tokenizer they are counted with; no such file is part of the repository.
 CAPACITY = 4096
+VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, piece_no, start, length, container, position: every text, or the pieces of one that is too long, in its container; start and length in tokens."""
     docs = load(spark, d, "documents", "doc_id bigint, text string")
-    sizes = Stash(spark).put(tokens.count_tokens(docs, "doc_id", "text"))
+    sizes = Stash(spark).put(tokens.count_tokens(docs, "doc_id", "text", VOCABULARY))
     return packing.pack(spark, sizes, "doc_id", "n_tokens", CAPACITY)
 
 
@@ -109,6 +112,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_pack(spark, d).filter("piece_no = 1").select("doc_id").distinct()
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """containers, lower_bound, fill, overfull: how many containers are used, how many any packing needs, the share of their space that is filled, and those over capacity."""
+    each = p7_pack(spark, d).filter("container is not null").groupBy("container").agg(F.sum("length").alias("n"))
+    return each.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / CAPACITY).alias("lower_bound"), (F.sum("n") / (F.count(F.lit(1)) * CAPACITY)).alias("fill"), F.count(F.when(F.col("n") > CAPACITY, 1)).alias("overfull"))
+
+
 DOCUMENTS = "doc_id bigint, text string, lang string"
 
 
@@ -152,7 +161,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return top.select("doc_id", "top.lang", "top.confidence", (F.col("top.size") / F.col("all")).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_annotators": p4_annotators, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_frequency": p6_frequency, "p7_found": p7_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_annotators": p4_annotators, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_frequency": p6_frequency, "p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
 TIDY_NODE = "nullif(regexp_replace(replace(trim({0}), '\\', '/'), '^\\./', ''), '')"
 STEPS_SQL = """runs AS (SELECT DISTINCT ON (pass_no) * FROM map_runs),
  fl AS (SELECT pass_no, repo, area, run_id, written_at, unnest(flows) AS flow FROM runs),

@@ -9,8 +9,6 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A parameter of all functions that count tokens; files of this kind are never part of the repository.
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -24,8 +22,8 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """key, n_tokens of each row; a null text has none."""
+def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
+    """key, n_tokens of each row; a null text has none. vocabulary: path of a rank file that every executor can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from changegraph.llm import components as C
 from changegraph.llm.components import components
 
 
@@ -26,9 +27,12 @@ def union_find(pairs):
     return {x: find(x) for x in up}
 
 
-def check(spark, pairs):
+def check(spark, pairs, finish=0):
+    """finish: how many links one task may solve; 0 leaves all to the rounds."""
     df = spark.createDataFrame([(a, b, "c", 1) for a, b in pairs], "l long, r long, vertex string, component int")
-    got = components(spark, df, "l", "r")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(C, "FINISH", finish)
+        got = components(spark, df, "l", "r")
     assert {r["vertex"]: r["component"] for r in got.collect()} == union_find(pairs)
 
 
@@ -64,4 +68,12 @@ def test_random(spark, pairs):
 @pytest.mark.parametrize("seed", [3])
 def test_random_sparse(spark, seed):
     rnd = random.Random(seed)
-    check(spark, [(rnd.randrange(400), rnd.randrange(400)) for _ in range(380)])
+    pairs = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(380)]
+    for finish in (0, 100, 4096):
+        check(spark, pairs, finish)
+
+
+def test_a_loop_that_does_not_end_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="rounds"):
+        check(spark, [(i, i + 1) for i in range(100)] + [(0, 200), (0, 201), (100, 202), (100, 203), (200, 201), (202, 203)])
