@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 def term_frequency(records: DataFrame, terms: Column | str) -> DataFrame:
     """term, occurrences, records: over all rows of records, each of which is one record with an array of terms.
 
-    Null terms and null or empty arrays count nothing; an empty string is a term like others. A record's terms are sorted and
-    each distinct one emitted with the length of its run, so the work is that of the sort however long the record. Partial hash
-    aggregation combines them before the shuffle: a term that a third of all records hold reaches its reducer as one row per map task."""
+    Null terms and null or empty arrays count nothing; an empty string is a term like others. A record's terms are sorted, so that
+    the first of each run of equal ones is known by its neighbour: a term's occurrences are all places, its records the first
+    ones, and the work is that of the sort however long the record. Partial hash aggregation counts both per map task before the
+    shuffle: a term that a third of all records hold reaches its reducer as one row per map task."""
     held = records.select(F.array_sort(F.array_compact(terms)).alias("_t"))
-    # where each run of equal terms begins, and behind them the end of the array
-    begins = held.select("_t", F.filter(F.sequence(F.lit(0), F.size("_t")), lambda i: (i == 0) | (i == F.size("_t")) | (F.get("_t", i) != F.get("_t", i - 1))).alias("_b")).filter("size(_t) > 0")
-    runs = begins.select("_t", "_b", F.explode(F.sequence(F.lit(0), F.size("_b") - 2)).alias("i"))
-    counts = runs.select(F.get("_t", F.get("_b", "i")).alias("term"), (F.get("_b", F.col("i") + 1) - F.get("_b", "i")).alias("n"))
-    return counts.groupBy("term").agg(F.sum("n").cast("bigint").alias("occurrences"), F.count(F.lit(1)).alias("records"))
+    marked = F.transform("_t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("_t", i - 1))).alias("first")))
+    places = held.select(F.explode(marked).alias("p")).select("p.term", "p.first")
+    return places.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), F.count(F.when(F.col("first"), 1)).alias("records"))
 
 
 def mark(frequency: DataFrame, total: int, rare: int = 1, common: float = 1 / 400) -> DataFrame:
