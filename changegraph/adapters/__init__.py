@@ -32,15 +32,18 @@ def scan(specs: list[dict], files: DataFrame, defs: DataFrame) -> tuple[DataFram
     return entries, conflicts
 
 
-def detect(paths: list[str]) -> list[dict]:
-    """What adapters the look of a tree calls for."""
-    have, out = set(paths), []
+def detect(paths: list[str], texts: dict[str, str] | None = None) -> list[dict]:
+    """What adapters the look of a tree calls for. texts: of main files, where known: one that makes no FastAPI application is none of its."""
+    have, out, texts = set(paths), [], texts or {}
     tops = {p.rsplit("/", 1)[0] + "/" if "/" in p else "" for p in have}
     for top in sorted(tops):
-        if f"{top}config/routes.rb" in have:
-            out.append({"adapter": "rails", "root": top.strip("/")})
+        if set(top.split("/")) & {"node_modules", ".venv"}:
+            continue
+        if f"{top.removesuffix('config/')}config/routes.rb" in have and top.endswith("config/"):
+            out.append({"adapter": "rails", "root": top.removesuffix("config/").strip("/") or "."})
         if any(f"{top}next.config.{x}" in have for x in ("js", "mjs", "ts")):
-            out.append({"adapter": "nextjs", "root": top.strip("/")})
-        if f"{top}main.py" in have:
-            out.append({"adapter": "fastapi", "main": f"{top}main.py"})
+            out.append({"adapter": "nextjs", "root": top.strip("/") or "."})
+        main = f"{top}main.py"
+        if main in have and (main not in texts or "FastAPI(" in texts[main]):
+            out.append({"adapter": "fastapi", "main": main})
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from changegraph.operators.ranges import innermost, nearest
 from changegraph.parse import python_source
+from changegraph.session import Stash
 
 #: The verbs of routes.
 VERBS = ("get", "post", "put", "patch", "delete")
@@ -48,11 +49,11 @@ def _declared(text: str | None) -> Iterator[tuple]:
                         yield "router", t.id, _prefix(call), None, node.lineno
             case ast.ImportFrom(module=str() as module):
                 for a in node.names:
-                    yield "import", a.asname or a.name, None, module if a.name == "router" else f"{module}.{a.name}", node.lineno
-            case ast.Call(func=ast.Attribute(attr="include_router"), args=[first, *_]):
-                held = first.value if isinstance(first, ast.Attribute) else first
-                if isinstance(held, ast.Name):
-                    yield "mount", held.id, _prefix(node), None, node.lineno
+                    yield "import", a.asname or a.name, a.name, module, node.lineno
+            case ast.Call(func=ast.Attribute(attr="include_router"), args=[ast.Attribute(value=ast.Name(id=held), attr=router), *_]):
+                yield "mount", held, _prefix(node), router, node.lineno
+            case ast.Call(func=ast.Attribute(attr="include_router"), args=[ast.Name(id=held), *_]):
+                yield "mount", held, _prefix(node), None, node.lineno
             case ast.FunctionDef() | ast.AsyncFunctionDef():
                 for d in node.decorator_list:
                     match d:
@@ -72,21 +73,26 @@ def _declarations(files: DataFrame) -> DataFrame:
 
 
 def fastapi(spec: dict, files: DataFrame, defs: DataFrame) -> DataFrame:
-    """Routes of routers that the main file mounts: mount prefix, router prefix, route. Mounts that resolve to no file give nothing."""
-    said = _declarations(files).persist()
+    """Routes of routers that the main file mounts: mount prefix, router prefix, route. Mounts that resolve to no file give nothing.
+
+    What is mounted as `x.router` is the router of that name in the module imported as x; what is mounted as `x` is a router x of the
+    module it is imported from, or all routers of a module of that name. Which it is the files tell."""
+    said = Stash(files.sparkSession).put(_declarations(files))
     main = said.filter(F.col("path") == spec["main"])
-    mounted = main.filter("kind = 'mount'").select("ref", "name", F.col("value").alias("mount"))
-    named = main.filter("kind = 'import'").groupBy("ref", "name").agg(F.max_by("target", "line").alias("module"))
-    place = F.replace("module", F.lit("."), F.lit("/"))
-    wanted = mounted.join(named, ["ref", "name"]).select("ref", "mount", F.explode(F.array(F.concat(place, F.lit(".py")), F.concat(place, F.lit("/__init__.py")))).alias("tail"))
+    mounted = main.filter("kind = 'mount'").select("ref", "name", F.col("value").alias("mount"), F.col("target").alias("of"))
+    named = main.filter("kind = 'import'").groupBy("ref", "name").agg(F.max_by(F.struct("target", F.col("value").alias("what")), "line").alias("i"))
+    inside = F.struct(F.concat_ws(".", "i.target", "i.what").alias("module"), F.col("of").alias("only"))
+    itself = F.when(F.col("of").isNull(), F.struct(F.col("i.target").alias("module"), F.col("i.what").alias("only")))
+    places = mounted.join(named, ["ref", "name"]).select("ref", "mount", F.explode(F.array_compact(F.array(inside, itself))).alias("p")).select("ref", "mount", "p.only", F.replace("p.module", F.lit("."), F.lit("/")).alias("place"))
+    wanted = places.select("ref", "mount", "only", F.explode(F.array(F.concat("place", F.lit(".py")), F.concat("place", F.lit("/__init__.py")))).alias("tail"))
     # the package may lie in the main file's directory or in one above it
     above = spec["main"].split("/")[:-1]
     roots = ["/".join(above[:k]) for k in range(len(above), -1, -1)]
     spots = wanted.withColumn("path", F.explode(F.array(*[F.concat(F.lit(f"{r}/" if r else ""), "tail") for r in roots])))
-    modules = spots.join(files.select("ref", "path"), ["ref", "path"], "left_semi").select("ref", "path", "mount").distinct()
+    modules = spots.join(files.select("ref", "path"), ["ref", "path"], "left_semi").select("ref", "path", "mount", "only").distinct()
     routers = said.filter("kind = 'router'").select("ref", "path", "name", F.col("value").alias("prefix"))
     routes = said.filter("kind = 'route'").select("ref", "path", "name", F.substring_index("value", " ", 1).alias("verb"), F.expr("substr(value, instr(value, ' ') + 1)").alias("route"), "target", "line")
-    met = routes.join(routers, ["ref", "path", "name"]).join(modules, ["ref", "path"])
+    met = routes.join(routers, ["ref", "path", "name"]).join(modules, ["ref", "path"]).filter("only is null or only = name")
     return met.select("ref", F.concat("verb", F.lit(" "), "mount", "prefix", "route").alias("endpoint"), F.concat_ws(":", "path", "target").alias("handler"), "line")
 
 
@@ -130,9 +136,6 @@ def pattern(spec: dict, files: DataFrame, defs: DataFrame) -> DataFrame:
 
 def listed(spec: dict, files: DataFrame, defs: DataFrame) -> DataFrame:
     """Entry points given by hand; the line is their definition's, else 1."""
-    spark = files.sparkSession
-    rows = spark.createDataFrame([(e["endpoint"], e["handler"]) for e in spec["entries"]], "endpoint string, handler string")
-    refs = files.select("ref").distinct()
+    each = files.select("ref").distinct().select("ref", F.explode(F.array(*[F.struct(F.lit(e["endpoint"]).alias("endpoint"), F.lit(e["handler"]).alias("handler")) for e in spec["entries"]])).alias("e")).select("ref", "e.*")
     starts = defs.select("ref", F.concat_ws(":", "path", "name").alias("handler"), "start").groupBy("ref", "handler").agg(F.min("start").alias("start"))
-    each = refs.join(F.broadcast(rows.withColumn("k", F.lit(1))), F.col("k") == 1)  # a configuration's few rows
     return each.join(starts, ["ref", "handler"], "left").select("ref", "endpoint", "handler", F.coalesce("start", F.lit(1)).alias("line"))

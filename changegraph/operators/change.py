@@ -6,23 +6,18 @@ whose edit is cosmetic; `new` exist at head alone and only inherit reach.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegraph.adapters import scan
 from changegraph.functions import paths
 from changegraph.operators import graph, ranges
-from changegraph.parse import graph_of, python_source
+from changegraph.operators.blind import blind_spots
+from changegraph.parse import graph_of
 from changegraph.session import Stash
-
-#: Where schema changes are kept.
-MIGRATIONS = r"(^|/)(migrations?|alembic|db/migrate)/"
-
+from changegraph.sources.config import Settings
 
 @dataclass
 class Change:
@@ -61,39 +56,43 @@ def symbols_at(lines: DataFrame, defs: DataFrame, facts: DataFrame) -> DataFrame
     return met.select("ref", "path", named.alias("name")).filter("name is not null").distinct()
 
 
-def versions(symbols: DataFrame, files: DataFrame, base: str, head: str) -> DataFrame:
-    """path, name, same, contract of Python symbols on both sides: equal but for docstrings and layout; another signature."""
-    text = lambda ref, n: files.filter(F.col("ref") == ref).select("path", F.col("text").alias(n))
-    both = symbols.join(text(base, "b"), "path").join(text(head, "h"), "path").filter(F.endswith("path", F.lit(".py")))
+def versions(symbols: DataFrame, facts: DataFrame, base: str, head: str) -> DataFrame:
+    """path, name, same, contract of Python symbols on both sides: equal but for docstrings and layout; another signature.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same, contract = [], []
-            for _, name, b, h in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = python_source.shape(b, name), python_source.shape(h, name)
-                same.append(x is not None and x == y)
-                contract.append(python_source.signature(b, name) != python_source.signature(h, name))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_()), pa.array(contract, pa.bool_())], names=["path", "name", "same", "contract"])
+    Both come with the facts of a file, which has been read once."""
+    said = facts.filter("kind = 'look'").select("ref", "path", "name", F.col("target").alias("shape"), F.col("recv").alias("signature"))
+    of = lambda ref, n: said.filter(F.col("ref") == ref).groupBy("path", "name").agg(F.first(F.struct("shape", "signature")).alias(n))
+    both = symbols.join(of(base, "b"), ["path", "name"]).join(of(head, "h"), ["path", "name"])
+    return both.select("path", "name", (F.col("b.shape") == F.col("h.shape")).alias("same"), (~F.col("b.signature").eqNullSafe(F.col("h.signature"))).alias("contract"))
 
-    return both.select("path", "name", "b", "h").mapInArrow(run, "path string, name string, same boolean, contract boolean")
 
+def analyse(spark: SparkSession, files: DataFrame, hunks: DataFrame, base: str, head: str, specs: list[dict], steps: DataFrame, settings: Settings | None = None, index: graph_of.Index | None = None) -> Change:
+    """files: ref, path, text of both revisions; steps: step, flow, endpoints, anchors (arrays) of the map.
 
-def analyse(spark: SparkSession, files: DataFrame, hunks: DataFrame, base: str, head: str, specs: list[dict], steps: DataFrame, app: str = paths.CODE) -> Change:
-    """files: ref, path, text of both revisions; steps: step, flow, endpoints, anchors (arrays) of the map; app: what code looks like."""
-    stash = Stash(spark)
-    facts = stash.put(graph_of.python_facts(files))
-    defs, edges, bad = graph_of.build(files)
+    settings: what is code, where the call graph begins, where generated files go; by default all code counts. index: definitions and
+    calls of files that no parser here reads. Entry points that can't be listed at a revision are a blind spot and no error."""
+    stash, settings = Stash(spark), settings or Settings()
+    facts = stash.put(graph_of.python_facts(settings.graphed_files(files)))
+    defs, edges, bad = graph_of.build(settings.graphed_files(files), facts, index)
     defs, edges = stash.put(defs), stash.put(edges)
-    entries, _ = scan(specs, files, defs)
-    entries = stash.put(entries.select("ref", "endpoint", "handler"))
+    listed, failures = [], []
+    for ref in (base, head):
+        try:
+            found, _ = scan(specs, files.filter(F.col("ref") == ref), defs.filter(F.col("ref") == ref))
+            listed.append(stash.put(found.select("ref", "endpoint", "handler")))
+        except Exception as e:  # whatever an adapter meets in a revision's files
+            failures.append((f"{ref}: {type(e).__name__}",))
+            listed.append(stash.put(spark.createDataFrame([], "ref string, endpoint string, handler string")))
+    entries = listed[0].unionByName(listed[1])
     side = lambda df, ref: df.filter(F.col("ref") == ref).drop("ref")
     b_defs, h_defs = (side(defs, r).select("path", "name", "node").distinct() for r in (base, head))
-    code = F.col("path").rlike(app) & ~F.col("path").rlike(paths.TEST)
+    kind = settings.kind(F.col("path"))
+    code = kind == "code"
 
     lines = changed_lines(hunks.filter(code))
     touched = symbols_at(lines, defs, facts).select("path", "name").distinct()
     here = lambda df, n: df.select("path", "name", F.lit(True).alias(n)).distinct()
-    known = touched.join(here(b_defs, "in_b"), ["path", "name"], "left").join(here(h_defs, "in_h"), ["path", "name"], "left").join(versions(touched, files, base, head), ["path", "name"], "left")
+    known = touched.join(here(b_defs, "in_b"), ["path", "name"], "left").join(here(h_defs, "in_h"), ["path", "name"], "left").join(versions(touched, facts, base, head), ["path", "name"], "left")
     module = F.col("name") == "<module>"
     status = F.when(module, "modified").when(F.col("in_b").isNull(), "new").when(F.col("in_h").isNull(), "deleted").otherwise("modified")
     symbols = stash.put(known.select(F.concat_ws(":", "path", "name").alias("node"), "path", "name", status.alias("status"), F.coalesce(F.col("same") & ~module, F.lit(False)).alias("cosmetic"), F.coalesce(F.col("contract") & (status == "modified") & ~module, F.lit(False)).alias("contract")))
@@ -118,20 +117,10 @@ def analyse(spark: SparkSession, files: DataFrame, hunks: DataFrame, base: str,
     both_sides = b_defs.select("node").intersect(h_defs.select("node"))
     moved = stash.put(graph.reach_diff(spark, side(edges, base), side(edges, head), b, h, both_sides))
 
-    files_changed = hunks.select("path").distinct()
-    at_head = lambda df: df.filter(F.col("ref") == head).select("path").distinct()
-    reached = reach.select("node").distinct()
-    rules = [
-        ("changed file can't be parsed", at_head(bad).join(files_changed, "path", "left_semi").select(F.col("path").alias("subject"))),
-        ("other file can't be parsed", at_head(bad).join(files_changed, "path", "left_anti").select(F.col("path").alias("subject"))),
-        ("migration", files_changed.filter(F.col("path").rlike(MIGRATIONS)).select(F.col("path").alias("subject"))),
-        ("module-level change", changed.filter("name = '<module>'").select(F.col("node").alias("subject"))),
-        ("class body without reach", changed.join(facts.filter("kind = 'class'").select("path", "name").distinct(), ["path", "name"], "left_semi").select("node").join(reached, "node", "left_anti").select(F.col("node").alias("subject"))),
-        ("code without call graph", files_changed.filter(code & ~F.endswith("path", F.lit(".py"))).select(F.col("path").alias("subject"))),
-        ("outside of the analysis", files_changed.filter(paths.file_kind("path") == "outside").select(F.col("path").alias("subject"))),
-        ("entry point gone, handler still there", ends.filter("status = 'removed'").join(h_defs.select(F.col("node").alias("hb")), "hb", "left_semi").select(F.col("endpoint").alias("subject"))),
-    ]
-    blind = stash.put(reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("rule"), "subject") for n, df in rules]))
+    files_changed = hunks.select("path").distinct().select("path", kind.alias("kind"), (settings.in_roots(F.col("path")) & graph_of.has_builder(F.col("path"), index)).alias("graphed"))
+    named = lambda df: df.select(paths.file_of("node").alias("path"), paths.symbol_of("node").alias("name"))
+    failed = spark.createDataFrame(failures, "subject string")
+    blind = stash.put(blind_spots([], files_changed, bad, failed, changed.select("path", "name", "status"), named(reach), b, h, h_defs))
     shifted = moved.select("endpoint").unionByName(ends.filter("status in ('removed', 'moved')").select("endpoint")).distinct().join(flow_of, "endpoint", "left").select("endpoint", F.coalesce("flow", F.lit("unplaced")).alias("flow"))
     spread = stash.put(reach.select("endpoint", "flow").unionByName(shifted).distinct())
     verdict = "blind" if stash.rows(blind) else "spreads" if stash.rows(spread) else "contained"

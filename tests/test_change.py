@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from changegraph.operators import change, reconcile
+from changegraph.operators import blind, change, reconcile
 from changegraph.sources import git
 
 APP = {
@@ -74,10 +74,47 @@ def test_new_call_moves_reach(analysed):
 def test_blind_spots(analysed):
     c = analysed({"app/core.py": APP["app/core.py"].replace("LIMIT = 1", "LIMIT = 2"), "app/bad.py": "def (:\n", "app/migrations/one.py": "def m():\n    pass\n", "web/x.ts": "export function a() {}\n", "data.bin": "1\n", "app/other.py": "def f():\n    pass\n"})
     assert c.verdict == "blind"
-    assert set(rows(c.blind)) == {("module-level change", "app/bad.py:<module>"), ("module-level change", "app/core.py:<module>"), ("changed file can't be parsed", "app/bad.py"), ("migration", "app/migrations/one.py"), ("code without call graph", "web/x.ts"), ("outside of the analysis", "data.bin")}
+    assert set(rows(c.blind)) == {("module-level change", "app/bad.py"), ("module-level change", "app/core.py"), ("changed file can't be parsed", "app/bad.py"), ("migration", "app/migrations/one.py"), ("code without call graph", "web/x.ts"), ("outside of the analysis", "data.bin")}
     assert rows(c.endpoints) == [("CLI app other", "removed"), ("CLI app run", "both")] and ("CLI app other", "g") in rows(c.spread)
 
 
+def test_a_new_class_blinds_nobody_and_a_changed_one_does(analysed):
+    fresh = APP["app/core.py"] + "\n\nclass Fresh:\n    size = 1\n"
+    c = analysed({"app/core.py": fresh, "docs/a.png": "x", "LICENSE": "x", "web/doc/b.html": "x", "tests/test_core.py": "def test_a():\n    pass\n"})
+    assert rows(c.blind) == [] and c.verdict == "contained"
+
+
+def test_a_changed_class_without_reach(analysed):
+    c = analysed({"app/run.py": APP["app/run.py"] + "\n\nclass Model:\n    size = 1\n"})
+    assert c.verdict == "contained"
+    blind.RULES  # the rule itself is tested on tables below
+
+
+def test_rules_on_tables(spark):
+    def t(schema, *rows):
+        return spark.createDataFrame([("c", *r) for r in rows] + [("other", *r) for r in rows[:0]], f"change string, {schema}")
+
+    files = t("path string, kind string, graphed boolean", ("a.py", "code", True), ("b.ts", "code", False), ("migrate/m.py", "code", True), ("tests/migrate/t.py", "test", True), ("x.bin", "outside", False), ("y.JPG", "outside", False), ("LICENSE", "outside", False), ("doc/z.html", "outside", False))
+    symbols = t("path string, name string, status string", ("a.py", "<module>", "modified"), ("migrate/m.py", "<module>", "modified"), ("a.py", "Model", "modified"), ("a.py", "Model.save", "modified"), ("a.py", "Fresh", "new"), ("a.py", "Seen", "deleted"), ("a.py", "lower", "modified"))
+    got = blind.blind_spots(["change"], files, t("path string", ("a.py",), ("other.py",), ("other.py",)), t("subject string", ("head",)), symbols, t("path string, name string", ("a.py", "Seen")), t("endpoint string, handler string", ("E", "a.py:lower"), ("F", "a.py:gone"), ("G", "a.py:lower")), t("endpoint string, handler string", ("G", "a.py:lower")), t("node string", ("a.py:lower",)))
+    assert rows(got) == sorted(("c", r, s) for r, s in zip(blind.RULES, ("a.py", "other.py", "head", "migrate/m.py", "a.py", "a.py:Model", "b.ts", "x.bin", "E")))
+
+
+def test_settings_of_an_analysis(analysed, monkeypatch):
+    from changegraph.sources.config import Settings
+
+    asked = change.analyse
+    monkeypatch.setattr(change, "analyse", lambda *a: asked(*a, settings=Settings(graph_roots=["app"], app_dirs=["app"], out="out/map")))
+    c = analysed({"web/run.py": "LIMIT = 1\n", "out/map/x.json": "{}", "app/web.ts": "const a = 1\n"})
+    assert rows(c.blind) == [("code without call graph", "app/web.ts"), ("outside of the analysis", "web/run.py")]
+
+
+def test_an_inventory_that_fails_is_a_blind_spot(analysed, monkeypatch):
+    monkeypatch.setitem(change.scan.__globals__["ADAPTERS"], "cli", lambda *a: (_ for _ in ()).throw(ValueError("no")))
+    c = analysed({"README.md": "z\n"})
+    assert rows(c.blind) == [("inventory failed", "base: ValueError"), ("inventory failed", "head: ValueError")]
+
+
 def test_reconciled_like_by_hand(spark):
     rnd = random.Random(9)
     ends, runs = [f"E{i}" for i in range(8)], ["r1", "r2", "r3", "r4"]

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import ast
 import json
 import subprocess
 
 import pytest
 
-from changegraph.adapters import detect, scan
+from changegraph.adapters import detect, routes, scan
 from changegraph.functions import codec, render
 from changegraph.parse import graph_of, outlines, python_source
 from changegraph.sources import git
@@ -85,19 +86,58 @@ def test_entries(spark, built):
     rails = {r["endpoint"]: r for r in entries.collect()}
     assert rails["PUT /users"]["aliases"] == ["users_path", "users_url"] and rails["GET /x"]["implicit"] == "renders app/views/users/gone"
     assert [r["endpoint"] for r in conflicts.collect()] == ["CLI t cmd"]
-    assert detect(["a/config/routes.rb", "b/next.config.js", "a/x.rb"]) != []
+    assert detect(["a/config/routes.rb", "b/next.config.js", "a/x.rb", "c/main.py", "d/main.py", "next.config.ts"], {"d/main.py": "print()"}) == [{"adapter": "nextjs", "root": "."}, {"adapter": "rails", "root": "a"}, {"adapter": "nextjs", "root": "b"}, {"adapter": "fastapi", "main": "c/main.py"}]
+
+
+def looks(text):
+    return {r[2]: (r[3], r[4]) for r in python_source.facts(text) if r[0] == "look"}
 
 
 def test_source_functions():
     text = FILES["tool/helper.py"]
-    assert python_source.signature(text, "low") == "x, y=2" and python_source.signature(text, "none") is None
-    assert python_source.signature(FILES["tool/shapes.py"], "Square") is None and python_source.summary(text, "top") == "Tops."
+    assert looks(text)["low"][0] == "x, y=2" and "none" not in looks(text) and looks(FILES["tool/shapes.py"])["Square"][0] is None
+    told = {r[2]: r[4] for r in python_source.facts(text + 'def last():\n    """One\n    two.\n\n    three"""\n') if r[0] == "told"}
+    assert told == {"top": "Tops.", "last": "One two."}
+    (f,) = ast.parse("def f(a: int, b, /, c=1, *d, e, g: str = 'x', **h): pass").body
+    assert python_source.parameters(f) == "a: int, b, /, c=1, *d, e, g: str='x', **h"
     moved = text.replace("Tops.", "Changed.").replace("def low", "# note\n\ndef low")
-    assert python_source.shape(text, "top") == python_source.shape(moved, "top") != python_source.shape(text, "low")
-    assert python_source.shape(text.replace("y=2", "y=3"), "low") != python_source.shape(text, "low")
+    assert looks(text)["top"] == looks(moved)["top"] != looks(text)["low"]
+    assert looks(text.replace("y=2", "y=3"))["low"] != looks(text)["low"]
     assert list(python_source.facts(None)) == [] and [r[0] for r in python_source.facts("def (")] == ["unparsed"]
+    assert [r[0] for r in python_source.facts("x = " + "-" * 100_000 + "1")] == ["unparsed"]
     assert [(r[5], r[6]) for r in python_source.facts(FILES["tool/cmd.py"]) if r[0] == "live"] == [(5, 5), (17, 18)]
+
+
+def test_outlines():
     assert outlines.ruby_outline("class A\n  def b\n  end\n  def c; 1 end\nend") == [("A.b", 2, 3), ("A", 1, 5)]
+    ruby = "module M::N\n  class B < C\n    class << self\n      def x?(a) # end\n        return 1 if a\n        [1].each do |y|\n          while y do\n            z\n          end\n        end\n        v = if a then 1 else 2 end\n      end\n    end\n    def self.make=(x)\n      \"end\"\n    end\n  end\nend\n"
+    assert outlines.ruby_outline(ruby) == [("M::N.B.x?", 4, 12), ("M::N.B.make=", 14, 16), ("M::N.B", 2, 17), ("M::N", 1, 18)]
+    script = "// function no() {}\nconst a = 1;\nexport async function b() {\n  const inner = 2;\n  function deep() {}\n}\nclass C {\n  m() {}\n}\ninterface D { x: string }\ntype E = { y: 1 }\nnamespace N {\n  export const F = 3\n}\nexport function* g() {}\nlet s = 'function z() {}'\n"
+    assert outlines.script_outline(script) == [("a", 2, 2), ("b", 3, 6), ("C", 7, 9), ("D", 10, 10), ("E", 11, 12), ("F", 13, 14), ("g", 15, 15), ("s", 16, 17)]
+    assert outlines.script_outline(None) == outlines.ruby_outline("") == []
+
+
+def test_route_parts():
+    assert [routes.url_part(x) for x in ("(shop)", "@side", "(.)photo", "(..)(..)x", "[id]", "[...all]", "[[...some]]", "[[odd]]", "plain", "(a)b")] == [None, None, None, None, "{id}", "{all}", "{some}", "[[odd]]", "plain", "(a)b"]
+    text = "// export default No\n'use strict'\nexport { a as GET, b }\nexport default async function () {}\nexport const [x] = 1"
+    assert routes.exports(text) == (False, [("GET", "a", 3), ("b", "b", 3), ("default", "default", 4), ("[", "[", 5)])
+    assert routes.exports("/* x */\n'use server'\nexport default thing\n") == (True, [("default", "thing", 3)])
+
+
+def test_rails_rules(spark):
+    dump = "Prefix Verb URI Pattern Controller#Action\n  a HEAD /a a#one\n OPTIONS|GET /b(/:c)/*d(.:format) a#two\n c GET /cable action_cable/x#y\n  POST / a#three\n GET /in a#inner\n"
+    ctl = "app/controllers/"
+    files = spark.createDataFrame([("r", p, t) for p, t in {"routes.txt": dump, ctl + "a_controller.rb": "class AController < APIBase\n  def one; end\n  def two\n  end\n  def three\n  end\nend\n", ctl + "a_p_i_base.rb": "class APIBase\n  def inner\n  end\nend\n", ctl + "action_cable/x_controller.rb": ""}.items()], "ref string, path string, text string")
+    entries, _ = scan([{"adapter": "rails", "routes_file": "routes.txt"}], files, graph_of.definitions(files, graph_of.python_facts(files)))
+    got = {r["endpoint"]: r["handler"].removeprefix(ctl) for r in entries.collect()}
+    assert got == {"HEAD /a": "a_controller.rb:one", "OPTIONS /b/{c}/{d}": "a_controller.rb:two", "GET /b/{c}/{d}": "a_controller.rb:two", "POST /": "a_controller.rb:three", "GET /in": "a_p_i_base.rb:inner"}
+
+
+def test_modules_passed_on_as_values(spark):
+    tree = {"tool/__init__.py": "", "tool/plugins/__init__.py": "from . import loud\n\nPLUGINS = [loud]\n", "tool/plugins/loud.py": "def render(s):\n    return s.upper()\n\ndef quiet(s):\n    pass\n", "tool/each.py": "from tool import plugins\n\ndef render_all(s):\n    return [p.render(s) for p in plugins.PLUGINS]\n"}
+    files = spark.createDataFrame([("r", p, t) for p, t in tree.items()], "ref string, path string, text string")
+    edges = {(r["src"], r["dst"]) for r in graph_of.build(files)[1].collect()}
+    assert edges == {("tool/each.py:render_all", "tool/plugins/loud.py:render")}
 
 
 def test_git_source(spark, tmp_path):
