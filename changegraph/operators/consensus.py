@@ -5,7 +5,7 @@ Whatever the reference takes in order of first appearance has an explicit ordina
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How sure a step is, from least to most.
@@ -36,12 +36,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def overlaps(left: DataFrame, right: DataFrame, key_l: str, key_r: str, element: str) -> DataFrame:
-    """key_l, key_r, jaccard: pairs of sets, in rows of (key, element), with a common element; by an inverted list, no pair without one is made."""
+def overlaps(left: DataFrame, right: DataFrame, key_l: str, key_r: str, element: str, pair: Column | None = None, at_least: float = 0.0) -> DataFrame:
+    """key_l, key_r, jaccard: pairs of sets, in rows of (key, element), with a common element; by an inverted list, no pair without one is made.
+
+    pair: a condition on the two keys, which is part of the join. at_least: only pairs with this index or more; they share one of the
+    n - ceil(at_least n) + 1 rarest elements of either set, so frequent elements make no candidates."""
     l, r = left.select(key_l, element).distinct(), right.select(key_r, element).distinct()
     nl, nr = l.groupBy(key_l).agg(F.count(F.lit(1)).alias("_nl")), r.groupBy(key_r).agg(F.count(F.lit(1)).alias("_nr"))
-    both = l.join(r, element).groupBy(key_l, key_r).agg(F.count(F.lit(1)).alias("_n"))
-    return both.join(nl, key_l).join(nr, key_r).select(key_l, key_r, (F.col("_n") / (F.col("_nl") + F.col("_nr") - F.col("_n"))).alias("jaccard"))
+    fits = F.lit(True) if pair is None else pair
+    if at_least > 0:
+        common = l.select(element).unionByName(r.select(element)).groupBy(element).agg(F.count(F.lit(1)).alias("_f"))
+
+        def rarest(sets: DataFrame, key: str) -> DataFrame:
+            w = Window.partitionBy(key)  # a set is one record's
+            ranked = sets.join(common, element).withColumn("_rn", F.row_number().over(w.orderBy("_f", element))).withColumn("_n", F.count(F.lit(1)).over(w))
+            return ranked.filter(F.col("_rn") <= F.col("_n") - F.ceil(F.col("_n") * at_least - 1e-9) + 1).select(key, element)
+
+        candidates = rarest(l, key_l).join(rarest(r, key_r), element).filter(fits).select(key_l, key_r).distinct()
+        both = candidates.join(l, key_l).join(r, [key_r, element]).groupBy(key_l, key_r).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        both = l.join(r, element).filter(fits).groupBy(key_l, key_r).agg(F.count(F.lit(1)).alias("_n"))
+    index = F.col("_n") / (F.col("_nl") + F.col("_nr") - F.col("_n"))
+    return both.join(nl, key_l).join(nr, key_r).select(key_l, key_r, index.alias("jaccard")).filter(F.col("jaccard") >= at_least)
 
 
 def rung(evidence: Column) -> Column:

@@ -1,7 +1,7 @@
 """Joins of places with intervals: innermost enclosing, nearest before, overlapping.
 
 Intervals and places are cut into bins of BIN units, so that the join is on equal keys and a file with a third of all definitions
-is spread over its bins; an interval longer than MOST bins is kept out of the bins and joined on the file alone.
+is spread over its bins; an interval longer than MOST bins is cut into bins of MOST times their size, and so on upwards.
 """
 
 from __future__ import annotations
@@ -19,12 +19,29 @@ def _binned(intervals: DataFrame, start: str, end: str) -> tuple[DataFrame, Data
     return short, sound.filter(last - first >= MOST)
 
 
+#: Sizes of bins: an interval lies in at most MOST + 1 bins of the first size that allows it; the last one holds any 64-bit length.
+SIZES = [BIN * MOST**k for k in range(8)]
+
+
+def _layered(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Intervals once for each bin they lie in, `_size` and `_bin`."""
+    sound = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
+    length = F.col(end).cast("bigint") - F.col(start)
+    size = F.coalesce(*[F.when(length < n * MOST, F.lit(n)) for n in SIZES[:-1]], F.lit(SIZES[-1]))
+    sized = sound.withColumn("_size", size)
+    return sized.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_size")), F.floor(F.col(end) / F.col("_size")))))
+
+
 def containing(places: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str = "start", end: str = "end") -> DataFrame:
     """Every pair of a place and an interval with equal `by` that contains it, both ends included. Columns must not clash but for `by`."""
-    short, long = _binned(intervals, start, end)
     inside = (F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))
-    near = places.withColumn("_bin", F.floor(F.col(at) / BIN)).join(short, [*by, "_bin"]).filter(inside).drop("_bin")
-    return near.unionByName(places.join(long, by).filter(inside))
+    cut = _layered(intervals, start, end)
+    used = cut.select("_size").distinct()  # at most as many rows as there are sizes
+    sizes = [r[0] for r in used.collect()]
+    if not sizes:
+        return places.join(cut.drop("_size", "_bin"), by).filter(inside)
+    asked = places.withColumn("_size", F.explode(F.array(*map(F.lit, sorted(sizes))))).withColumn("_bin", F.floor(F.col(at) / F.col("_size")))
+    return asked.join(cut, [*by, "_size", "_bin"]).filter(inside).drop("_size", "_bin")
 
 
 def innermost(places: DataFrame, intervals: DataFrame, by: list[str], place: list[str], at: str, order: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -38,12 +55,22 @@ def innermost(places: DataFrame, intervals: DataFrame, by: list[str], place: lis
 
 
 def nearest(places: DataFrame, things: DataFrame, by: list[str], place: list[str], at: str, where: str, order: str) -> DataFrame:
-    """Each place with the thing of equal `by` that starts last at or before it, else the one that starts first after it; of equal ones the first in `order`."""
+    """Each place with the thing of equal `by` that starts last at or before it, else the one that starts first after it; of equal ones the first in `order`.
+
+    A place meets the things of its bin only; what the bins before and behind it hold is known from their first and last things, one
+    row per bin. So a file with a third of all things is spread, and no place meets all of them."""
     rest = [c for c in things.columns if c not in by]
-    met = places.select(*dict.fromkeys([*by, *place, at])).join(things.filter(F.col(where).isNotNull()), by)
+    thing = F.struct(*rest)
+    latest, soonest = F.struct(F.col(where), -F.col(order)), F.struct(-F.col(where), -F.col(order))
+    cut = things.filter(F.col(where).isNotNull()).withColumn("_bin", F.floor(F.col(where) / BIN))
+    asked = places.select(*dict.fromkeys([*by, *place, at])).withColumn("_bin", F.floor(F.col(at) / BIN))
+    ends = cut.groupBy(*by, "_bin").agg(F.max_by(thing, latest).alias("_l"), F.max_by(thing, soonest).alias("_f"))
+    bins = ends.join(asked.select(*by, "_bin").distinct(), [*by, "_bin"], "full")
+    up, down = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_bin"), F.desc("_bin")))
+    around = bins.select(*by, "_bin", F.last("_l", ignorenulls=True).over(up).alias("_l"), F.last("_f", ignorenulls=True).over(down).alias("_f"))
     before = F.col(where) <= F.col(at)
-    key = F.struct(F.when(before, 1).otherwise(0), F.when(before, F.col(where)).otherwise(-F.col(where)), -F.col(order))
-    best = met.groupBy(*place).agg(F.max_by(F.struct(*rest), key).alias("_in"))
+    met = asked.join(cut, [*by, "_bin"]).groupBy(*place).agg(F.max_by(F.when(before, thing), F.when(before, latest)).alias("_b"), F.max_by(F.when(~before, thing), F.when(~before, soonest)).alias("_a"))
+    best = asked.join(around, [*by, "_bin"]).join(met, place, "left").select(*place, F.coalesce("_b", "_l", "_a", "_f").alias("_in"))
     return places.join(best, place, "left").select(*places.columns, *[F.col(f"_in.{c}").alias(c) for c in rest])
 
 

@@ -179,18 +179,9 @@ def shared_components(spark: SparkSession, d: str) -> DataFrame:
     return components_of(spark, d).groupBy("component").agg(F.countDistinct("flow").alias("flows")).filter("flows >= 2")
 
 
-MATRIX = ("read-a-meter", "return-a-loan", "answer-a-ticket", "export-a-report")
-
-
-def component_flows(spark: SparkSession, d: str) -> DataFrame:
-    """The whole matrix of components and flows as rows: component, flow, steps. A cell without a row has no steps."""
-    return components_of(spark, d).groupBy("component", "flow").agg(F.countDistinct("step").alias("steps"))
-
-
 def component_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Steps through each component by flow as columns, for the four flows of MATRIX only; component_flows has every flow."""
-    m = components_of(spark, d).groupBy("component").pivot("flow", list(MATRIX)).agg(F.countDistinct("step"))
-    return m.select("component", *[F.coalesce(F.col(f"`{x}`"), F.lit(0)).cast("bigint").alias(x.replace("-", "_")) for x in MATRIX])
+    """The matrix of components and flows as rows: component, flow, steps. A cell without a row has no steps."""
+    return components_of(spark, d).groupBy("component", "flow").agg(F.countDistinct("step").alias("steps"))
 
 
 COMPONENTS_SQL = "comps AS (SELECT DISTINCT step, flow_id AS flow, array_to_string(string_split(node, '/')[1:2], '/') AS component FROM mends JOIN entries USING (endpoint) JOIN h ON handler = origin)"
@@ -256,7 +247,7 @@ HUB_SQL = "(SELECT arg_max(dst, (n, dst)) AS node FROM (SELECT dst, count(*) AS
 CHANGED_SQL = "(SELECT src, dst, 'added' AS change FROM head WHERE (src, dst) NOT IN (SELECT (src, dst) FROM base) UNION ALL SELECT src, dst, 'removed' FROM base WHERE (src, dst) NOT IN (SELECT (src, dst) FROM head))"
 IMPACT_SQL = f"SELECT DISTINCT u.node AS node, endpoint, coalesce(flow, 'unplaced') AS flow FROM (SELECT origin AS up, node FROM c UNION SELECT src, src FROM edges) u JOIN (SELECT DISTINCT src AS node FROM {CHANGED_SQL}) s ON s.node = u.node JOIN entries ON handler = up LEFT JOIN flow_of USING (endpoint)"
 
-QUERIES = {f.__name__: f for f in (graph_callers, graph_callees, graph_reach_incl, reach_avoiding, shortest_path_len, shortest_path, impact, reach_diff, reach_diff_gained, reach_diff_lost, nearest_cause, bounded_bfs, longest_depth, merges, topk_merges, ubiquity_filter, step_components, shared_components, component_flows, component_matrix, except_edges, intersect_nodes, union_distinct, module_edges, spread_union, connected_components, kept_calls, hub_folding, graph_size)}
+QUERIES = {f.__name__: f for f in (graph_callers, graph_callees, graph_reach_incl, reach_avoiding, shortest_path_len, shortest_path, impact, reach_diff, reach_diff_gained, reach_diff_lost, nearest_cause, bounded_bfs, longest_depth, merges, topk_merges, ubiquity_filter, step_components, shared_components, component_matrix, except_edges, intersect_nodes, union_distinct, module_edges, spread_union, connected_components, kept_calls, hub_folding, graph_size)}
 
 ORACLES = {
     "graph_callers": sql("SELECT node, origin AS caller FROM c WHERE node <> origin", recursive=CLOSURE.format(e="edges")),
@@ -282,8 +273,7 @@ ORACLES = {
     "ubiquity_filter": sql("SELECT node, handlers, total FROM (SELECT split_part(origin, ' ', 1) AS repo, node, count(DISTINCT origin) AS handlers FROM h GROUP BY ALL) JOIN (SELECT split_part(origin, ' ', 1) AS repo, count(DISTINCT origin) AS total FROM h GROUP BY 1) USING (repo) WHERE handlers * 4 > total", recursive=HANDLED.format(e="edges")),
     "step_components": sql("SELECT step, count(DISTINCT component) AS components FROM comps GROUP BY step", recursive=HANDLED.format(e="edges") + ", " + COMPONENTS_SQL),
     "shared_components": sql("SELECT component, count(DISTINCT flow) AS flows FROM comps GROUP BY component HAVING count(DISTINCT flow) >= 2", recursive=HANDLED.format(e="edges") + ", " + COMPONENTS_SQL),
-    "component_flows": sql("SELECT component, flow, count(DISTINCT step) AS steps FROM comps GROUP BY component, flow", recursive=HANDLED.format(e="edges") + ", " + COMPONENTS_SQL),
-    "component_matrix": sql("SELECT component, " + ", ".join(f"count(DISTINCT step) FILTER (flow = '{x}') AS {x.replace('-', '_')}" for x in MATRIX) + " FROM comps GROUP BY component", recursive=HANDLED.format(e="edges") + ", " + COMPONENTS_SQL),
+    "component_matrix": sql("SELECT component, flow, count(DISTINCT step) AS steps FROM comps GROUP BY component, flow", recursive=HANDLED.format(e="edges") + ", " + COMPONENTS_SQL),
     "except_edges": sql(f"SELECT * FROM {CHANGED_SQL}"),
     "intersect_nodes": sql("(SELECT src AS node FROM base UNION SELECT dst FROM base) INTERSECT (SELECT src FROM head UNION SELECT dst FROM head)"),
     "union_distinct": sql("SELECT * FROM base UNION SELECT * FROM head"),

@@ -220,9 +220,8 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
 def jaccard_join(spark, d):
     """Proposed flows of different mappers whose entry points overlap."""
     p = Stash(spark).put(proposals(spark, d))
-    got = consensus.overlaps(p.withColumnRenamed("proposal", "x"), p.withColumnRenamed("proposal", "y"), "x", "y", "endpoint")
     run = F.split(F.col("x"), " ")[1] != F.split(F.col("y"), " ")[1]
-    return got.filter((F.col("x") < F.col("y")) & run & (F.col("jaccard") >= 0.3))
+    return consensus.overlaps(p.withColumnRenamed("proposal", "x"), p.withColumnRenamed("proposal", "y"), "x", "y", "endpoint", (F.col("x") < F.col("y")) & run, 0.3)
 
 
 @query(
@@ -251,10 +250,10 @@ def cluster_loose(spark, d):
     """Steps without entry points that different mappers have in the same flow with overlapping code and screens; steps alone are left out."""
     r = V.runs(spark, d).filter("flow_id is not null").filter(F.size(tidy.entries("endpoints")) == 0)
     t = Stash(spark).put(r.select(F.concat_ws(" ", "repo", "flow_id").alias("flow"), "run_id", "step_no", F.explode(F.array_union(tidy.nodes("code_path"), tidy.nodes("ui"))).alias("t")))
-    keyed = t.select("step_no", "run_id", F.concat_ws(" ", "flow", "t").alias("t"))
-    got = consensus.overlaps(keyed.withColumnRenamed("step_no", "x"), keyed.withColumnRenamed("step_no", "y"), "x", "y", "t").filter("x < y and jaccard >= 0.3")
-    run = lambda k: t.select(F.col("step_no").alias(k), F.col("run_id").alias(f"run_{k}")).distinct()
-    links = got.join(run("x"), "x").join(run("y"), "y").filter("run_x <> run_y").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    keyed = t.select(F.struct("step_no", "run_id").alias("step"), F.concat_ws(" ", "flow", "t").alias("t"))
+    others = (F.col("x.step_no") < F.col("y.step_no")) & (F.col("x.run_id") != F.col("y.run_id"))
+    got = consensus.overlaps(keyed.withColumnRenamed("step", "x"), keyed.withColumnRenamed("step", "y"), "x", "y", "t", others, 0.3)
+    links = got.select(F.col("x.step_no").alias("src"), F.col("y.step_no").alias("dst"))
     found = Stash(spark).put(graph.connected(spark, links, t.select(F.col("step_no").alias("node")).distinct()))
     many = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
     return found.join(many, "component", "left_semi").select(F.col("node").alias("step_no"), F.col("component").alias("cluster"))

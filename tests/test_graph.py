@@ -105,9 +105,9 @@ def test_moved_reach_and_its_cause(spark):
     assert sorted(map(tuple, cause)) == [("c", "a", "c"), ("d", "c", "d")]
 
 
-def test_component_flows_has_every_flow(spark, monkeypatch):
+def test_component_matrix_has_every_flow(spark, monkeypatch):
     rows = [(f"s{k}", f"flow-{k % 7}", c) for k in range(20) for c in ("a/b", "c/d")[: 1 + k % 2]] + [("s0", "read-a-meter", "a/b")]
     monkeypatch.setattr(graphs, "components_of", lambda *_: spark.createDataFrame([*rows, rows[0]], "step string, flow string, component string"))
     want = {(c, f): len({x for x, g, y in rows if (g, y) == (f, c)}) for _, f, c in rows}
-    got = queries()["component_flows"](spark, "")
+    got = queries()["component_matrix"](spark, "")
     assert {(r["component"], r["flow"]): r["steps"] for r in got.collect()} == want and got.count() == len(want)
