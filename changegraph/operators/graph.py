@@ -107,8 +107,8 @@ def callers(spark: SparkSession, edges: DataFrame | Links, nodes: DataFrame) ->
 
 
 def with_origin(reached: DataFrame, origins: DataFrame) -> DataFrame:
-    """origin, node: reach that includes where it starts."""
-    return reached.select("origin", "node").unionByName(origins.select("origin", F.col("origin").alias("node")).dropna().distinct()).distinct()
+    """origin, node: reach that includes where it starts; reach itself never does."""
+    return reached.select("origin", "node").unionByName(origins.select("origin", F.col("origin").alias("node")).dropna().distinct())
 
 
 def avoiding(edges: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def avoiding(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     return edges.join(blocked.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
 
 
-def impact(spark: SparkSession, edges: DataFrame, nodes: DataFrame, entries: DataFrame, flows: DataFrame) -> DataFrame:
+def impact(spark: SparkSession, edges: DataFrame | Links, nodes: DataFrame, entries: DataFrame, flows: DataFrame) -> DataFrame:
     """node, endpoint, flow: the entry points, and their flows, from which each of nodes(origin) can be reached, or which it handles.
 
     entries(endpoint, handler); flows(endpoint, flow), an entry point without one is 'unplaced'."""
@@ -131,30 +131,28 @@ def reach_diff(spark: SparkSession, base: DataFrame, head: DataFrame, base_entri
     Entry points are those of both sides; only the ones above a changed edge on either side are followed at all, as
     no other reach can have moved. entries(endpoint, handler), nodes(node)."""
     stash = Stash(spark)
-    b, h = Links(spark, base), Links(spark, head)
-    changed = stash.put(b.edges.exceptAll(h.edges).unionByName(h.edges.exceptAll(b.edges)))
-    seeds = changed.select(F.col("src").alias("origin")).distinct()
-    above = with_origin(callers(spark, b, seeds), seeds).unionByName(with_origin(callers(spark, h, seeds), seeds)).select(F.col("node").alias("handler")).distinct()
+    # both sides are one graph whose nodes bear their side in front, so each walk is made once
+    on = lambda side, c: F.concat(F.lit(side), F.col(c) if isinstance(c, str) else c)
+    bare = lambda c: F.expr(f"substring({c}, 2)")
+    links = Links(spark, base.select(on("b", "src").alias("src"), on("b", "dst").alias("dst")).unionByName(head.select(on("h", "src").alias("src"), on("h", "dst").alias("dst"))))
+    changed = links.edges.groupBy(bare("src").alias("src"), bare("dst").alias("dst")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+    seeds = stash.put(changed.select("src").distinct().select(F.explode(F.array(on("b", "src"), on("h", "src"))).alias("origin")))
+    above = with_origin(callers(spark, links, seeds), seeds).select(bare("node").alias("handler")).distinct()
     both = base_entries.select("endpoint", F.col("handler").alias("hb")).join(head_entries.select("endpoint", F.col("handler").alias("hh")), "endpoint")
-    moved = stash.put(both.join(above.select(F.col("handler").alias("hb"), F.lit(True).alias("up_b")), "hb", "left").join(above.select(F.col("handler").alias("hh"), F.lit(True).alias("up_h")), "hh", "left").filter("up_b or up_h or hb <> hh").select("endpoint", "hb", "hh"))
+    up = lambda c, n: above.select(F.col("handler").alias(c), F.lit(True).alias(n))
+    moved = both.join(up("hb", "up_b"), "hb", "left").join(up("hh", "up_h"), "hh", "left").filter("up_b or up_h or hb <> hh")
+    starts = stash.put(moved.select("endpoint", F.explode(F.array(on("b", "hb"), on("h", "hh"))).alias("origin")).dropna())
+    got = starts.join(with_origin(reach(spark, links, starts), starts), "origin").select("endpoint", F.substring("origin", 1, 1).alias("side"), bare("node").alias("node")).distinct()
+    met = got.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("endpoint", "node").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("side"))
+    return met.filter("n = 1").select("endpoint", "node", F.when(F.col("side") == "h", "gained").otherwise("lost").alias("moved"))
 
-    def side(edges: Links, handler: str) -> DataFrame:
-        starts = moved.select(F.col(handler).alias("origin"))
-        got = with_origin(reach(spark, edges, starts), starts)
-        pairs = moved.join(got.withColumnRenamed("origin", handler), handler).select("endpoint", "node").distinct()
-        return stash.put(pairs.join(nodes.select("node").distinct(), "node", "left_semi").select("endpoint", "node"))
-
-    before, after = side(b, "hb"), side(h, "hh")
-    gained = after.join(before, ["endpoint", "node"], "left_anti").withColumn("moved", F.lit("gained"))
-    return gained.unionByName(before.join(after, ["endpoint", "node"], "left_anti").withColumn("moved", F.lit("lost")))
 
-
-def nearest_causes(spark: SparkSession, edges: DataFrame, changed: DataFrame, moved: DataFrame) -> DataFrame:
+def nearest_causes(spark: SparkSession, edges: DataFrame | Links, changed: DataFrame, moved: DataFrame) -> DataFrame:
     """node, src, dst: for each node that moved, the changed edges above it that have no other changed edge below them on the way to it.
 
     changed(src, dst) are edges of edges; moved(node)."""
     stash = Stash(spark)
-    links = Links(spark, edges)
+    links = edges if isinstance(edges, Links) else Links(spark, edges)
     ch = stash.put(changed.select("src", "dst").distinct())
     starts = ch.select(F.col("dst").alias("origin")).distinct()
     below = stash.put(with_origin(reach(spark, links, starts), starts))  # from a changed edge's end on
@@ -178,27 +176,55 @@ def bounded(spark: SparkSession, edges: DataFrame, origins: DataFrame, depth: in
     return ranked.filter(F.col("rn") <= most - 1).select("origin", "node", "depth", F.greatest(F.col("n") - (most - 1), F.lit(0)).alias("hidden"))
 
 
+def _rings(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """node, ring: the nodes on cycles, and the smallest of those that each leads to and is led to by."""
+    pairs = Links(spark, links)
+    # a node on a cycle has links on both sides
+    both = pairs.edges.select(F.col("src").alias("origin")).intersect(pairs.edges.select(F.col("dst").alias("origin")))
+    there = Stash(spark).put(reach(spark, pairs, both).select("origin", "node"))
+    back = there.select(F.col("node").alias("origin"), F.col("origin").alias("node"))
+    mutual = there.join(back, ["origin", "node"], "left_semi")
+    return mutual.groupBy(F.col("origin").alias("node")).agg(F.least(F.min("node"), F.col("origin")).alias("ring"))
+
+
 def layers(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, depth: length of the longest chain from a root(node), of the nodes that roots reach; exact without cycles.
+    """node, depth: length of the longest chain from a root(node), of the nodes that roots reach.
 
-    Layers are peeled: a node's depth is final once all that lead to it are. What never becomes final is on a cycle or behind
-    one, and gets the number of layers peeled as its depth."""
+    Layers are peeled: a node's depth is final once all that lead to it are. Where none is left to peel, the nodes of each cycle
+    are made one, so cycles count as single nodes, all of a cycle have its depth, and what lies behind goes on from there."""
     stash = Stash(spark)
-    links = stash.put(edges.select("src", "dst").dropna().filter("src <> dst").distinct())
+    links = Links(spark, edges)
     starts = roots.select(F.col("node").alias("origin")).dropna().distinct()
-    left = stash.put(with_origin(reach(spark, links, starts), starts).select("node").distinct())
-    links = stash.put(links.join(left.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+    every = stash.put(with_origin(reach(spark, links, starts), starts).select("node").distinct())
+    left = every
+    links = stash.put(links.edges.join(every.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
     done: list[DataFrame] = []
+    rings = None
     while True:
         entered = links.select(F.col("dst").alias("node")).distinct()
         ready = stash.put(left.join(entered, "node", "left_anti").select("node", F.lit(len(done)).alias("depth")))
-        if not stash.rows(ready):
+        if stash.rows(ready):
+            done.append(ready)
+            left = every.join(stash.union(done), "node", "left_anti").select("node")
+            before, links = links, stash.put(links.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
+            stash.drop(before)
+            continue
+        if not stash.rows(links):
             break
-        done.append(ready)
-        left = stash.put(left.join(ready, "node", "left_anti").select("node"))
-        links = stash.put(links.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
-    rest = left.select("node", F.lit(len(done)).alias("depth"))
-    return stash.union(done).unionByName(rest) if done else rest
+        rings = stash.put(_rings(spark, links))
+        to = lambda c: F.coalesce(F.col(f"r{c}"), F.col(c)).alias(c)
+        named = lambda c: rings.select(F.col("node").alias(c), F.col("ring").alias(f"r{c}"))
+        whole = links.join(named("src"), "src", "left").join(named("dst"), "dst", "left").select(to("src"), to("dst")).filter("src <> dst").distinct()
+        before, links = links, stash.put(whole)
+        stash.drop(before)
+        every = stash.put(every.join(rings.filter("node <> ring"), "node", "left_anti"))
+        left = every.join(stash.union(done), "node", "left_anti").select("node") if done else every
+    if not done:
+        return every.select("node", F.lit(0).alias("depth"))
+    out = stash.union(done)
+    if rings is None:
+        return out
+    return out.unionByName(rings.filter("node <> ring").join(out.withColumnRenamed("node", "ring"), "ring").select("node", "depth"))
 
 
 def ubiquitous(reached: DataFrame, share: float) -> DataFrame:

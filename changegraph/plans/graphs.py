@@ -17,26 +17,21 @@ LEVELS = "lv(origin, node, d) AS (SELECT DISTINCT handler, handler, 0 FROM entri
 HANDLED = "h(origin, node) AS (SELECT DISTINCT handler, handler FROM entries WHERE handler IS NOT NULL UNION SELECT h.origin, x.dst FROM h JOIN {e} x ON h.node = x.src)"
 
 
-def handlers(spark: SparkSession, d: str) -> DataFrame:
-    return V.entries(spark, d).select(F.col("handler").alias("origin")).dropna().distinct()
-
-
 def all_nodes(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
 
 
 def graph_callers(spark: SparkSession, d: str) -> DataFrame:
-    e = Stash(spark).put(V.edges(spark, d))
-    return graph.callers(spark, e, all_nodes(e).withColumnRenamed("node", "origin")).select(F.col("origin").alias("node"), F.col("node").alias("caller"))
+    links = V.links(spark, d)
+    return graph.callers(spark, links, all_nodes(links.edges).withColumnRenamed("node", "origin")).select(F.col("origin").alias("node"), F.col("node").alias("caller"))
 
 
 def graph_callees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reach(spark, V.edges(spark, d), handlers(spark, d)).select(F.col("origin").alias("handler"), "node")
+    return V.handler_reach(spark, d).select(F.col("origin").alias("handler"), "node")
 
 
 def reach_incl(spark: SparkSession, d: str) -> DataFrame:
-    h = handlers(spark, d)
-    return graph.with_origin(graph.reach(spark, V.edges(spark, d), h), h)
+    return graph.with_origin(V.handler_reach(spark, d), V.handlers(spark, d))
 
 
 def graph_reach_incl(spark: SparkSession, d: str) -> DataFrame:
@@ -51,15 +46,15 @@ def hubs(e: DataFrame) -> DataFrame:
 
 def reach_avoiding(spark: SparkSession, d: str) -> DataFrame:
     e = Stash(spark).put(V.edges(spark, d))
-    return graph.reach(spark, graph.avoiding(e, hubs(e)), handlers(spark, d)).select(F.col("origin").alias("handler"), "node")
+    return graph.reach(spark, graph.avoiding(e, hubs(e)), V.handlers(spark, d)).select(F.col("origin").alias("handler"), "node")
 
 
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reach(spark, V.edges(spark, d), handlers(spark, d)).select(F.col("origin").alias("handler"), "node", "depth")
+    return V.handler_reach(spark, d).select(F.col("origin").alias("handler"), "node", "depth")
 
 
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    got = graph.reach(spark, V.edges(spark, d), handlers(spark, d), paths=True)
+    got = graph.reach(spark, V.links(spark, d), V.handlers(spark, d), paths=True)
     return got.select(F.col("origin").alias("handler"), "node", F.array_join("path", " > ").alias("chain"))
 
 
@@ -71,7 +66,7 @@ def changed_edges(spark: SparkSession, d: str) -> DataFrame:
 def impact(spark: SparkSession, d: str) -> DataFrame:
     changed = Stash(spark).put(changed_edges(spark, d))
     nodes = changed.select(F.col("src").alias("origin")).distinct()
-    return graph.impact(spark, V.edges(spark, d), nodes, V.entries(spark, d), V.flow_of(spark, d))
+    return graph.impact(spark, V.links(spark, d), nodes, V.entries(spark, d), V.flow_of(spark, d))
 
 
 def _diff(spark: SparkSession, d: str) -> DataFrame:
@@ -112,11 +107,11 @@ def nearest_cause(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bounded_bfs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bounded(spark, V.edges(spark, d), handlers(spark, d), depth=4, most=22).withColumnRenamed("origin", "handler")
+    return graph.bounded(spark, V.edges(spark, d), V.handlers(spark, d), depth=4, most=22).withColumnRenamed("origin", "handler")
 
 
 def longest_depth(spark: SparkSession, d: str) -> DataFrame:
-    return graph.layers(spark, V.edges(spark, d), handlers(spark, d).withColumnRenamed("origin", "node"))
+    return graph.layers(spark, V.edges(spark, d), V.handlers(spark, d).withColumnRenamed("origin", "node"))
 
 
 def handled_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -231,8 +226,8 @@ def kept_calls(spark: SparkSession, d: str) -> DataFrame:
 def hub_folding(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that a handler reaches only through its repository's hub."""
     e = Stash(spark).put(V.edges(spark, d))
-    h = Stash(spark).put(handlers(spark, d))
-    every = graph.reach(spark, e, h).select("origin", "node")
+    h = Stash(spark).put(V.handlers(spark, d))
+    every = V.handler_reach(spark, d).select("origin", "node")
     hub = Stash(spark).put(hubs(e))
     free = graph.reach(spark, graph.avoiding(e, hub), h).select("origin", "node")
     return every.join(free, ["origin", "node"], "left_anti").join(hub, "node", "left_anti").select(F.col("origin").alias("handler"), "node")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changegraph.functions import paths, tidy
+from changegraph.operators import graph
+from changegraph.session import Stash, prepared
 from changegraph.sources.tables import flatten_steps, load, load_steps
 
 
@@ -31,8 +33,26 @@ def revised(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str, side: str | None = None) -> DataFrame:
     """src, dst: distinct calls of one side or of both, self-calls and unresolved ones left out."""
-    r = revised(spark, d).filter("dst is not null and src <> dst")
-    return (r.filter(F.col("side") == side) if side else r).select("src", "dst").distinct()
+
+    def made() -> DataFrame:
+        return Stash(spark).put(revised(spark, d).filter("dst is not null and src <> dst").select("side", "src", "dst").distinct())
+
+    r = prepared(spark, d, "edges", ("graph_edges",), made)
+    return r.filter(F.col("side") == side).select("src", "dst") if side else r.select("src", "dst").distinct()
+
+
+def links(spark: SparkSession, d: str) -> graph.Links:
+    """The calls of both sides, made ready for questions of reach."""
+    return prepared(spark, d, "links", ("graph_edges",), lambda: graph.Links(spark, edges(spark, d)))
+
+
+def handler_reach(spark: SparkSession, d: str) -> DataFrame:
+    """origin, node, depth: what the handlers of the entry points reach."""
+    return prepared(spark, d, "handler_reach", ("graph_edges", "inventory"), lambda: Stash(spark).put(graph.reach(spark, links(spark, d), handlers(spark, d))))
+
+
+def handlers(spark: SparkSession, d: str) -> DataFrame:
+    return entries(spark, d).select(F.col("handler").alias("origin")).dropna().distinct()
 
 
 def defs(spark: SparkSession, d: str) -> DataFrame:

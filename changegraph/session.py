@@ -43,7 +43,52 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-STASHES: list[Stash] = []
+STASHES: list["Stash"] = []
+PREPARED: dict[tuple[str, str, str], tuple[tuple, object]] = {}
+
+
+def _as_it_is(spark: SparkSession, folder: str, tables: tuple[str, ...]) -> tuple:
+    """Path, length and time of change of every file of the tables."""
+    out = []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def prepared(spark: SparkSession, folder: str, name: str, tables: tuple[str, ...], make):
+    """What make() gives, made once per session for the tables of a folder as they are; made anew when a file of theirs has changed.
+
+    make gives a written table, or an object that holds some: those that several questions start from. `forget` removes them."""
+    key, now = (spark.sparkContext.applicationId, folder, name), _as_it_is(spark, folder, tables)
+    if PREPARED.get(key, (None,))[0] != now or not _still_there(PREPARED[key][1]):
+        PREPARED[key] = (now, make())
+    return PREPARED[key][1]
+
+
+def _still_there(value: object) -> bool:
+    """Whether the written tables of a prepared value are still in the shared folder."""
+    frames = [value] if isinstance(value, DataFrame) else [x for x in vars(value).values() if isinstance(x, DataFrame)]
+    paths = [f._stash_path for f in frames]
+    if not paths:
+        return False
+    spark = frames[0].sparkSession
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+    return True
+
+
+def forget() -> None:
+    """Removes all tables that this session wrote to the shared folder; results that still read them can't be read any more."""
+    PREPARED.clear()
+    _clear_all()
+    STASHES.clear()
 
 
 @atexit.register

@@ -111,3 +111,28 @@ def test_component_matrix_has_every_flow(spark, monkeypatch):
     want = {(c, f): len({x for x, g, y in rows if (g, y) == (f, c)}) for _, f, c in rows}
     got = queries()["component_matrix"](spark, "")
     assert {(r["component"], r["flow"]): r["steps"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_layers_behind_cycles(spark):
+    edges = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("r", "f"), ("b", "x"), ("x", "f"), ("other", "a")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    got = {r["node"]: r["depth"] for r in graph.layers(spark, e, spark.createDataFrame([("r",)], "node string")).collect()}
+    assert got == {"r": 0, "a": 1, "b": 1, "c": 1, "d": 2, "e": 2, "x": 2, "f": 3}
+    loop = {r["node"]: r["depth"] for r in graph.layers(spark, spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"), spark.createDataFrame([("a",), ("z",)], "node string")).collect()}
+    assert loop == {"a": 0, "b": 0, "z": 0} or loop == {"a": 1, "b": 1, "z": 0}
+
+
+def test_prepared_tables_are_made_anew_when_their_files_change(spark, tmp_path):
+    from changegraph.session import Stash, prepared
+
+    made = []
+
+    def make():
+        made.append(1)
+        return Stash(spark).put(spark.read.parquet(f"{tmp_path}/t.parquet"))
+
+    ask = lambda: prepared(spark, str(tmp_path), "x", ("t",), make).count()
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert (ask(), ask(), len(made)) == (3, 3, 1)
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert (ask(), ask(), len(made)) == (5, 5, 2)
