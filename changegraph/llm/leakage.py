@@ -20,7 +20,7 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from heapq import heapify, heappop, heappush
@@ -46,6 +46,9 @@ _INVISIBLE = re.compile("[­​-‏⁠-⁤︀-️﻿]")
 _ACCENT = re.compile("[̀-ͯ]")
 #: Thai to Khmer, Chinese and Japanese: every character is a word.
 _SINGLE = r"฀-໿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+#: Beyond Latin, Greek and Cyrillic letters: marks that belong to words, and scripts without blanks.
+_OTHER_SCRIPT = re.compile("[\u0483-\u0489\u0590-\u1dff\u2c00-\ufdff\ufe20-\uffff\U00010000-\U0010ffff]")
+_PLAIN_WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _WORD = regex.compile(rf"[[\p{{L}}\p{{N}}\p{{M}}]&&[{_SINGLE}]]|[[\p{{L}}\p{{N}}\p{{M}}]--[{_SINGLE}]]+", regex.V1)
 
@@ -61,7 +64,8 @@ def words(text: str | None) -> list[str]:
     if text.isascii():
         return _ASCII_WORD.findall(text.lower())
     text = _ACCENT.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
-    return _WORD.findall(unicodedata.normalize("NFC", text).casefold().translate(LOOKALIKES))
+    text = unicodedata.normalize("NFC", text).casefold().translate(LOOKALIKES)
+    return (_WORD if _OTHER_SCRIPT.search(text) else _PLAIN_WORD).findall(text)
 
 
 class Automaton:
@@ -84,6 +88,7 @@ class Automaton:
         for s in range(1, len(self.link)):
             self.linked[self.link[s]].append(s)
         self.following: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.stops: dict[tuple[int, int | None], tuple[list[tuple[int, int]], list[int]]] = {}
         self.spelling = Spelling(self.vocabulary)
 
     def _state(self, length: int, after: dict[int, int], link: int) -> int:
@@ -151,27 +156,74 @@ class Automaton:
             out.append((state, n))
         return out
 
-    def pieces(self, ids: list[int | None], least: int) -> Iterator[tuple[int, int, int, int]]:
-        """(item, place in the document less place in the item, first word of the item, words) of each run of at least `least`
-        words that the document and the item have in common and that neither its next nor its previous word continues.
+    def stopping(self, state: int, w: int | None) -> tuple[list[tuple[int, int]], list[int]]:
+        """(places, their items) of a state's runs that the word w doesn't continue; kept once looked up, for each word that follows some."""
+        groups = self.after(state)
+        key = (state, w if w in groups else None)
+        found = self.stops.get(key)
+        if found is None:
+            places = [p for following, ps in groups.items() if following != w for p in ps]
+            found = self.stops[key] = places, [i for i, _ in places]
+        return found
 
-        What an item gets doesn't depend on the other items: a shorter run of it inside a longer one of another item counts too."""
-        link, length, items = self.link, self.length, self.items
-        for last, (state, n) in enumerate(self.longest(ids)):
-            if n < least:
+    def ends_of_runs(self, ids: list[int | None], least: int) -> list[tuple[int, int, int, int | None]]:
+        """(last word, length of the longest run, state of its last `least` words, next word) wherever a run of at least `least` words
+        ends in the document: `longest`, where it is long enough."""
+        nexts, link, length = self.next, self.link, self.length
+        out, state, n, size = [], 0, 0, len(ids)
+        for last, w in enumerate(ids):
+            if w is None:
+                state = n = 0
                 continue
-            while length[link[state]] >= least:  # to the state of the last `least` words: every place where they stand
+            after = nexts[state]
+            while state and w not in after:
                 state = link[state]
-            w = ids[last + 1] if last + 1 < len(ids) else None
-            for following, places in self.after(state).items():
-                if following == w:  # the next word continues them
+                n = length[state]
+                after = nexts[state]
+            if w not in after:
+                n = 0
+                continue
+            state = after[w]
+            n += 1
+            if n >= least:
+                s = state
+                while length[link[s]] >= least:  # to the state of the last `least` words: every place where they stand
+                    s = link[s]
+                out.append((last, n, s, ids[last + 1] if last + 1 < size else None))
+        return out
+
+    def pieces(self, ids: list[int | None], least: int, only: set[int] | None = None, ends: list | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """(item, place in the document less place in the item, first word of the item, words) of each run of at least `least`
+        words that the document and the item have in common and that neither its next nor its previous word continues.
+
+        What an item gets doesn't depend on the other items: a shorter run of it inside a longer one of another item counts too.
+        only: the items that are asked for; ends: ends_of_runs, where known."""
+        items = self.items
+        for last, n, state, w in self.ends_of_runs(ids, least) if ends is None else ends:
+            for i, end in self.stopping(state, w)[0]:
+                if only is not None and i not in only:
                     continue
-                for i, end in places:
-                    item = items[i]
-                    most, k = min(n, end + 1), least  # no run that ends here is longer than n
-                    while k < most and item[end - k] == ids[last - k]:
-                        k += 1
-                    yield i, last - end, end - k + 1, k
+                item = items[i]
+                most, k = min(n, end + 1), least  # no run that ends here is longer than n
+                while k < most and item[end - k] == ids[last - k]:
+                    k += 1
+                yield i, last - end, end - k + 1, k
+
+    def likely(self, ends: list[tuple[int, int, int, int | None]], share: float, long: int) -> set[int]:
+        """The items whose pieces may cover the share of them, or `long` words: by the lengths of the longest runs, which no piece exceeds."""
+        held: dict[int, list[int]] = {}  # items by length
+        for _, n, state, w in ends:
+            held.setdefault(n, []).extend(self.stopping(state, w)[1])
+        total: Counter[int] = Counter()
+        found: set[int] = set()
+        for n, of in held.items():
+            counts = Counter(of)
+            if n >= long:
+                found.update(counts)
+            for i, c in counts.items():
+                total[i] += n * c
+        found.update(i for i, n in total.items() if n >= share * len(self.items[i]))
+        return found
 
 
 _DIGITS = re.compile(r"\d+")
@@ -268,15 +320,18 @@ def aligned(item: list[str], text: list[str], spelling: Spelling, least: float =
 
 def leaks(automaton: Automaton, ws: list[str]) -> list[tuple[int, int, int, int, float]]:
     """(item key, first word, last word, words in common, coverage) for every place where the words hold an item, or LONG words of it letter by letter."""
+    ids = list(map(automaton.vocabulary.get, ws))
+    ends = automaton.ends_of_runs(ids, RUN)
+    likely = automaton.likely(ends, EVIDENCE, LONG)
+    if not likely:
+        return []
     evidence: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    total: dict[int, int] = defaultdict(int)
-    for i, d, first, n in automaton.pieces([automaton.vocabulary.get(w) for w in ws], RUN):
+    for i, d, first, n in automaton.pieces(ids, RUN, likely, ends):
         evidence[i].append((d, first, n))  # diagonal, first word of the item, words
-        total[i] += n
     found = []
-    for i, n in total.items():
-        size, pieces = len(automaton.items[i]), evidence[i]
-        enough = n >= EVIDENCE * size and _words_of((d + first, n) for d, first, n in pieces) >= EVIDENCE * size
+    for i, pieces in evidence.items():
+        size = len(automaton.items[i])
+        enough = sum(n for _, _, n in pieces) >= EVIDENCE * size and _words_of((d + first, n) for d, first, n in pieces) >= EVIDENCE * size
         spans = list(_spans(automaton.words[i], ws, pieces, automaton.spelling)) if enough else []
         for d, first, n in sorted((p for p in pieces if p[2] >= LONG), key=lambda p: -p[2]):
             if all(d + first + n <= a or b < d + first for a, b, _ in spans):
