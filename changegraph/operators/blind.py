@@ -30,17 +30,17 @@ def in_directory(path: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.slice(above, 1, F.greatest(F.size(above) - 1, F.lit(0))), F.array(*map(F.lit, names)))
 
 
-def blind_spots(by: list[str], files: DataFrame, unparsed: DataFrame, failed: DataFrame, symbols: DataFrame, reached: DataFrame, base: DataFrame, head: DataFrame, defs: DataFrame, migrations: tuple[str, ...] = MIGRATION_DIRS) -> DataFrame:
+def blind_spots(by: list[str], files: DataFrame, unparsed: DataFrame, failed: DataFrame, symbols: DataFrame, reached: DataFrame, base: DataFrame, head: DataFrame, defs: DataFrame, migrates: Column | None = None) -> DataFrame:
     """by, rule, subject. `by` are the columns that tell changes apart, none for a single one; all tables have them.
 
     files: path, kind (code, test, generated, doc, outside), graphed, the files that changed; unparsed: path, on either side; failed: subject,
     revisions whose entry points couldn't be listed; symbols: path, name, status, those that changed and not only in looks; reached: path,
     name, the symbols that some entry point reaches; base, head: endpoint, handler; defs: node, of head.
 
-    Tests and documents don't blind. New symbols inherit their callers' reach, so a new class is none whose fields nobody follows."""
+    migrates: of a file's path, whether it changes the schema of stored data; by default by its directory. Tests and documents don't blind. New symbols inherit their callers' reach, so a new class is none whose fields nobody follows."""
     key = [*by, "path"]
     code = files.filter("kind = 'code'")
-    moved = code.filter(in_directory(F.col("path"), migrations))
+    moved = code.filter(in_directory(F.col("path"), MIGRATION_DIRS) if migrates is None else migrates)
     bad = unparsed.select(*key).distinct()
     module = symbols.filter("name = '<module>'").join(moved.select(*key), key, "left_anti")
     whole = symbols.filter((F.col("status") != "new") & F.col("name").rlike(r"^\p{Lu}[^.]*$")).join(reached.select(*key, "name"), [*key, "name"], "left_anti")

@@ -93,3 +93,8 @@ def overlapping(left: DataFrame, right: DataFrame, by: list[str], start: str, en
 def numbered(df: DataFrame, by: list[str], order: list, name: str = "rn") -> DataFrame:
     """Rows numbered from 1 within `by`, in a total order."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def first_in(df: DataFrame, by: list[str], order: list, most: int, name: str = "pos") -> DataFrame:
+    """The first `most` rows of each group, numbered from 1. Spark keeps only so many of a group before and behind the shuffle."""
+    return numbered(df, by, order, name).filter(F.col(name) <= most)
