@@ -43,6 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks a shuffle of so many rows needs: one for `each` rows, and no fewer than the session's shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 STASHES: list["Stash"] = []
 PREPARED: dict[tuple[str, str, str], tuple[tuple, object]] = {}
 
