@@ -11,16 +11,20 @@ the votes are joined with it by shuffle and sorted again.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changegraph.session import Stash
+from changegraph.session import Stash, tasks_for
 
 BROADCAST_ANNOTATORS = 100_000
+VOTES_A_TASK = 1_000_000
+#: The learning ends when no ability moves by SETTLED any more, and says so if it hasn't after PASSES.
 PASSES, SETTLED = 25, 0.01
 #: Priors: abilities are normal around 3, logarithms of ease around 0.
 ABILITY_MEAN, ABILITY_VAR, EASE_VAR = 3.0, 4.0, 0.1
@@ -42,7 +46,7 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 class Items:
     """The votes of whole items, sorted by item and label, and what follows from them given the abilities."""
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, label: np.ndarray, ability: np.ndarray, choices: np.ndarray, share: np.ndarray):
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, label: np.ndarray, ability: np.ndarray, choices: np.ndarray, share: np.ndarray, weight: np.ndarray):
         n = len(h1)
         self.item_at = _starts(h1, h2)
         self.label_at = _starts(h1, h2, label)
@@ -50,9 +54,10 @@ class Items:
         self.label = np.repeat(np.arange(len(self.label_at)), np.diff(np.append(self.label_at, n)))
         self.label_item = self.item[self.label_at]
         self.ability = ability
-        self.support = np.diff(np.append(self.label_at, n))
+        self.weight = weight
+        self.support = np.add.reduceat(weight, self.label_at)
         self.share = share[self.label_at]
-        self.sums = np.add.reduceat(ability, self.label_at)
+        self.sums = np.add.reduceat(weight * ability, self.label_at)
         voted = np.bincount(self.label_item)
         self.k = np.maximum(np.maximum(choices[self.item_at], voted), 2)
         self.first_label = _starts(self.label_item)
@@ -62,8 +67,8 @@ class Items:
         for _ in range(8):
             p, s = self.posterior(), self.right()
             ab = self.ability * np.exp(self.log_ease)[self.item]
-            up = np.add.reduceat((p[self.label] - s) * ab, self.item_at) - self.log_ease / EASE_VAR
-            bend = np.add.reduceat(s * (1 - s) * ab * ab, self.item_at) + 1 / EASE_VAR
+            up = np.add.reduceat(weight * (p[self.label] - s) * ab, self.item_at) - self.log_ease / EASE_VAR
+            bend = np.add.reduceat(weight * s * (1 - s) * ab * ab, self.item_at) + 1 / EASE_VAR
             self.log_ease = np.clip(self.log_ease + np.clip(up / bend, -0.5, 0.5), -3, 3)
 
     def right(self) -> np.ndarray:
@@ -79,7 +84,7 @@ class Items:
 
 
 def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The batches regrouped so that no item is cut; a new item begins where h1 or h2 changes. An item has at most one vote per annotator."""
+    """The batches regrouped so that no item is cut; a new item begins where h1 or h2 changes. An annotator's votes on an item weigh one together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -99,7 +104,7 @@ def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _items(t: pa.Table) -> Items:
-    return Items(*(t.column(c).to_numpy() for c in ("h1", "h2", "label_hash", "ability", "choices", "share")))
+    return Items(*(t.column(c).to_numpy() for c in ("h1", "h2", "label_hash", "ability", "choices", "share", "weight")))
 
 
 def _gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +112,8 @@ def _gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _items(t)
         ease, s = np.exp(x.log_ease)[x.item], x.right()
         who, of = np.unique(t.column("code").to_numpy(), return_inverse=True)
-        up = np.bincount(of, (x.posterior()[x.label] - s) * ease)
-        bend = np.bincount(of, s * (1 - s) * ease * ease)
+        up = np.bincount(of, x.weight * (x.posterior()[x.label] - s) * ease)
+        bend = np.bincount(of, x.weight * s * (1 - s) * ease * ease)
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(up), pa.array(bend)], names=["code", "up", "bend"])
 
 
@@ -118,8 +123,8 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = x.posterior()
         order = np.lexsort((np.arange(len(p)), -p, x.label_item))  # of equal posteriors the label of smaller hash
         best = order[_starts(x.label_item[order])]
-        votes = np.bincount(x.item)
-        same = np.add.reduceat(x.support * (x.support - 1), x.first_label)
+        votes = np.rint(np.bincount(x.item, x.weight)).astype(np.int64)  # annotators
+        same = np.add.reduceat(x.support**2 - np.add.reduceat(x.weight**2, x.label_at), x.first_label)
         observed = np.where(votes > 1, same / np.maximum(votes * (votes - 1), 1), np.nan)
         at = pa.array(x.label_at[best])
         columns = [t.column(c).take(at).combine_chunks() for c in ("item", "label")]
@@ -127,29 +132,37 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, from_pandas=True) for c in rest)], names=["item", "label", "confidence", "votes", "labels", "difficulty", "observed"])
 
 
-def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator: str, label: str, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(items, annotators) from votes, one row per item, annotator and label.
+class Consensus(NamedTuple):
+    items: DataFrame
+    annotators: DataFrame
+    passes: int  # made over the votes
+    step: float  # the largest of the last pass, in ability
 
-    items: the item's columns, label (of the highest posterior), confidence (that posterior), votes, labels (distinct
-    ones voted), difficulty, agreement: of the pairs of votes the share that agree, corrected for chance by the shares of labels over all votes,
-    null for a single vote. annotators: annotator, votes, ability, reliability (probability of a right label on an item
+
+def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator: str, label: str, context: list[str], passes: int = PASSES, settled: float = SETTLED) -> Consensus:
+    """items and annotators from votes, one row per item, annotator and label.
+
+    items: the item's columns, label (of the highest posterior), confidence (that posterior), votes (annotators), labels (distinct
+    ones voted), difficulty, agreement: of the pairs of annotators the share that agree, corrected for chance by the shares of labels over all
+    votes, null for a single one. annotators: annotator, votes (items), ability, reliability (probability of a right label on an item
     of average ease among as many labels as contexts have on average). The labels to choose from are those voted in the item's context.
-    Rows with a null in any of these columns are no votes; of an annotator's several labels of one item the
-    smallest counts; repeats count once. No votes give empty tables."""
+    Rows with a null in any of these columns are no votes; an annotator's several labels of one item are votes of equal shares, one
+    together; repeats count once. No votes give empty tables. It warns if abilities still move by `settled` or more after `passes`."""
     stash = Stash(spark)
     v = votes.select(F.struct(*item).alias("item"), F.struct(*context).alias("context"), F.col(annotator).alias("annotator"), F.col(label).alias("label")).dropna()
     for c in item:
         v = v.filter(F.col(f"item.{c}").isNotNull())
-    single = stash.put(v.groupBy("item", "annotator").agg(F.min("label").alias("label"), F.min("context").alias("context")))
-    in_context = single.groupBy("context", "label").agg(F.count(F.lit(1)).alias("n"))
+    given = v.groupBy("item", "annotator").agg(F.collect_set("label").alias("labels"), F.min("context").alias("context"))
+    single = stash.put(given.select("item", "annotator", "context", (1 / F.size("labels")).alias("weight"), F.explode("labels").alias("label")))
+    in_context = single.groupBy("context", "label").agg(F.sum("weight").alias("n"))
     contexts = in_context.groupBy("context").agg(F.count(F.lit(1)).alias("choices"), F.sum("n").alias("all"))
     shares = in_context.join(contexts, "context").select("context", "label", "choices", (F.col("n") / F.col("all")).alias("share"))
-    codes = stash.put(single.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes")).withColumn("code", F.monotonically_increasing_id()))
+    codes = stash.put(single.groupBy("annotator").agg(F.round(F.sum("weight")).cast("bigint").alias("votes")).withColumn("code", F.monotonically_increasing_id()))
     coded = single.join(shares, ["context", "label"]).join(codes.select("annotator", "code"), "annotator")
-    coded = coded.select(F.xxhash64("item").alias("h1"), F.xxhash64(F.lit(1), "item").alias("h2"), F.xxhash64("label").alias("label_hash"), "code", "choices", "share", "item", "label")
+    coded = coded.select(F.xxhash64("item").alias("h1"), F.xxhash64(F.lit(1), "item").alias("h2"), F.xxhash64("label").alias("label_hash"), "code", "choices", "share", "weight", "item", "label")
     order = ("h1", "h2", "label_hash")
-    few = codes.count() <= BROADCAST_ANNOTATORS
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = stash.rows(codes) <= BROADCAST_ANNOTATORS
+    width = tasks_for(spark, stash.rows(single), VOTES_A_TASK)
     # kept as it is partitioned, so that no item is cut; what an executor loses is computed again
     table = coded.repartition(width, "h1", "h2").sortWithinPartitions(*order).persist()
 
@@ -160,25 +173,28 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
         return df.join(of, "code").repartition(width, "h1", "h2").sortWithinPartitions(*order).select(*columns, "ability")
 
     ability = stash.put(codes.select("code", F.lit(ABILITY_MEAN).alias("ability")))
-    for _ in range(PASSES):
-        sums = with_ability(ability, ["h1", "h2", "label_hash", "code", "choices", "share"]).mapInArrow(_gradients, "code bigint, up double, bend double").groupBy("code").agg(F.sum("up").alias("up"), F.sum("bend").alias("bend"))
+    made, far = 0, None
+    while made < passes:
+        made += 1
+        sums = with_ability(ability, ["h1", "h2", "label_hash", "code", "choices", "share", "weight"]).mapInArrow(_gradients, "code bigint, up double, bend double").groupBy("code").agg(F.sum("up").alias("up"), F.sum("bend").alias("bend"))
         up = F.col("up") - (F.col("ability") - ABILITY_MEAN) / ABILITY_VAR
         step = F.greatest(F.least(up / (F.col("bend") + 1 / ABILITY_VAR), F.lit(1.0)), F.lit(-1.0))
-        moved = stash.put(ability.join(sums, "code").select("code", (F.col("ability") + step).alias("ability"), F.abs(step).alias("by")))
-        far = moved.agg(F.max("by")).first()[0]
+        moved, far = stash.put_with(ability.join(sums, "code").select("code", (F.col("ability") + step).alias("ability"), F.abs(step).alias("by")), F.max("by").alias("far"))
         stash.drop(ability)
         ability = moved
-        if far is None or far < SETTLED:
+        if far is None or far < settled:
             break
+    else:
+        warnings.warn(f"abilities still move by {far:.3g} after {passes} passes over the votes", stacklevel=2)
     ability = ability.select("code", "ability")
     kinds = {c: single.schema[c].dataType.simpleString() for c in ("item", "label")}
     decided = with_ability(ability, table.columns).mapInArrow(_decide, f"item {kinds['item']}, label {kinds['label']}, confidence double, votes bigint, labels bigint, difficulty double, observed double")
-    total = single.count()
-    chance = single.groupBy("label").agg((F.count(F.lit(1)) / F.lit(max(total, 1))).alias("p")).agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0
+    total = single.agg(F.sum("weight")).first()[0] or 1.0
+    chance = single.groupBy("label").agg((F.sum("weight") / F.lit(total)).alias("p")).agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0
     agreement = (F.col("observed") - chance) / (1 - chance) if chance < 1 else F.lit(1.0)
     decided = stash.put(decided)
     table.unpersist()
     items = decided.select("item.*", "label", "confidence", "votes", "labels", "difficulty", agreement.alias("agreement"))
     guess = contexts.agg(F.sum(F.log(F.greatest(F.col("choices"), F.lit(2)) - 1) * F.col("all")) / F.sum("all")).first()[0] or 0.0
     annotators = codes.join(ability, "code").select("annotator", "votes", "ability", (1 / (1 + F.exp(guess - F.col("ability")))).alias("reliability"))
-    return items, annotators
+    return Consensus(items, annotators, made, far or 0.0)

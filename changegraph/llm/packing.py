@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changegraph.session import Stash
+from changegraph.session import Stash, tasks_for
 
 
+PIECES_A_BUCKET = 1_000_000
 #: Bits for the number of an item within its length; the rest is for the length.
 WIDTH = 40
 
@@ -107,7 +108,7 @@ def pack(spark: SparkSession, sizes: DataFrame, key: str, size: str, capacity: i
     lengths = some.groupBy("length").agg(F.count(F.lit(1)).alias("n"))  # at most `capacity` rows
     chosen = plan({r["length"]: r["n"] for r in lengths.collect()}, capacity)
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = tasks_for(spark, stash.rows(pieces), PIECES_A_BUCKET)
     placed = some.withColumn("bucket", F.pmod(F.xxhash64("k", "piece_no"), F.lit(buckets)))
     ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "length").orderBy("k", "piece_no")) - 1)
     ahead = placed.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("m"))

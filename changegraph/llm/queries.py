@@ -33,23 +33,20 @@ def placements(spark: SparkSession, d: str) -> DataFrame:
     return cited.join(alias, ["repo", "cited"], "left").select("repo", "area", F.coalesce("named", "cited").alias("endpoint"), "run_id", "flow_id").distinct()
 
 
-def annotated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def annotated(spark: SparkSession, d: str) -> consensus.Consensus:
     return consensus.consensus(spark, placements(spark, d), ["repo", "endpoint"], "run_id", "flow_id", ["repo", "area"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    items, _ = annotated(spark, d)
-    return items.filter("votes >= 3 and labels >= 2").select("repo", "endpoint", F.col("label").alias("flow_id"))
+    return annotated(spark, d).items.filter("votes >= 3 and labels >= 2").select("repo", "endpoint", F.col("label").alias("flow_id"))
 
 
 def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
-    items, _ = annotated(spark, d)
-    return items.withColumnRenamed("label", "flow_id")
+    return annotated(spark, d).items.withColumnRenamed("label", "flow_id")
 
 
 def p4_annotators(spark: SparkSession, d: str) -> DataFrame:
-    _, annotators = annotated(spark, d)
-    return annotators.withColumnRenamed("annotator", "run_id")
+    return annotated(spark, d).annotators.withColumnRenamed("annotator", "run_id")
 
 
 def step_classes(spark: SparkSession, stash: Stash, d: str) -> tuple[DataFrame, DataFrame]:

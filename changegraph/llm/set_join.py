@@ -1,6 +1,8 @@
 """All pairs of records whose sets overlap above a Jaccard threshold, by T-occurrence merging of inverted lists.
 
-1. Records with equal sets form one class; the join runs on classes and its result is expanded at the end.
+1. Values become 64-bit hashes; whether two values share one is checked against a second hash, and then all are hashed anew with
+   another seed. Records with equal sets, by hashes of 96 bits of the sorted values, form one class; the join runs on classes
+   and its result is expanded at the end, or kept as links of classes (class_links) where copies are many.
 2. The values of a class are put in order of rarity: the number of classes that hold them, counted over all classes.
 3. Two sets that reach the threshold share one of their `n - ceil(t n) + 1` rarest values, so each class goes to the
    partitions of these values. A partition of more than BLOCK classes is cut into blocks, and every pair of
@@ -22,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changegraph.session import Stash
+from changegraph.session import Stash, tasks_for
 
 BLOCK = 4000
+CLASSES_A_TASK = 200_000
 #: Cost of a search relative to a merge step, for the number of lists put aside.
 MU = 0.0085
 
@@ -92,19 +95,39 @@ def _pairs_of(value: int, crossing: bool, members: list[tuple[int, bool, list[in
             index(i, ids)
 
 
+def _hash(value: Column, seed: int) -> Column:
+    return F.xxhash64(value, F.lit(seed))
+
+
+#: So many seeds are tried; that each has a collision among 10^12 values has a chance of less than one in 10^10.
+SEEDS = 16
+
+
 def set_classes(spark: SparkSession, stash: Stash, records: DataFrame, record: str, values: Column | str) -> tuple[DataFrame, DataFrame]:
     """members(record, class_no), classes(class_no, values): class_no is the smallest record with exactly these values.
 
-    Null values, null and empty sets belong to no class. Values become 64-bit hashes, and sets are told apart by a 64-bit hash of
-    those, sorted, and their number: what is shuffled from here on are numbers."""
-    hashed = F.transform(F.array_distinct(F.array_compact(values)), lambda x: F.xxhash64(x))
-    sets = stash.put(records.select(F.col(record).alias("record"), F.sort_array(hashed).alias("v")))
-    keyed = sets.filter("record is not null and size(v) > 0").select("record", "v", F.xxhash64("v").alias("h"), F.size("v").alias("n"))
-    classes = stash.put(keyed.groupBy("h", "n").agg(F.min("record").alias("class_no"), F.first("v").alias("v")).select("class_no", "v"))
-    named = classes.select("class_no", F.xxhash64("v").alias("h"), F.size("v").alias("n"))
-    members = stash.put(keyed.select("record", "h", "n").join(named, ["h", "n"]).select("record", "class_no").distinct())
+    Null values, null and empty sets belong to no class. What is shuffled from here on are numbers; values are told apart by
+    their hashes, which are checked, and sets by the hashes and the number of their values."""
+    kept = F.array_distinct(F.array_compact(values))
+    for seed in range(SEEDS):
+        each = F.transform(kept, lambda x: F.struct(_hash(x, seed).alias("v"), F.hash(x).alias("g")))
+        sets = stash.put(records.select(F.col(record).alias("record"), F.sort_array(each).alias("each")))
+        values_of = sets.select(F.explode("each").alias("e")).groupBy("e.v").agg(F.min("e.g").alias("a"), F.max("e.g").alias("b"))
+        if values_of.filter("a <> b").isEmpty():
+            break
+        stash.drop(sets)
+    else:
+        raise RuntimeError("values collide under every seed")
+    of = F.col("each.v")
+    keyed = sets.filter("record is not null and size(each) > 0").select("record", of.alias("v"), F.xxhash64(of).alias("h"), F.hash(of).alias("g"), F.size("each").alias("n"))
+    key = ["h", "g", "n"]
+    classes = stash.put(keyed.groupBy(*key).agg(F.min("record").alias("class_no"), F.first("v").alias("v")).select("class_no", "v"))
+    named = classes.select("class_no", F.xxhash64("v").alias("h"), F.hash("v").alias("g"), F.size("v").alias("n"))
+    members = stash.put(keyed.select("record", *key).join(named, key).select("record", "class_no").distinct())
     stash.drop(sets)
-    return members, classes.select("class_no", F.col("v").alias("values"))
+    out = classes.select("class_no", F.col("v").alias("values"))
+    out._stash_rows = stash.rows(classes)
+    return members, out
 
 
 def similar_classes(spark: SparkSession, stash: Stash, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -129,8 +152,7 @@ def similar_classes(spark: SparkSession, stash: Stash, classes: DataFrame, num:
         placed = hot.join(counts, "value").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cut = placed.select("value", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "class_no", (F.col("mine") > F.col("other")).alias("second"), "ids", "n")
         parts = spread.filter(F.col("value") < hot_from).select("value", *whole).unionByName(cut)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = parts.repartition(width, "value", "b1", "b2").sortWithinPartitions("value", "b1", "b2")
+    ordered = parts.repartition(tasks_for(spark, getattr(classes, "_stash_rows", 0), CLASSES_A_TASK), "value", "b1", "b2").sortWithinPartitions("value", "b1", "b2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from changegraph.llm import consensus
 
 SCHEMA = "item string, who string, label string, ctx string, votes string, code int"
@@ -20,7 +22,8 @@ def simulated(seed, items=300):
 
 def test_better_than_plurality(spark):
     truth, skill, rows = simulated(11)
-    items, who = consensus.consensus(spark, spark.createDataFrame(rows + rows[:50], SCHEMA), ["item"], "who", "label", ["ctx"])
+    items, who, passes, step = consensus.consensus(spark, spark.createDataFrame(rows + rows[:50], SCHEMA), ["item"], "who", "label", ["ctx"])
+    assert 1 < passes < consensus.PASSES and step < consensus.SETTLED
     got = {r["item"]: r for r in items.collect()}
     assert set(got) == set(truth)
     right = sum(got[i]["label"] == t for i, t in truth.items()) / len(truth)
@@ -45,8 +48,26 @@ def test_many_annotators_take_the_other_way(spark, monkeypatch):
 
 def test_odd_votes(spark):
     rows = [("a", "w", "x", "c", "", 0), ("a", "w", "y", "c", "", 0), (None, "w", "x", "c", "", 0), ("b", None, "x", "c", "", 0), ("c", "w", None, "c", "", 0), ("d", "v", "z", "c", "", 0), ("d", "w", "z", "c", "", 0)]
-    items, who = consensus.consensus(spark, spark.createDataFrame(rows, SCHEMA), ["item"], "who", "label", ["ctx"])
+    items, who, *_ = consensus.consensus(spark, spark.createDataFrame(rows, SCHEMA), ["item"], "who", "label", ["ctx"])
     got = {r["item"]: (r["label"], r["votes"], r["labels"], r["agreement"]) for r in items.collect()}
-    assert got["a"] == ("x", 1, 1, None) and got["d"][:3] == ("z", 2, 1) and got["d"][3] == 1.0 and len(got) == 2
-    items, who = consensus.consensus(spark, spark.createDataFrame([], SCHEMA), ["item"], "who", "label", ["ctx"])
+    assert got["a"][0] in ("x", "y") and got["a"][1:] == (1, 2, None) and got["d"][:3] == ("z", 2, 1) and got["d"][3] == 1.0 and len(got) == 2
+    assert {r["annotator"]: r["votes"] for r in who.collect()} == {"w": 2, "v": 1}
+    items, who, *_ = consensus.consensus(spark, spark.createDataFrame([], SCHEMA), ["item"], "who", "label", ["ctx"])
     assert items.count() == 0 and who.count() == 0
+
+
+def test_several_labels_of_an_annotator_share_a_vote(spark):
+    rows = [("a", w, x, "c", "", 0) for w in ("u", "v", "w") for x in (("x", "y") if w == "u" else ("x",))] + [("b", w, x, "c", "", 0) for w in ("u", "v") for x in ("x", "y")]
+    got = {r["item"]: r for r in consensus.consensus(spark, spark.createDataFrame(rows, SCHEMA), ["item"], "who", "label", ["ctx"]).items.collect()}
+    assert got["a"]["label"] == "x" and got["a"]["votes"] == 3 and got["a"]["labels"] == 2
+    shares = {"x": (2.5 + 1) / 5, "y": (0.5 + 1) / 5}
+    chance = sum(p * p for p in shares.values())
+    observed = {"a": (2.5**2 - 2.25 + 0.25 - 0.25) / 6, "b": 2 * (1 - 0.5) / 2}
+    for i, o in observed.items():
+        assert abs(got[i]["agreement"] - (o - chance) / (1 - chance)) < 1e-9
+
+
+def test_learning_that_has_not_settled_is_told(spark):
+    _, _, rows = simulated(13, 60)
+    with pytest.warns(UserWarning, match="after 2 passes"):
+        assert consensus.consensus(spark, spark.createDataFrame(rows, SCHEMA), ["item"], "who", "label", ["ctx"], passes=2, settled=1e-9).passes == 2

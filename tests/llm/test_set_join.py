@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from changegraph.llm import set_join
 from changegraph.session import Stash
@@ -52,6 +53,20 @@ def test_like_brute_force(spark, monkeypatch, seed, block, t):
     assert joined(spark, [*rows, *rows[:20]], *t) == brute(sets, *t)
 
 
+def test_values_that_share_a_hash(spark, monkeypatch):
+    right = set_join._hash
+    seeds = []
+
+    def weak(value, seed):
+        seeds.append(seed)
+        return right(value, seed) if seed > 1 else F.pmod(right(value, seed), F.lit(5))
+
+    monkeypatch.setattr(set_join, "_hash", weak)
+    sets = some_sets(6)
+    assert joined(spark, [(i, list(s), "x", 1) for i, s in sets.items()]) == brute(sets, 3, 5)
+    assert set(seeds) == {0, 1, 2}
+
+
 def test_odd_records(spark):
     long = [f"t{i}" for i in range(5000)]
     rows = [(1, None, "", 0), (2, [], "", 0), (3, [None], "", 0), (4, [""], "", 0), (5, [""], "", 0), (6, long, "", 0), (7, long[:-1], "", 0), (None, ["a"], "", 0)]
