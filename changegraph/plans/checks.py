@@ -198,17 +198,18 @@ def pass_problems(spark, d):
 
 
 @query(
-    "SELECT repo, endpoint FROM (SELECT repo, substr(endpoint, length(repo) + 2) AS endpoint FROM entries JOIN (SELECT DISTINCT entry_no AS e2, repo FROM listings) ON e2 = entry_no) WHERE (repo, endpoint) NOT IN (SELECT (repo, endpoint) FROM ce) AND (repo, endpoint) NOT IN (SELECT (repo, e) FROM un WHERE e IS NOT NULL)",
-    **CITES,
-    un=f"SELECT repo, {V.e_('u.endpoint')} AS e FROM (SELECT repo, unnest(unplaced_endpoints) AS u FROM map_runs)",
+    "SELECT repo, area, run_id, endpoint FROM (SELECT DISTINCT repo, area, run_id FROM runs0) JOIN (SELECT DISTINCT repo, area, endpoint FROM pc) USING (repo, area) EXCEPT (SELECT repo, area, run_id, endpoint FROM pc UNION SELECT repo, area, run_id, e FROM un WHERE e IS NOT NULL)",
+    pc=f"SELECT repo, area, run_id, {V.e_('v')} AS endpoint FROM (SELECT repo, area, run_id, unnest(s.endpoints) AS v FROM rsteps) WHERE {V.e_('v')} IS NOT NULL",
+    un=f"SELECT repo, area, run_id, {V.e_('u.endpoint')} AS e FROM (SELECT repo, area, run_id, unnest(unplaced_endpoints) AS u FROM map_runs)",
 )
 def not_accounted(spark, d):
-    """Live entry points that no pass places or declares unplaced."""
-    cites, _, _ = _cites(spark, d)
-    told = load(spark, d, "map_runs", "repo string, unplaced_endpoints array<struct<endpoint: string>>")
-    declared = told.select("repo", F.explode(tidy.entries(F.transform("unplaced_endpoints", lambda u: u["endpoint"]))).alias("endpoint"))
-    live = V.entries(spark, d).select(F.substring_index("endpoint", " ", 1).alias("repo"), F.expr("substring(endpoint, instr(endpoint, ' ') + 1)").alias("endpoint"))
-    return tests.missing(live, cites, declared, ["repo"])
+    """Of the entry points that the passes of an area place, those that a mapper neither places nor declares unplaced."""
+    key = ["repo", "area", "run_id"]
+    r = V.runs(spark, d).select(*key, F.explode(tidy.entries("endpoints")).alias("endpoint")).distinct()
+    told = load(spark, d, "map_runs", "repo string, area string, run_id string, unplaced_endpoints array<struct<endpoint: string>>")
+    declared = told.select(*key, F.explode(tidy.entries(F.transform("unplaced_endpoints", lambda u: u["endpoint"]))).alias("endpoint"))
+    known = told.select(*key).distinct().join(r.select("repo", "area", "endpoint").distinct(), ["repo", "area"])  # a pass is over all of its area
+    return tests.missing(known, r, declared, key)
 
 
 # -- orders and layouts of reports
@@ -417,9 +418,9 @@ def function_info(spark, d):
     return g.select("node", place.alias("place"), (F.col("end") - F.col("start") + 1).alias("lines"), (F.col("sym").rlike(r"^\p{Lu}") & F.contains("sym", F.lit("."))).alias("is_method")).distinct()
 
 
-@query("SELECT DISTINCT x.src AS node, x.dst AS calls FROM edges x WHERE x.src IN (SELECT handler FROM entries) AND x.dst IN (SELECT node FROM noise) AND NOT regexp_matches(" + V.l_("x.dst") + ", '^\\p{Lu}')", recursive=HANDLED.format(e="edges") + ", noise AS (SELECT node FROM h GROUP BY node HAVING count(DISTINCT origin) >= 20)")
+@query("SELECT DISTINCT x.src AS node, x.dst AS calls FROM edges x WHERE x.src IN (SELECT handler FROM entries) AND x.dst IN (SELECT node FROM noise) AND NOT regexp_matches(" + V.l_("x.dst") + ", '^\\p{Lu}')", recursive=HANDLED.format(e="edges") + ", noise AS (SELECT node FROM h GROUP BY node HAVING count(DISTINCT origin) >= 3)")
 def also_calls(spark, d):
     """Nodes that very many handlers reach and so are not drawn, but are called directly by one that is; classes left out."""
-    noise = reach_incl(spark, d).groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20").select(F.col("node").alias("dst"))
+    noise = reach_incl(spark, d).groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select(F.col("node").alias("dst"))
     e = V.edges(spark, d).join(V.handlers(spark, d).select(F.col("origin").alias("src")), "src", "left_semi").join(noise, "dst", "left_semi")
     return e.filter(~paths.leaf_of("dst").rlike(r"^\p{Lu}")).select(F.col("src").alias("node"), F.col("dst").alias("calls"))

@@ -44,6 +44,14 @@ def hubs(e: DataFrame) -> DataFrame:
     return n.groupBy("repo").agg(F.max_by("node", F.struct("n", "node")).alias("node")).select("node")
 
 
+def passages(e: DataFrame) -> DataFrame:
+    """node: of each repository the node that is called and calls most: the most pairs of a caller and a callee."""
+    into = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"))
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o"))
+    n = into.join(out, "node").select("node", (F.col("i") * F.col("o")).alias("n"), F.substring_index("node", " ", 1).alias("repo"))
+    return n.groupBy("repo").agg(F.max_by("node", F.struct("n", "node")).alias("node")).select("node")
+
+
 def reach_avoiding(spark: SparkSession, d: str) -> DataFrame:
     e = Stash(spark).put(V.edges(spark, d))
     return graph.reach(spark, graph.avoiding(e, hubs(e)), V.handlers(spark, d)).select(F.col("origin").alias("handler"), "node")
@@ -224,11 +232,11 @@ def kept_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hub_folding(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes that a handler reaches only through its repository's hub."""
+    """Nodes that a handler reaches only through its repository's busiest passage."""
     e = Stash(spark).put(V.edges(spark, d))
     h = Stash(spark).put(V.handlers(spark, d))
     every = V.handler_reach(spark, d).select("origin", "node")
-    hub = Stash(spark).put(hubs(e))
+    hub = Stash(spark).put(passages(e))
     free = graph.reach(spark, graph.avoiding(e, hub), h).select("origin", "node")
     return every.join(free, ["origin", "node"], "left_anti").join(hub, "node", "left_anti").select(F.col("origin").alias("handler"), "node")
 
@@ -239,6 +247,7 @@ def graph_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 HUB_SQL = "(SELECT arg_max(dst, (n, dst)) AS node FROM (SELECT dst, count(*) AS n, split_part(dst, ' ', 1) AS repo FROM edges GROUP BY dst) GROUP BY repo)"
+PASSAGE_SQL = "(SELECT arg_max(node, (n, node)) AS node FROM (SELECT dst AS node, count(DISTINCT src) * (SELECT count(*) FROM edges y WHERE y.src = x.dst) AS n, split_part(dst, ' ', 1) AS repo FROM edges x GROUP BY dst) WHERE n > 0 GROUP BY repo)"
 CHANGED_SQL = "(SELECT src, dst, 'added' AS change FROM head WHERE (src, dst) NOT IN (SELECT (src, dst) FROM base) UNION ALL SELECT src, dst, 'removed' FROM base WHERE (src, dst) NOT IN (SELECT (src, dst) FROM head))"
 IMPACT_SQL = f"SELECT DISTINCT u.node AS node, endpoint, coalesce(flow, 'unplaced') AS flow FROM (SELECT origin AS up, node FROM c UNION SELECT src, src FROM edges) u JOIN (SELECT DISTINCT src AS node FROM {CHANGED_SQL}) s ON s.node = u.node JOIN entries ON handler = up LEFT JOIN flow_of USING (endpoint)"
 
@@ -276,7 +285,7 @@ ORACLES = {
     "spread_union": diff_sql(f"SELECT DISTINCT endpoint, flow FROM ({IMPACT_SQL}) UNION SELECT endpoint, coalesce(flow, 'unplaced') FROM ((SELECT * FROM AFTER EXCEPT SELECT * FROM BEFORE) UNION (SELECT * FROM BEFORE EXCEPT SELECT * FROM AFTER)) LEFT JOIN flow_of USING (endpoint)"),
     "connected_components": sql("SELECT v AS node, min(w) AS component FROM cc GROUP BY v", recursive="both_ AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), cc(v, w) AS (SELECT a, a FROM both_ UNION SELECT cc.v, both_.b FROM cc JOIN both_ ON cc.w = both_.a)"),
     "kept_calls": sql("SELECT src AS node, count(*) AS kept_calls FROM (SELECT * FROM base INTERSECT SELECT * FROM head) GROUP BY src"),
-    "hub_folding": sql(f"SELECT h.origin AS handler, h.node FROM h ANTI JOIN g ON g.origin = h.origin AND g.node = h.node WHERE h.node NOT IN {HUB_SQL}", recursive=f"free AS (SELECT * FROM edges WHERE dst NOT IN {HUB_SQL}), " + HANDLED.format(e="edges") + ", " + HANDLED.format(e="free").replace("h(", "g(").replace("h.", "g.").replace("FROM h ", "FROM g ")),
+    "hub_folding": sql(f"SELECT h.origin AS handler, h.node FROM h ANTI JOIN g ON g.origin = h.origin AND g.node = h.node WHERE h.node NOT IN {PASSAGE_SQL}", recursive=f"free AS (SELECT * FROM edges WHERE dst NOT IN {PASSAGE_SQL}), " + HANDLED.format(e="edges") + ", " + HANDLED.format(e="free").replace("h(", "g(").replace("h.", "g.").replace("FROM h ", "FROM g ")),
     "graph_size": sql("SELECT side, count(DISTINCT (src, dst)) AS edges, count(DISTINCT src) AS callers, count(DISTINCT dst) AS callees FROM revised WHERE dst IS NOT NULL AND src <> dst GROUP BY side"),
 }
 for _k, _walk in (("nearest_cause", "added AS (SELECT src, dst FROM head EXCEPT SELECT src, dst FROM base), " + CLOSURE.format(e="head")), ("spread_union", CLOSURE.format(e="edges"))):

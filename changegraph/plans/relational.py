@@ -96,12 +96,12 @@ def flag_join(spark, d):
     return e.join(c.select(F.col("node").alias("src"), F.lit(True).alias("hit")), "src", "left").select(F.col("dst").alias("node"), F.col("src").alias("caller"), F.col("hit").isNotNull().alias("edited"))
 
 
-@query("SELECT a.node AS class_node, b.node AS member FROM (SELECT DISTINCT node, file, sym FROM defs WHERE alive) a JOIN (SELECT DISTINCT node, file, sym FROM defs WHERE alive) b ON a.file = b.file AND starts_with(b.sym, split_part(a.sym, '.', 1) || '.') AND a.sym <> b.sym AND a.sym = split_part(a.sym, '.', 1)")
+@query("SELECT a.class_node, b.node AS member FROM (SELECT DISTINCT file || ':' || split_part(sym, '.', 1) AS class_node, file, split_part(sym, '.', 1) AS top FROM defs WHERE alive AND contains(sym, '.')) a JOIN (SELECT DISTINCT node, file, sym FROM defs WHERE alive) b ON a.file = b.file AND starts_with(b.sym, a.top || '.')")
 def prefix_join(spark, d):
     """Members of each class: definitions that have the class's name and a dot in front. Equal on file and first name, so no pair outside a class is made."""
-    live = V.defs(spark, d).filter("alive").select("node", "file", "sym").distinct().withColumn("top", F.substring_index("sym", ".", 1))
-    whole = live.filter("sym = top").select(F.col("node").alias("class_node"), "file", "top")
-    return live.filter("sym <> top").join(whole, ["file", "top"]).select("class_node", F.col("node").alias("member"))
+    live = V.defs(spark, d).filter("alive").select("node", "file", "sym").distinct().withColumn("top", F.substring_index("sym", ".", 1)).filter("sym <> top")
+    whole = live.select("file", "top").distinct().select("file", "top", F.concat_ws(":", "file", "top").alias("class_node"))
+    return live.join(whole, ["file", "top"]).select("class_node", F.col("node").alias("member"))
 
 
 @query("SELECT node FROM (SELECT DISTINCT node, file, sym FROM defs WHERE alive) a WHERE NOT EXISTS (SELECT 1 FROM defs b WHERE b.alive AND b.file = a.file AND starts_with(b.sym, a.sym || '.'))")
@@ -167,9 +167,12 @@ def entry_first_wins(spark, d):
     return V.entries(spark, d).select("entry_no", "endpoint", "handler")
 
 
-@query("SELECT endpoint, count(DISTINCT handler) AS handlers FROM listings WHERE deleted_at IS NULL GROUP BY endpoint HAVING count(DISTINCT handler) > 1")
+@query(f"SELECT repo, name, count(DISTINCT entry_no) AS entries, count(DISTINCT handler) AS handlers FROM (SELECT repo, entry_no, handler, substr(endpoint, length(repo) + 2) AS name FROM listings UNION ALL SELECT repo, entry_no, handler, {V.e_('v')} FROM (SELECT repo, entry_no, handler, unnest(aliases) AS v FROM listings)) WHERE name IS NOT NULL GROUP BY repo, name HAVING count(DISTINCT entry_no) > 1")
 def entry_conflicts(spark, d):
-    return V.listings(spark, d).filter("deleted_at is null").groupBy("endpoint").agg(F.countDistinct("handler").alias("handlers")).filter("handlers > 1")
+    """Names, as entry point or alias, that several rows of a repository's inventory claim, and how many handlers answer to them."""
+    names = F.concat(F.array(F.expr("substring(endpoint, length(repo) + 2)")), "aliases")
+    each = V.listings(spark, d).select("repo", "entry_no", "handler", F.explode(names).alias("name"))
+    return each.groupBy("repo", "name").agg(F.countDistinct("entry_no").alias("entries"), F.countDistinct("handler").alias("handlers")).filter("entries > 1")
 
 
 @query("SELECT DISTINCT flow_id, endpoint, coalesce(line, 1) AS line FROM mends LEFT JOIN entries USING (endpoint)")

@@ -234,7 +234,7 @@ def cluster_proposals(spark, d):
 
 
 LOOSE = {
-    "lo0": "SELECT repo, run_id, flow_id, s.step_no AS step_no, unnest(list_concat(coalesce(s.code_path, []), coalesce(s.ui, []))) AS v FROM rsteps WHERE flow_id IS NOT NULL AND s.endpoints IS NULL OR len(list_filter(s.endpoints, lambda x: trim(x) <> '')) = 0",
+    "lo0": "SELECT repo, run_id, flow_id, s.step_no AS step_no, unnest(list_concat(coalesce(s.code_path, []), coalesce(s.ui, []))) AS v FROM rsteps WHERE flow_id IS NOT NULL AND len(list_filter(coalesce(s.endpoints, []), lambda x: trim(x) <> '')) <= 1",
     "lo": f"SELECT DISTINCT repo || ' ' || flow_id AS flow, run_id, step_no, {V.n_('v')} AS t FROM lo0 WHERE {V.n_('v')} IS NOT NULL AND flow_id IS NOT NULL",
     "losz": "SELECT step_no, count(*) AS k FROM lo GROUP BY step_no",
     "lob": "SELECT a.step_no AS x, b.step_no AS y, count(*) AS o FROM lo a JOIN lo b ON a.flow = b.flow AND a.t = b.t AND a.run_id <> b.run_id AND a.step_no < b.step_no GROUP BY ALL",
@@ -247,8 +247,9 @@ LOOSE = {
     recursive=", ".join([*(f"{k} AS ({t})" for k, t in LOOSE.items()), "l2 AS (SELECT x, y FROM lol UNION SELECT y, x FROM lol UNION SELECT step_no, step_no FROM lo), cc(v, w) AS (SELECT x, y FROM l2 UNION SELECT cc.v, l2.y FROM cc JOIN l2 ON cc.w = l2.x)"]),
 )
 def cluster_loose(spark, d):
-    """Steps without entry points that different mappers have in the same flow with overlapping code and screens; steps alone are left out."""
-    r = V.runs(spark, d).filter("flow_id is not null").filter(F.size(tidy.entries("endpoints")) == 0)
+    """Steps of one entry point or none that different mappers have in the same flow with overlapping code and screens; steps alone are left out."""
+    few = F.size(F.filter(F.coalesce("endpoints", F.array().cast("array<string>")), lambda x: F.trim(x) != "")) <= 1
+    r = V.runs(spark, d).filter("flow_id is not null").filter(few)
     t = Stash(spark).put(r.select(F.concat_ws(" ", "repo", "flow_id").alias("flow"), "run_id", "step_no", F.explode(F.array_union(tidy.nodes("code_path"), tidy.nodes("ui"))).alias("t")))
     keyed = t.select(F.struct("step_no", "run_id").alias("step"), F.concat_ws(" ", "flow", "t").alias("t"))
     others = (F.col("x.step_no") < F.col("y.step_no")) & (F.col("x.run_id") != F.col("y.run_id"))
@@ -318,9 +319,8 @@ def edge_rollup(spark, d):
     return e.filter("a is not null and b <> ''").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"), F.countDistinct("step").alias("steps"))
 
 
-@query("SELECT ends, count(*) AS steps FROM (SELECT step, map_no, array_to_string(list_sort(list(DISTINCT endpoint)), ', ') AS ends FROM mends GROUP BY step, map_no) GROUP BY ends HAVING count(*) > 1")
+@query(f"SELECT scope, ends, count(*) AS steps FROM (SELECT repo || ' ' || area AS scope, s.step_no AS step_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(s.endpoints, []), lambda x: {V.e_('x')}), lambda x: x IS NOT NULL))), ', ') AS ends FROM rsteps) WHERE ends <> '' GROUP BY scope, ends HAVING count(*) > 1")
 def group_by_set(spark, d):
-    """Steps with identical entry points."""
-    m = V.map_endpoints(spark, d).select("step", "map_no", "endpoint").distinct()
-    sets = m.groupBy("step", "map_no").agg(F.array_join(F.array_sort(F.collect_list("endpoint")), ", ").alias("ends"))
-    return sets.groupBy("ends").agg(F.count(F.lit(1)).alias("steps")).filter("steps > 1")
+    """Steps of an area's passes with identical entry points."""
+    r = V.runs(spark, d).select(F.concat_ws(" ", "repo", "area").alias("scope"), F.array_join(F.array_sort(tidy.entries("endpoints")), ", ").alias("ends"))
+    return r.filter("ends <> ''").groupBy("scope", "ends").agg(F.count(F.lit(1)).alias("steps")).filter("steps > 1")

@@ -9,12 +9,16 @@ Workers need the repository at the same path.
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Stands for the files as they lie on disk, in place of a revision.
+WORKTREE = "WORKTREE"
 #: Directories of other people's code.
 VENDORED = ("node_modules", "vendor", ".venv", "venv", "site-packages", "dist", "build", "__pycache__")
 
@@ -35,6 +39,48 @@ def listed(repo: str, ref: str, roots: list[str], suffixes: tuple[str, ...]) ->
     return list(dict.fromkeys(out))
 
 
+def on_disk(repo: str, _: str, roots: list[str], suffixes: tuple[str, ...]) -> list[str]:
+    """Paths of the working tree under the roots, untracked files too; directories of vendored code aren't entered."""
+    out = []
+    for root in roots or [""]:
+        for folder, below, names in os.walk(Path(repo) / root):
+            below[:] = sorted(x for x in below if x not in VENDORED and x != ".git")
+            out += [(Path(folder) / n).relative_to(repo).as_posix() for n in sorted(names) if n.endswith(suffixes)]
+    return list(dict.fromkeys(out))
+
+
+def contents(repo: str, ref: str, paths: list[str]) -> Iterator[tuple[str, str]]:
+    """(path, text) of files at a revision, all from one process that is asked for one after the other."""
+    if not paths:
+        return
+    with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+        for path in paths:
+            if "\n" in path:  # can't be asked for in a line
+                yield path, git(repo, "show", f"{ref}:{path}")
+                continue
+            p.stdin.write(f"{ref}:{path}\n".encode())
+            p.stdin.flush()
+            head = p.stdout.readline().split()
+            if len(head) != 3:  # gone, or no file
+                continue
+            text = p.stdout.read(int(head[2]))
+            p.stdout.read(1)
+            if head[1] == b"blob":
+                yield path, text.decode("utf-8", "replace")
+        p.stdin.close()
+
+
+def toplevel(folder: str = ".") -> str:
+    """The repository's root: as the environment names it, else as git does, else the folder itself."""
+    named = os.environ.get("CHANGEGRAPH_ROOT")
+    if named:
+        return named
+    try:
+        return git(folder, "rev-parse", "--show-toplevel").strip()
+    except (subprocess.CalledProcessError, OSError):
+        return folder
+
+
 class Slice(InputPartition):
     def __init__(self, ref: str, paths: list[str]):
         self.ref, self.paths = ref, paths
@@ -51,13 +97,17 @@ class GitFilesReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out = []
         for ref in self.refs:
-            paths = listed(self.repo, ref, self.roots, self.suffixes)
+            paths = (on_disk if ref == WORKTREE else listed)(self.repo, ref, self.roots, self.suffixes)
             out += [Slice(ref, paths[i : i + self.each]) for i in range(0, len(paths), self.each)]
         return out or [Slice(self.refs[0], [])]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        for path in partition.paths:
-            yield partition.ref, path, git(self.repo, "show", f"{partition.ref}:{path}")
+        if partition.ref == WORKTREE:
+            for path in partition.paths:
+                yield WORKTREE, path, (Path(self.repo) / path).read_text(encoding="utf-8", errors="replace")
+        else:
+            for path, text in contents(self.repo, partition.ref, partition.paths):
+                yield partition.ref, path, text
 
 
 class GitFiles(DataSource):
@@ -103,11 +153,20 @@ def hunks_of(diff: str) -> Iterator[tuple[str, str | None, int, int, int, int, s
 
 
 class DiffReader(DataSourceReader):
+    """The changed files are listed once and diffed in slices, one task each."""
+
     def __init__(self, options: dict):
         self.o = options
+        self.each = int(options.get("filesPerTask", "200"))
 
-    def read(self, partition) -> Iterator[tuple]:
-        diff = git(self.o["repo"], "diff", "--no-renames", f"-U{self.o.get('context', '0')}", self.o["base"], self.o["head"])
+    def partitions(self) -> list[InputPartition]:
+        names = [n for n in git(self.o["repo"], "diff", "--no-renames", "--name-only", "-z", self.o["base"], self.o["head"]).split("\0") if n]
+        return [Slice("", names[i : i + self.each]) for i in range(0, len(names), self.each)] or [Slice("", [])]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        if not partition.paths:
+            return
+        diff = git(self.o["repo"], "diff", "--no-renames", f"-U{self.o.get('context', '0')}", self.o["base"], self.o["head"], "--", *(f":(literal){p}" for p in partition.paths))
         for old, new, a, n, b, m, ctx, body in hunks_of(diff):
             yield self.o["base"], self.o["head"], new or old, new is None, a, n, b, m, ctx, body
 
@@ -124,3 +183,31 @@ class GitDiff(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return DiffReader(self.options)
+
+
+class CommitReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.repo, self.refs = options["repo"], [r.strip() for r in options.get("refs", "HEAD").split(",")]
+
+    def read(self, partition) -> Iterator[tuple]:
+        try:
+            remote = git(self.repo, "remote", "get-url", "origin").strip()
+        except subprocess.CalledProcessError:
+            remote = None
+        for ref in self.refs:
+            sha, short, at, subject = git(self.repo, "log", "-1", "--format=%H%x00%h%x00%cI%x00%s", ref).rstrip("\n").split("\0")
+            yield ref, sha, short, at, subject, remote
+
+
+class GitCommits(DataSource):
+    """ref, sha, short, at, subject, remote of the revisions in the option refs."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gitcommits"
+
+    def schema(self) -> str:
+        return "ref string, sha string, short string, at string, subject string, remote string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return CommitReader(self.options)

@@ -39,3 +39,18 @@ def score(key: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.sum(F.size(F.array_intersect("a", "s"))).alias("recalled"),
         F.sum(F.size("s")).alias("flagged"),
     )
+
+
+def runtime_reach(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, tests) of a tracer's JSON: endpoint, symbol that it ran, and test, endpoint, symbol."""
+    raw = spark.read.schema("endpoints map<string, array<string>>, tests map<string, struct<endpoints: array<string>, symbols: array<string>>>").json(path, multiLine=True)
+    entries = raw.select(F.explode("endpoints").alias("endpoint", "s")).select("endpoint", F.explode("s").alias("symbol"))
+    tests = raw.select(F.explode("tests").alias("test", "t")).select("test", F.explode_outer("t.endpoints").alias("endpoint"), "t.symbols").select("test", "endpoint", F.explode_outer("symbols").alias("symbol"))
+    return entries, tests
+
+
+def over_reported(verdicts: DataFrame, changed: DataFrame, ran: DataFrame) -> DataFrame:
+    """id, endpoint: entry points that an analysis flags and that ran none of the changed symbols. verdicts: id, spreads_to; changed: id, symbol; ran: endpoint, symbol."""
+    flagged = verdicts.select("id", F.explode("spreads_to").alias("endpoint")).distinct()
+    seen = changed.join(ran, "symbol").select("id", "endpoint").distinct()
+    return flagged.join(seen, ["id", "endpoint"], "left_anti")
