@@ -88,7 +88,7 @@ def reconcile(spark: SparkSession, steps: DataFrame, files: DataFrame, tested: D
 
     # hops that two mappers see, or the only one does; each at its mean place
     n = F.greatest(F.size(F.coalesce("code_path", F.array().cast("array<string>"))), F.lit(1))
-    hop = matched.select("grp", n.alias("n"), F.posexplode(tidy.nodes("code_path")).alias("i", "hop")).groupBy("grp", "hop").agg(F.count(F.lit(1)).alias("votes"), F.avg(F.col("i") / F.col("n")).alias("place"))
+    hop = matched.select("grp", n.alias("n"), F.posexplode(tidy.nodes("code_path")).alias("i", "hop")).groupBy("grp", "hop").agg(F.count(F.lit(1)).alias("votes"), F.round(F.avg(F.col("i") / F.col("n")), 9).alias("place"))  # rounded, so that the order of a sum doesn't decide
     hop = hop.join(some.select("grp", "scope"), "grp").join(need.select("scope", F.col("runs").alias("mappers")), "scope")
     kept = (F.col("votes") >= 2) | (F.col("mappers") == 1)
     hops = hop.groupBy("grp").agg(F.sort_array(F.collect_list(F.when(kept, F.struct("place", "hop")))).alias("h"), F.array_sort(F.collect_list(F.when(~kept, F.col("hop")))).alias("disputed"))

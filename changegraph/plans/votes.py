@@ -58,12 +58,50 @@ def reconciled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return reconcile.reconcile(spark, steps, files)
 
 
-@query()
+#: Ties go to the flow that the agreed entry points of the handler's file are in most.
+SETTLED = {
+    **VOTES,
+    "handled": "SELECT endpoint, regexp_extract(handler, '^(.*):[^:]*$', 1) AS file FROM entries WHERE handler IS NOT NULL",
+    "affinity": "SELECT file, flow_id, count(*) AS n FROM status_of JOIN handled USING (endpoint) WHERE status = 'agreed' GROUP BY ALL",
+    "tied_choices": "SELECT counts.endpoint, counts.flow_id, o, file, status_of.flow_id AS top_flow FROM counts JOIN status_of ON status_of.endpoint = counts.endpoint LEFT JOIN handled ON handled.endpoint = counts.endpoint WHERE tied AND v = votes",
+    "broken": "SELECT endpoint, arg_min(flow_id, (-coalesce(n, 0), CASE WHEN flow_id = top_flow THEN 0 ELSE 1 END, o, flow_id)) AS flow_id FROM tied_choices LEFT JOIN affinity USING (file, flow_id) GROUP BY endpoint",
+    "rf": "SELECT scope, endpoint, coalesce(broken.flow_id, status_of.flow_id) AS flow, votes, voters, tied, status FROM status_of LEFT JOIN broken USING (endpoint)",
+}
+#: The rest of the reconciliation: entry points that enough steps hold together, the step of each mapper that fits a group best, its hops.
+STEPS = {
+    "ct": f"SELECT DISTINCT repo || ' ' || area AS scope, run_id, flow_id, pass_no, flow_pos, step_pos, s.step_no AS step_no, repo || ' ' || {V.e_('v')} AS endpoint FROM places0 WHERE {V.e_('v')} IS NOT NULL",
+    "prs": "SELECT x.endpoint AS a, y.endpoint AS b, count(DISTINCT x.step_no) AS n FROM ct x JOIN ct y ON x.step_no = y.step_no AND x.endpoint < y.endpoint GROUP BY ALL",
+    "lks": "SELECT a, b FROM prs JOIN rf p ON p.endpoint = a JOIN rf q ON q.endpoint = b AND p.flow = q.flow AND p.scope = q.scope JOIN mappers m ON p.scope = m.repo || ' ' || m.area WHERE n >= need",
+    "lk2": "SELECT a, b FROM lks UNION SELECT b, a FROM lks UNION SELECT endpoint, endpoint FROM rf",
+    "cl(v, w)": "SELECT a, b FROM lk2 UNION SELECT cl.v, lk2.b FROM cl JOIN lk2 ON cl.w = lk2.a",
+    "gr": "SELECT v AS endpoint, min(w) AS grp FROM cl GROUP BY v",
+    "gs": "SELECT grp, count(*) AS k FROM gr GROUP BY grp",
+    "hs": "SELECT step_no, count(DISTINCT endpoint) AS k FROM ct GROUP BY step_no",
+    "ov": "SELECT grp, run_id, pass_no, flow_pos, step_pos, ct.step_no, count(*) AS o FROM gr JOIN ct USING (endpoint) GROUP BY ALL",
+    "sc2": "SELECT grp, run_id, pass_no, flow_pos, step_pos, step_no, o / (gs.k + hs.k - o)::DOUBLE AS j FROM ov JOIN gs USING (grp) JOIN hs USING (step_no)",
+    "bm": "SELECT * FROM sc2 QUALIFY row_number() OVER (PARTITION BY grp, run_id ORDER BY j DESC, pass_no, flow_pos, step_pos, step_no) = 1",
+    "det": "SELECT s.step_no AS step_no, step_pos / greatest(1, count(*) OVER (PARTITION BY pass_no, flow_pos))::DOUBLE AS at_, s.id AS id, s.step_name AS step_name, s.actor AS actor, s.code_path AS code_path FROM rsteps",
+    "mt": "SELECT bm.*, at_, id, step_name, actor, code_path FROM bm JOIN det USING (step_no)",
+    "sm": "SELECT grp, min(scope) AS scope, min(flow) AS flow, array_to_string(list_sort(list(endpoint)), ', ') AS endpoints, bool_and(status = 'single-source') AS all_single, bool_and(status IN ('agreed', 'confirmed')) AS all_agreed FROM gr JOIN rf USING (endpoint) GROUP BY grp",
+    "sn": "SELECT grp, count(*) AS matches, count(*) FILTER (j = 1) AS exact, arg_min(step_name, (-j, pass_no, flow_pos, step_pos)) AS step_name, array_to_string(list_sort(list(DISTINCT run_id)), ', ') AS runs, round(avg(at_), 6) AS position FROM mt GROUP BY grp",
+    "ids": "SELECT grp, arg_min(id, (-n, o, id)) AS id FROM (SELECT grp, id, count(*) AS n, min((-j, pass_no, flow_pos, step_pos)) AS o FROM mt GROUP BY grp, id) GROUP BY grp",
+    "acs": "SELECT grp, arg_min(actor, (-n, o, actor)) AS actor FROM (SELECT grp, actor, count(*) AS n, min((-j, pass_no, flow_pos, step_pos)) AS o FROM mt GROUP BY grp, actor) GROUP BY grp",
+    "hp0": "SELECT grp, run_id, greatest(1, len(coalesce(code_path, []))) AS n, unnest(code_path) AS v, generate_subscripts(code_path, 1) AS i0 FROM mt",
+    "hp1": f"SELECT grp, run_id, n, {V.n_('v')} AS hop, min(i0) AS i0 FROM hp0 WHERE {V.n_('v')} IS NOT NULL GROUP BY ALL",
+    "hp2": "SELECT grp, hop, (row_number() OVER (PARTITION BY grp, run_id ORDER BY i0) - 1) / n::DOUBLE AS place FROM hp1",
+    "hp3": "SELECT grp, hop, count(*) AS votes, round(avg(place), 9) AS place FROM hp2 GROUP BY grp, hop",
+    "hp4": "SELECT grp, hop, place, votes >= 2 OR m.runs = 1 AS kept FROM hp3 JOIN sm USING (grp) JOIN mappers m ON scope = m.repo || ' ' || m.area",
+    "hp": "SELECT grp, array_to_string(list(hop ORDER BY place, hop) FILTER (kept), ', ') AS hops, array_to_string(list_sort(list(hop) FILTER (NOT kept)), ', ') AS disputed, count(DISTINCT regexp_extract(hop, '^(.*):[^:]*$', 1)) FILTER (kept) AS files FROM hp4 GROUP BY grp",
+    "rm": "SELECT sm.scope, sm.flow, sm.grp, id, step_name, actor, endpoints, coalesce(hops, '') AS hops, coalesce(disputed, '') AS disputed, coalesce(files, 0) AS files, exact, sn.runs AS runs, CASE WHEN all_single THEN 'single-source' WHEN exact >= need AND all_agreed THEN 'agreed' WHEN exact >= need OR matches >= 2 THEN 'contested' ELSE 'single-source' END AS evidence, position FROM sm JOIN sn USING (grp) LEFT JOIN ids USING (grp) LEFT JOIN acs USING (grp) LEFT JOIN hp USING (grp) JOIN mappers m ON sm.scope = m.repo || ' ' || m.area",
+}
+
+
+@query("SELECT * FROM rf", **SETTLED)
 def reconcile_flows(spark, d):
     return reconciled(spark, d)[0]
 
 
-@query()
+@query("SELECT * FROM rm", recursive=", ".join(f"{k} AS ({v})" for k, v in {**SETTLED, **STEPS}.items()))
 def reconcile_map(spark, d):
     """Steps of the reconciled maps, arrays joined."""
     flat = lambda c: F.array_join(c, ", ").alias(c)
