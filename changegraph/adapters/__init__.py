@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changegraph.adapters import code, routes
@@ -26,8 +26,8 @@ def scan(specs: list[dict], files: DataFrame, defs: DataFrame) -> tuple[DataFram
     """(entries, conflicts): the first row of each entry point in order of the specs and of path and line, and entry points with several handlers."""
     parts = [_shaped(ADAPTERS[s["adapter"]](s, files, defs)).withColumn("spec", F.lit(i)) for i, s in enumerate(specs)]
     every = reduce(DataFrame.unionByName, parts)
-    first = F.row_number().over(Window.partitionBy("ref", "endpoint").orderBy("spec", "handler", "line"))
-    entries = every.withColumn("rn", first).filter("rn = 1").drop("rn", "spec")
+    row = ["spec", "handler", "line", "aliases", "implicit"]
+    entries = every.groupBy("ref", "endpoint").agg(F.min(F.struct(*row)).alias("r")).select("ref", "endpoint", *[f"r.{c}" for c in row[1:]])
     conflicts = every.groupBy("ref", "endpoint").agg(F.countDistinct("handler").alias("handlers")).filter("handlers > 1")
     return entries, conflicts
 

@@ -9,9 +9,10 @@ never add a pair.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changegraph.operators import ranges
 from changegraph.session import Stash
 
 
@@ -171,9 +172,9 @@ def bounded(spark: SparkSession, edges: DataFrame, origins: DataFrame, depth: in
     Nodes of skip(node) are neither shown nor passed through."""
     e = avoiding(edges, skip) if skip is not None else edges
     got = reach(spark, e, origins, within=depth)
-    w = Window.partitionBy("origin")
-    ranked = got.withColumn("rn", F.row_number().over(w.orderBy("depth", "node"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("rn") <= most - 1).select("origin", "node", "depth", F.greatest(F.col("n") - (most - 1), F.lit(0)).alias("hidden"))
+    n = got.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    first = ranges.first_in(got, ["origin"], ["depth", "node"], most - 1, "rn")
+    return first.join(n, "origin").select("origin", "node", "depth", F.greatest(F.col("n") - (most - 1), F.lit(0)).alias("hidden"))
 
 
 def _rings(spark: SparkSession, links: DataFrame) -> DataFrame:

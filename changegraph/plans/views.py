@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegraph.functions import paths, tidy
@@ -71,9 +71,8 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
     """entry_no, endpoint, kind, handler, line: of the live rows the first seen of each entry point."""
-    w = Window.partitionBy("endpoint").orderBy("first_seen", "entry_no")
-    live = listings(spark, d).filter("deleted_at is null").withColumn("rn", F.row_number().over(w))
-    return live.filter("rn = 1").select("entry_no", "endpoint", "kind", "handler", "line")
+    live = listings(spark, d).filter("deleted_at is null").groupBy("endpoint").agg(F.min(F.struct("first_seen", "entry_no", "kind", "handler", "line")).alias("r"))
+    return live.select("r.entry_no", "endpoint", "r.kind", "r.handler", "r.line")
 
 
 MAP_STEP = "id: string, step_name: string, alt_names: array<string>, actor: string, endpoints: array<string>, ui: array<string>, code_path: array<string>, writes: array<string>, evidence: string, untested_endpoints: array<string>, runs: array<string>"
@@ -82,7 +81,9 @@ MAP_STEP = "id: string, step_name: string, alt_names: array<string>, actor: stri
 def map_steps(spark: SparkSession, d: str) -> DataFrame:
     """One row per step of the latest map of each area: repo, area, map_no, flow_pos, flow_id, summary, step_pos, step_id, step (repo flow/step) and its fields."""
     m = load(spark, d, "flow_maps", f"map_no bigint, repo string, area string, made_at timestamp_ntz, agree_threshold int, flows array<struct<id: string, summary: string, steps: array<struct<{MAP_STEP}>>>>")
-    latest = m.withColumn("rn", F.row_number().over(Window.partitionBy("repo", "area").orderBy(F.desc("made_at"), F.desc("map_no")))).filter("rn = 1")
+    # which map is the last one is known from the numbers alone; the flows of the others are never shuffled
+    last = m.groupBy("repo", "area").agg(F.max(F.struct("made_at", "map_no")).alias("r")).select("repo", "area", "r.map_no")
+    latest = m.join(last, ["repo", "area", "map_no"], "left_semi").dropDuplicates(["repo", "area", "map_no"])
     flow = latest.select("map_no", "repo", "area", "agree_threshold", F.posexplode("flows").alias("flow_pos", "flow"))
     step = flow.select("map_no", "repo", "area", "agree_threshold", "flow_pos", F.col("flow.id").alias("flow_id"), F.posexplode("flow.steps").alias("step_pos", "s"))
     step = step.filter("s is not null")

@@ -174,7 +174,23 @@ def test_each_head_is_claimed_once(spark, tmp_path):
     assert sorted((r["change"], r["head"]) for r in claims.current(spark, out).collect()) == [("1", "a"), ("2", "a")]
     event("5", head="b"), event("6")
     claims.run(spark, src, out, check).awaitTermination()
-    assert sorted((r["change"], r["head"], r["body"]) for r in claims.current(spark, out).collect())[0] == ("1", "b", "5")
+    event("7", head="c"), event("8", change="3")
+    claims.run(spark, src, out, check).awaitTermination()
+    assert sorted((r["change"], r["head"], r["body"]) for r in claims.current(spark, out).collect()) == [("1", "c", "7"), ("2", "a", "4"), ("3", "a", "8")]
+    assert len({v for v, _ in claims._parts(spark, out).values()}) > 1  # a bucket that no event touched is as it was
+
+
+def test_claims_that_expire(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+
+    def event(n, at):
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"change": "1", "head": "a", "command": "git push", "body": n, "at": at}))
+
+    for n, at in (("1", "2025-01-01T00:00:00Z"), ("2", "2025-01-02T00:00:00Z"), ("3", "2025-03-01T00:00:00Z"), ("4", "2025-03-01T01:00:00Z")):
+        event(n, at)
+        claims.run(spark, src, out, check, late="10 days").awaitTermination()
+    assert [r["body"] for r in claims.current(spark, out).collect()] in (["3"], ["4"])
 
 
 def test_rendering():
