@@ -6,7 +6,8 @@ a_j b_i to the log posterior of its label, whose prior is the label's share of t
 item's ease along its gradient until it settles (that needs the item's votes alone, so no state per item is kept
 between passes), and sums gradient and curvature of the abilities per annotator, combined per batch before the shuffle (M).
 Abilities are a table of one row per annotator; below a checked number of annotators it is broadcast, beyond that
-the votes are joined with it by shuffle and sorted again.
+the votes are joined with it by shuffle and sorted again. An item that very many annotators label is read as a histogram of
+abilities for each label, combined before the shuffle, and its posterior is joined back to the votes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from changegraph.session import Stash, tasks_for
 
 BROADCAST_ANNOTATORS = 100_000
 VOTES_A_TASK = 1_000_000
+#: An item of more votes isn't held in one task: its votes are combined by label and ability, the latter rounded to so many digits.
+HOT_VOTES, DIGITS = 1_000_000, 3
 #: The learning ends when no ability moves by SETTLED any more, and says so if it hasn't after PASSES.
 PASSES, SETTLED = 25, 0.01
 #: Priors: abilities are normal around 3, logarithms of ease around 0.
@@ -46,7 +49,7 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 class Items:
     """The votes of whole items, sorted by item and label, and what follows from them given the abilities."""
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, label: np.ndarray, ability: np.ndarray, choices: np.ndarray, share: np.ndarray, weight: np.ndarray):
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, label: np.ndarray, ability: np.ndarray, choices: np.ndarray, share: np.ndarray, weight: np.ndarray, square: np.ndarray):
         n = len(h1)
         self.item_at = _starts(h1, h2)
         self.label_at = _starts(h1, h2, label)
@@ -54,7 +57,7 @@ class Items:
         self.label = np.repeat(np.arange(len(self.label_at)), np.diff(np.append(self.label_at, n)))
         self.label_item = self.item[self.label_at]
         self.ability = ability
-        self.weight = weight
+        self.weight, self.square = weight, square  # of a row of several votes the sums of weights and of their squares
         self.support = np.add.reduceat(weight, self.label_at)
         self.share = share[self.label_at]
         self.sums = np.add.reduceat(weight * ability, self.label_at)
@@ -104,7 +107,9 @@ def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _items(t: pa.Table) -> Items:
-    return Items(*(t.column(c).to_numpy() for c in ("h1", "h2", "label_hash", "ability", "choices", "share", "weight")))
+    weight = t.column("weight").to_numpy()
+    square = t.column("square").to_numpy() if "square" in t.column_names else weight**2
+    return Items(*(t.column(c).to_numpy() for c in ("h1", "h2", "label_hash", "ability", "choices", "share")), weight, square)
 
 
 def _gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +122,15 @@ def _gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(up), pa.array(bend)], names=["code", "up", "bend"])
 
 
+def _posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each label of an item its probability, and the item's ease and chance."""
+    for t in _whole_items(batches):
+        x = _items(t)
+        at = pa.array(x.label_at)
+        rest = [x.posterior(), np.exp(x.log_ease)[x.label_item], x.chance[x.label_at]]
+        yield pa.RecordBatch.from_arrays([*(t.column(c).take(at).combine_chunks() for c in ("h1", "h2", "label_hash")), *map(pa.array, rest)], names=["h1", "h2", "label_hash", "p", "ease", "chance"])
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _whole_items(batches):
         x = _items(t)
@@ -124,7 +138,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((np.arange(len(p)), -p, x.label_item))  # of equal posteriors the label of smaller hash
         best = order[_starts(x.label_item[order])]
         votes = np.rint(np.bincount(x.item, x.weight)).astype(np.int64)  # annotators
-        same = np.add.reduceat(x.support**2 - np.add.reduceat(x.weight**2, x.label_at), x.first_label)
+        same = np.add.reduceat(x.support**2 - np.add.reduceat(x.square, x.label_at), x.first_label)
         observed = np.where(votes > 1, same / np.maximum(votes * (votes - 1), 1), np.nan)
         at = pa.array(x.label_at[best])
         columns = [t.column(c).take(at).combine_chunks() for c in ("item", "label")]
@@ -164,6 +178,12 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
     few = stash.rows(codes) <= BROADCAST_ANNOTATORS
     width = tasks_for(spark, stash.rows(single), VOTES_A_TASK)
     # kept as it is partitioned, so that no item is cut; what an executor loses is computed again
+    hot = None
+    if stash.rows(codes) > HOT_VOTES:  # no item has more votes of one label than there are annotators
+        many = stash.put(coded.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_VOTES).select("h1", "h2"))
+        if stash.rows(many):
+            hot = stash.put(coded.join(many, ["h1", "h2"], "left_semi"))
+            coded = coded.join(many, ["h1", "h2"], "left_anti")
     table = coded.repartition(width, "h1", "h2").sortWithinPartitions(*order).persist()
 
     def with_ability(of: DataFrame, columns: list[str]) -> DataFrame:
@@ -172,23 +192,42 @@ def consensus(spark: SparkSession, votes: DataFrame, item: list[str], annotator:
             return df.join(F.broadcast(of), "code").select(*columns, "ability")
         return df.join(of, "code").repartition(width, "h1", "h2").sortWithinPartitions(*order).select(*columns, "ability")
 
-    ability = stash.put(codes.select("code", F.lit(ABILITY_MEAN).alias("ability")))
+    def histogram(of: DataFrame) -> DataFrame:
+        """The votes of hot items by label and ability; an item has as many rows as these have values."""
+        same = F.round("ability", DIGITS).alias("ability")
+        rows = hot.join(of, "code").groupBy("h1", "h2", "label_hash", same).agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("weight")).alias("square"), F.max("choices").alias("choices"), F.max("share").alias("share"), F.min("item").alias("item"), F.min("label").alias("label"))
+        return rows.repartition(width, "h1", "h2").sortWithinPartitions(*order)
+
+    def hot_gradients(of: DataFrame) -> DataFrame:
+        known = histogram(of).drop("item", "label").mapInArrow(_posteriors, "h1 bigint, h2 bigint, label_hash bigint, p double, ease double, chance double")
+        right = 1 / (1 + F.exp(F.col("chance") - F.col("ability") * F.col("ease")))
+        votes = hot.join(of, "code").join(known, list(order)).withColumn("s", right)
+        return votes.select("code", (F.col("weight") * (F.col("p") - F.col("s")) * F.col("ease")).alias("up"), (F.col("weight") * F.col("s") * (1 - F.col("s")) * F.col("ease") * F.col("ease")).alias("bend"))
+
+    ability = now = stash.put(codes.select("code", F.lit(ABILITY_MEAN).alias("ability")))
     made, far = 0, None
     while made < passes:
         made += 1
-        sums = with_ability(ability, ["h1", "h2", "label_hash", "code", "choices", "share", "weight"]).mapInArrow(_gradients, "code bigint, up double, bend double").groupBy("code").agg(F.sum("up").alias("up"), F.sum("bend").alias("bend"))
+        ability = ability.select("code", "ability")
+        each = with_ability(ability, ["h1", "h2", "label_hash", "code", "choices", "share", "weight"]).mapInArrow(_gradients, "code bigint, up double, bend double")
+        if hot is not None:
+            each = each.unionByName(hot_gradients(ability))
+        sums = each.groupBy("code").agg(F.sum("up").alias("up"), F.sum("bend").alias("bend"))
         up = F.col("up") - (F.col("ability") - ABILITY_MEAN) / ABILITY_VAR
         step = F.greatest(F.least(up / (F.col("bend") + 1 / ABILITY_VAR), F.lit(1.0)), F.lit(-1.0))
         moved, far = stash.put_with(ability.join(sums, "code").select("code", (F.col("ability") + step).alias("ability"), F.abs(step).alias("by")), F.max("by").alias("far"))
-        stash.drop(ability)
-        ability = moved
+        stash.drop(now)
+        ability = now = moved
         if far is None or far < settled:
             break
     else:
         warnings.warn(f"abilities still move by {far:.3g} after {passes} passes over the votes", stacklevel=2)
     ability = ability.select("code", "ability")
     kinds = {c: single.schema[c].dataType.simpleString() for c in ("item", "label")}
-    decided = with_ability(ability, table.columns).mapInArrow(_decide, f"item {kinds['item']}, label {kinds['label']}, confidence double, votes bigint, labels bigint, difficulty double, observed double")
+    decision = f"item {kinds['item']}, label {kinds['label']}, confidence double, votes bigint, labels bigint, difficulty double, observed double"
+    decided = with_ability(ability, table.columns).mapInArrow(_decide, decision)
+    if hot is not None:
+        decided = decided.unionByName(histogram(ability).mapInArrow(_decide, decision))
     total = single.agg(F.sum("weight")).first()[0] or 1.0
     chance = single.groupBy("label").agg((F.sum("weight") / F.lit(total)).alias("p")).agg(F.sum(F.col("p") * F.col("p"))).first()[0] or 0.0
     agreement = (F.col("observed") - chance) / (1 - chance) if chance < 1 else F.lit(1.0)

@@ -71,3 +71,24 @@ def test_learning_that_has_not_settled_is_told(spark):
     _, _, rows = simulated(13, 60)
     with pytest.warns(UserWarning, match="after 2 passes"):
         assert consensus.consensus(spark, spark.createDataFrame(rows, SCHEMA), ["item"], "who", "label", ["ctx"], passes=2, settled=1e-9).passes == 2
+
+
+def test_hot_items_as_histograms(spark, monkeypatch):
+    _, _, rows = simulated(14, 60)
+    hot = [("hot", f"w{k}", "a" if k % 5 else "b", "c", "", 0) for k in range(400)] + [("hot", r[1], r[2], "c", "", 0) for r in rows[:8]]
+    df = spark.createDataFrame(rows + hot, SCHEMA)
+    ask = lambda: consensus.consensus(spark, df, ["item"], "who", "label", ["ctx"])
+    one = ask()
+    monkeypatch.setattr(consensus, "HOT_VOTES", 100)
+    two = ask()
+    a, b = ({r["item"]: r for r in x.items.collect()} for x in (one, two))
+    assert set(a) == set(b) and all(a[i]["label"] == b[i]["label"] and abs(a[i]["confidence"] - b[i]["confidence"]) < 0.01 and a[i]["votes"] == b[i]["votes"] and abs(a[i]["agreement"] - b[i]["agreement"]) < 1e-9 for i in a)
+    x, y = ({r["annotator"]: r["ability"] for r in z.annotators.collect()} for z in (one, two))
+    assert set(x) == set(y) and all(abs(x[k] - y[k]) < 0.05 for k in x)
+
+
+def test_a_histogram_of_a_million_votes_is_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "HOT_VOTES", 1000)
+    df = spark.range(1_000_000, numPartitions=8).selectExpr("'i' as item", "cast(id as string) as who", "if(id % 3 = 0, 'y', 'x') as label", "'c' as ctx")
+    got = consensus.consensus(spark, df, ["item"], "who", "label", ["ctx"], passes=1, settled=100.0).items.collect()
+    assert [(r["label"], r["votes"], r["labels"]) for r in got] == [("x", 1_000_000, 2)]
