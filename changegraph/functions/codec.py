@@ -50,19 +50,18 @@ def _smaller(text: str) -> Iterator[str]:
         yield json.dumps({**facts, "hunks": kept, "trimmed": trimmed}, ensure_ascii=False, separators=(",", ":"))
 
 
-@F.pandas_udf(StringType())
-def fitted_facts(texts: pd.Series) -> pd.Series:
-    """The fragment of a change's facts; beyond the budget, that of the first of the smaller ones within it, else null."""
+def fitted_text(text: str) -> str | None:
+    """The fragment of a change's facts; beyond the budget, that of the first of the smaller ones within it, else None."""
+    fragment = PREFIX + _deflate(text)
+    if len(fragment) > BUDGET:
+        fragment = next((f for f in (PREFIX + _deflate(x) for x in _smaller(text)) if len(f) <= BUDGET), None)
+    return fragment
 
-    def one(t):
-        if t is None:
-            return None
-        fragment = PREFIX + _deflate(t)
-        if len(fragment) > BUDGET:
-            fragment = next((f for f in (PREFIX + _deflate(x) for x in _smaller(t)) if len(f) <= BUDGET), None)
-        return fragment
 
-    return texts.map(one)
+@F.pandas_udf(StringType())
+def fitted_facts(texts: pd.Series) -> pd.Series:
+    """fitted_text of each text, null for null."""
+    return texts.map(lambda t: None if t is None else fitted_text(t))
 
 
 def unpack(fragment: str) -> str:

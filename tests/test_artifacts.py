@@ -150,3 +150,42 @@ def test_settings(spark):
     tree = spark.createDataFrame([(x,) for x in ("app/a.py", "app/node_modules/b.py", "other/c.py", "app/docs/d.md")], "path string")
     assert [r[0] for r in s.graphed_files(tree).collect()] == ["app/a.py", "app/docs/d.md"]
     assert [r[0] for r in tree.select(s.kind(F.col("path"))).collect()] == ["code", "code", "outside", "doc"]
+
+
+def test_commands_on_a_repository(spark, tmp_path, capsys):
+    from changegraph.__main__ import main
+
+    def run(*args):
+        subprocess.run(["git", "-C", tmp_path, "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    def said(*args):
+        assert main([*args, "--repo", str(tmp_path)]) == 0
+        return capsys.readouterr().out.strip()
+
+    (tmp_path / "app").mkdir()
+    (tmp_path / "tests").mkdir()
+    (tmp_path / "app/__init__.py").write_text("")
+    (tmp_path / "app/go.py").write_text('from app import core\n\n\ndef main():\n    core.step(1)\n\n\nif __name__ == "__main__":\n    main()\n')
+    (tmp_path / "app/core.py").write_text("def step(x):\n    return x\n")
+    (tmp_path / "tests/test_go.py").write_text("from app import go\nimport go\n")
+    (tmp_path / "changegraph.toml").write_text('out = "docs/map"\n[[entry]]\nadapter = "cli"\ncommands = "app"\nprog = "app"\n[graph]\nroots = ["app"]\n[app]\ndirs = ["app"]\n[[flow]]\nid = "run"\nproposed = "new:go"\n')
+    run("init", "-q"), run("add", "."), run("commit", "-qm", "1"), run("tag", "base")
+    assert json.loads(said("inventory"))["endpoints"] == [{"endpoint": "CLI app go", "handler": "app/go.py:__main__", "line": 8, "aliases": []}]
+    assert ["app/go.py:main", "app/core.py:step"] in json.loads(said("graph", "base"))["edges"]
+    step = {"id": "s", "name": "Go", "actor": "user", "endpoints": ["CLI app go"], "code_path": ["app/go.py:main", "app/core.py:gone"]}
+    (tmp_path / "docs/map/runs").mkdir(parents=True)
+    for k, flow in (("1", "new:go"), ("2", "run")):
+        (tmp_path / f"docs/map/runs/{k}.json").write_text(json.dumps({"run_id": k, "flows": [{"id": flow, "summary": "Runs.", "steps": [step]}], "observations": ["odd"]}))
+    runs = [str(tmp_path / "docs/map/runs/1.json"), str(tmp_path / "docs/map/runs/2.json")]
+    assert said("verify", *runs) == "new:go/s: symbol not defined app/core.py:gone\nrun/s: symbol not defined app/core.py:gone"
+    m = json.loads(said("reconcile", *runs, "--out", str(tmp_path / "docs/map"), "--tests", "tests"))
+    assert [(f["id"], f["summary"], [(s["id"], s["evidence"]) for s in f["steps"]]) for f in m["flows"]] == [("run", "Runs.", [("s", "tested")])]
+    assert "odd" in (tmp_path / "docs/map/questions.md").read_text() and "Go" in (tmp_path / "docs/map/map.md").read_text()
+    (tmp_path / "app/core.py").write_text("def step(x, y=0):\n    return x + y\n")
+    run("add", "."), run("commit", "-qm", "2")
+    facts = json.loads(said("change", "base", "HEAD", "--json"))
+    assert facts["verdict"] == "spreads" and facts["spreads_to"] == ["CLI app go"] and facts["hidden"] == ["run/s"] and facts["blind"] == []
+    assert facts["symbols"] == [{"node": "app/core.py:step", "status": "modified", "cosmetic": False, "contract": True}]
+    assert said("change", "base").startswith("# spreads")
+    (tmp_path / "facts.json").write_text(json.dumps(facts))
+    assert said("link", str(tmp_path / "facts.json")).startswith("#v1.")
