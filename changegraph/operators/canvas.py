@@ -36,3 +36,22 @@ def depths(spark: SparkSession, made: DataFrame) -> DataFrame:
     """file, depth: how far each file lies from the handlers' files along calls."""
     call = made.filter("kind = 'call'").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return graph.layers(spark, call, made.filter("kind = 'entry'").select(F.col("b").alias("node"))).withColumnRenamed("node", "file")
+
+
+def painted(cards: DataFrame, changed: DataFrame) -> DataFrame:
+    """node, kind, card: the card that shows each changed symbol, null where none does.
+
+    cards: card, path; changed: node, kind ('changed' or 'new'). A card of the very path comes first, then one whose path ends a symbol's, or
+    begins where a symbol's ends, by whole parts; of several the first. Such paths have the same last part, which is what is joined on."""
+    name = lambda c: F.substring_index(c, "/", -1)
+    c = cards.select("card", F.col("path").alias("_path"), name("path").alias("_name"))
+    s = changed.withColumn("path", paths.file_of("node")).withColumn("_name", name("path"))
+    ends = lambda a, b: F.endswith(F.concat(F.lit("/"), F.col(a)), F.concat(F.lit("/"), F.col(b)))
+    met = s.join(c, "_name").filter(ends("path", "_path") | ends("_path", "path"))
+    first = met.groupBy("node", "kind").agg(F.min_by("card", F.struct(F.col("path") != F.col("_path"), F.col("card"))).alias("card"))
+    return changed.select("node", "kind").distinct().join(first, ["node", "kind"], "left").select("node", "kind", "card")
+
+
+def chapter_steps(chapters: DataFrame, code: DataFrame, by: list[str]) -> DataFrame:
+    """by, chapter, step: the steps whose code holds a symbol of a chapter. chapters: by, chapter, node; code: by, step, node."""
+    return chapters.join(code, [*by, "node"]).select(*by, "chapter", "step").distinct()

@@ -58,3 +58,16 @@ def left_out(stories: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFr
     s = symbols.join(told, "change_no", "left_semi").join(ch.select("change_no", F.explode("c.symbols").alias("id")), ["change_no", "id"], "left_anti")
     f = files.filter("kind in ('outside', 'doc')").join(told, "change_no", "left_semi").join(ch.select("change_no", F.explode("c.files").alias("path")), ["change_no", "path"], "left_anti")
     return s.select("change_no", F.lit("unassigned").alias("kind"), F.col("id").alias("subject")).unionByName(f.select("change_no", F.lit("outside").alias("kind"), F.col("path").alias("subject")))
+
+
+def shown_hunks(hunks: DataFrame, stories: DataFrame) -> DataFrame:
+    """The hunks that a page shows: those with symbols, and those of files that a chapter chose. hunks: change_no, file, symbols (array) and others."""
+    chosen = _chapters(stories).select("change_no", F.explode("c.files").alias("file")).distinct().withColumn("_chosen", F.lit(True))
+    return hunks.join(chosen, ["change_no", "file"], "left").filter((F.coalesce(F.size("symbols"), F.lit(0)) > 0) | F.col("_chosen")).drop("_chosen")
+
+
+def folded(files: DataFrame, stories: DataFrame) -> DataFrame:
+    """change_no, path: files of which a page shows the path alone: generated ones and tests, and without chapters documents and what lies outside. files: change_no, path, kind."""
+    told = stories.filter(F.size("chapters") > 0).select("change_no").distinct().withColumn("_told", F.lit(True))
+    met = files.join(told, "change_no", "left")
+    return met.filter(F.col("kind").isin("generated", "test") | (F.col("kind").isin("doc", "outside") & F.col("_told").isNull())).select("change_no", "path")

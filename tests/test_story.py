@@ -56,3 +56,14 @@ def test_results(spark, tmp_path):
     said = spark.createDataFrame([("p1", "spreads", ["A", "C"]), ("p2", "contained", [])], "id string, verdict string, spreads_to array<string>")
     got = results.score(results.answer_key(spark, str(tmp_path / "k.json")), said).first()
     assert tuple(got) == (3, 2, 1, 1, 2, 1, 2)
+
+
+def test_what_a_page_shows(spark):
+    stories = spark.createDataFrame([(1, [("t", ["a.py:f"], ["plan.md"], [])], []), (2, [], [])], story.STORY)
+    hunks = spark.createDataFrame([(1, "a.py", ["a.py:f"]), (1, "plan.md", []), (1, "x.bin", None), (2, "b.py", [])], "change_no long, file string, symbols array<string>")
+    assert sorted((r["change_no"], r["file"]) for r in story.shown_hunks(hunks, stories).collect()) == [(1, "a.py"), (1, "plan.md")]
+    files = spark.createDataFrame([(c, p, k) for c in (1, 2) for p, k in (("t.py", "test"), ("d.md", "doc"), ("g.json", "generated"), ("c.py", "code"))], "change_no long, path string, kind string")
+    assert sorted((r["change_no"], r["path"]) for r in story.folded(files, stories).collect()) == [(1, "g.json"), (1, "t.py"), (2, "d.md"), (2, "g.json"), (2, "t.py")]
+    cards = spark.createDataFrame([("1", "web/a.ts"), ("2", "a.ts"), ("3", "lib/x/b.py"), ("4", "c.py")], "card string, path string")
+    changed = spark.createDataFrame([("a.ts:f", "changed"), ("src/web/a.ts:g", "new"), ("x/b.py:h", "changed"), ("xc.py:i", "new")], "node string, kind string")
+    assert {r["node"]: r["card"] for r in canvas.painted(cards, changed).collect()} == {"a.ts:f": "2", "src/web/a.ts:g": "1", "x/b.py:h": "3", "xc.py:i": None}
