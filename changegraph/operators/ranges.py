@@ -6,7 +6,7 @@ is spread over its bins; an interval longer than MOST bins is cut into bins of M
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN, MOST = 64, 64
@@ -98,3 +98,28 @@ def numbered(df: DataFrame, by: list[str], order: list, name: str = "rn") -> Dat
 def first_in(df: DataFrame, by: list[str], order: list, most: int, name: str = "pos") -> DataFrame:
     """The first `most` rows of each group, numbered from 1. Spark keeps only so many of a group before and behind the shuffle."""
     return numbered(df, by, order, name).filter(F.col(name) <= most)
+
+
+#: Numbers of an order that a running value is taken over in one task.
+STRETCH = 100_000
+
+
+def running_count(df: DataFrame, by: list[str], order: str, flag: Column, name: str) -> DataFrame:
+    """df with the number of rows of equal `by` up to each in `order` that have the flag.
+
+    Numbers are cut into stretches: what stands before a stretch is a sum over one row per stretch, so a hot `by` is no one task's."""
+    cut = df.withColumn("_s", F.floor(F.col(order) / STRETCH)).withColumn("_f", F.when(flag, 1).otherwise(0))
+    sums = cut.groupBy(*by, "_s").agg(F.sum("_f").alias("_n"))
+    before = sums.select(*by, "_s", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    within = F.sum("_f").over(Window.partitionBy(*by, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_w", within).join(before, [*by, "_s"]).select(*df.columns, (F.col("_b") + F.col("_w")).alias(name))
+
+
+def last_before(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """df with the last value that isn't null of equal `by` up to each row in `order`; by stretches, as running_count."""
+    cut = df.withColumn("_s", F.floor(F.col(order) / STRETCH))
+    known = cut.filter(F.col(value).isNotNull()).groupBy(*by, "_s").agg(F.max_by(value, order).alias("_v"))
+    every = cut.select(*by, "_s").distinct().join(known, [*by, "_s"], "left")
+    before = every.select(*by, "_s", F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
+    within = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_w", within).join(before, [*by, "_s"]).select(*df.columns, F.coalesce("_w", "_b").alias(name))

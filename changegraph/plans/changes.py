@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegraph.functions import codec, paths
@@ -193,8 +193,7 @@ def hunk_line_explode(spark, d):
 @query("SELECT repo, kind, grp, count(*) AS lines FROM (SELECT repo, kind, sum(CASE WHEN handler IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY repo, kind ORDER BY entry_no ROWS UNBOUNDED PRECEDING)::BIGINT AS grp FROM listings) GROUP BY ALL")
 def sessionize_hunks(spark, d):
     """Rows belong to the last header before them: here rows of the inventory to the last one without a handler."""
-    w = Window.partitionBy("repo", "kind").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0)
-    g = V.listings(spark, d).select("repo", "kind", F.sum(F.when(F.col("handler").isNull(), 1).otherwise(0)).over(w).alias("grp"))
+    g = ranges.running_count(V.listings(spark, d).select("repo", "kind", "entry_no", "handler"), ["repo", "kind"], "entry_no", F.col("handler").isNull(), "grp")
     return g.groupBy("repo", "kind", "grp").agg(F.count(F.lit(1)).alias("lines"))
 
 

@@ -22,8 +22,9 @@ def all_nodes(e: DataFrame) -> DataFrame:
 
 
 def graph_callers(spark: SparkSession, d: str) -> DataFrame:
-    links = V.links(spark, d)
-    return graph.callers(spark, links, all_nodes(links.edges).withColumnRenamed("node", "origin")).select(F.col("origin").alias("node"), F.col("node").alias("caller"))
+    """Who reaches each node that changed."""
+    nodes = changed_edges(spark, d).select(F.col("src").alias("origin")).distinct()
+    return graph.callers(spark, V.links(spark, d), nodes).select(F.col("origin").alias("node"), F.col("node").alias("caller"))
 
 
 def graph_callees(spark: SparkSession, d: str) -> DataFrame:
@@ -254,7 +255,7 @@ IMPACT_SQL = f"SELECT DISTINCT u.node AS node, endpoint, coalesce(flow, 'unplace
 QUERIES = {f.__name__: f for f in (graph_callers, graph_callees, graph_reach_incl, reach_avoiding, shortest_path_len, shortest_path, impact, reach_diff, reach_diff_gained, reach_diff_lost, nearest_cause, bounded_bfs, longest_depth, merges, topk_merges, ubiquity_filter, step_components, shared_components, component_matrix, except_edges, intersect_nodes, union_distinct, module_edges, spread_union, connected_components, kept_calls, hub_folding, graph_size)}
 
 ORACLES = {
-    "graph_callers": sql("SELECT node, origin AS caller FROM c WHERE node <> origin", recursive=CLOSURE.format(e="edges")),
+    "graph_callers": sql(f"SELECT node, origin AS caller FROM c WHERE node <> origin AND node IN (SELECT src FROM {CHANGED_SQL})", recursive=CLOSURE.format(e="edges")),
     "graph_callees": sql("SELECT origin AS handler, node FROM h WHERE origin <> node", recursive=HANDLED.format(e="edges")),
     "graph_reach_incl": sql("SELECT origin AS handler, node FROM h", recursive=HANDLED.format(e="edges")),
     "reach_avoiding": sql("SELECT origin AS handler, node FROM h WHERE origin <> node", recursive=f"free AS (SELECT * FROM edges WHERE dst NOT IN {HUB_SQL}), " + HANDLED.format(e="free")),

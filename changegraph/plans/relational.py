@@ -221,8 +221,8 @@ def lead_intervals(spark, d):
 
 @query("SELECT entry_no, last_value(line IGNORE NULLS) OVER (PARTITION BY split_part(endpoint, ' ', 1), kind ORDER BY entry_no ROWS UNBOUNDED PRECEDING) AS line FROM listings")
 def forward_fill(spark, d):
-    w = Window.partitionBy("repo", "kind").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0)
-    return V.listings(spark, d).select("entry_no", F.last("line", ignorenulls=True).over(w).alias("line"))
+    rows = V.listings(spark, d).select("repo", "kind", "entry_no", "line")
+    return ranges.last_before(rows, ["repo", "kind"], "entry_no", "line", "filled").select("entry_no", F.col("filled").alias("line"))
 
 
 @query("SELECT map_no, flow_pos, step_pos, CASE WHEN rn = 1 THEN step ELSE step || '-' || rn END AS key FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY map_no, flow_pos, step_pos) AS rn FROM msteps)")

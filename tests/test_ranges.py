@@ -65,3 +65,16 @@ def test_overlaps_like_brute_force(spark, at_least):
     got = consensus.overlaps(df.withColumnRenamed("k", "x"), df.withColumnRenamed("k", "y"), "x", "y", "e", F.col("x") < F.col("y"), at_least)
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     assert {(r["x"], r["y"]): round(r["jaccard"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items() if v >= at_least}
+
+
+def test_running_values_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "STRETCH", 7)
+    rnd = random.Random(15)
+    rows = [(rnd.choice("ab"), n, rnd.choice([None, None, n * 10])) for n in rnd.sample(range(300), 90)]
+    df = spark.createDataFrame(rows, "g string, n long, v long")
+    count = {r["n"]: r["c"] for r in ranges.running_count(df, ["g"], "n", F.col("v").isNull(), "c").collect()}
+    last = {r["n"]: r["x"] for r in ranges.last_before(df, ["g"], "n", "v", "x").collect()}
+    for g, n, _ in rows:
+        upto = sorted((m, v) for h, m, v in rows if h == g and m <= n)
+        assert count[n] == sum(v is None for _, v in upto)
+        assert last[n] == next((v for _, v in reversed(upto) if v is not None), None)
