@@ -36,6 +36,7 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], at: str = "at"
 
     refs: the key columns, `at` and any others (rows are kept as they are, repeats included); a null `at` is before all
     time. targets: the key columns and the two ends of life; a null live_from never lives, but its key is there.
+    Which masks occur is asked first, by partial or full: at most 2^k rows for k columns, so refs had better be a written table then.
     Each mask shuffles its references once and the targets, reduced to distinct lives, once; an anti-join ends at the
     first live row. Of the references that are left only the first beginning per key is looked up, which is combined
     before it is shuffled. Both joins keep the reference side whole, so adaptive execution may split a hot key."""
@@ -45,10 +46,14 @@ def orphans(refs: DataFrame, targets: DataFrame, keys: list[str], at: str = "at"
     taken = {c.lower() for c in refs.columns}
     begin, end, first, there = (_free(taken, f"_{x}") for x in ("begin", "end", "first", "there"))
     parts = []
-    for mask in product((True, False), repeat=len(keys)):
+    masks = [(True,) * len(keys)]
+    if match != "simple":
+        there_are = {tuple(r) for r in refs.select(*[F.col(k).isNotNull() for k in keys]).distinct().collect()}
+        masks = [m for m in product((True, False), repeat=len(keys)) if m in there_are or all(m)]
+    for mask in masks:
         used = [k for k, m in zip(keys, mask) if m]
         part = _masked(refs.select(*rest), keys, mask)
-        if not used or (match == "simple" and len(used) < len(keys)):
+        if not used:
             continue
         if match == "full" and len(used) < len(keys):
             parts.append(part.withColumn("kind", F.lit("missing")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from changegraph.functions import paths, tidy
 from changegraph.operators.nested import NodeType, link, node_table, rejected
 from changegraph.operators.orphans import orphan_report, orphans
+from changegraph.session import Stash
 from changegraph.sources.tables import load, load_steps, once
 
 FLOW_MAP = [
@@ -101,7 +102,8 @@ def handler_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _masked(spark: SparkSession, d: str, match: str) -> DataFrame:
-    refs, defs = handler_keys(spark, d)
+    stash = Stash(spark)
+    refs, defs = (stash.put(x) for x in handler_keys(spark, d))
     found = orphans(refs, defs, ["repo", "file", "symbol"], match=match)
     return found.groupBy(F.col("file").isNull().alias("no_file"), F.col("symbol").isNull().alias("no_symbol"), "kind").agg(F.count(F.lit(1)).alias("orphans"))
 
